@@ -1,0 +1,150 @@
+"""Keyed Parquet tables that change all at once.
+
+Rows lie in hash buckets under ``data/<write>/bucket=<n>``. A commit is one
+small JSON file in ``log/``: the list of folders that make up the new version.
+Readers take the newest log entry, so they see a write wholly or not at all,
+and a write never touches files a reader may be using. One writer at a time. Upserts rewrite only
+the buckets their keys fall into.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from trackweave.operators.keyed import latest_per_key, not_in, upsert
+from trackweave.session import materialize
+
+LOG = "version bigint, bucket int, folder string"
+NO_BUCKET = -1  # entry of a version that holds no rows
+
+
+class TableStore:
+    """A table on shared storage, unique on ``keys``, bucketed by ``bucket_by``."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        schema: str,
+        keys: Sequence[str],
+        bucket_by: Sequence[str] | None = None,
+        buckets: int = 64,
+    ):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.schema: StructType = StructType.fromDDL(schema)
+        self.keys, self.buckets = list(keys), buckets
+        self.bucket_by = list(bucket_by or keys)
+
+    def _log(self) -> list:
+        """Folders of the newest version; at most a few per bucket."""
+        try:
+            log = self.spark.read.schema(LOG).json(f"{self.root}/log")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        newest = log.agg(F.max("version")).first()[0]
+        return [] if newest is None else log.filter(F.col("version") == newest).collect()
+
+    @property
+    def version(self) -> int:
+        log = self._log()
+        return log[0]["version"] if log else 0
+
+    def _load(self, folders: Sequence[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        paths = [f"{self.root}/data/{folder}" for folder in folders]
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def read(self) -> DataFrame:
+        """The table as of its newest version."""
+        return self._load(sorted(row["folder"] for row in self._log() if row["folder"]))
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
+        columns = [
+            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in self.schema
+        ]
+        return df.select(*columns).withColumn("bucket", bucket)
+
+    def _write(self, df: DataFrame) -> list[tuple[int, str]]:
+        """Write rows into their buckets; returns (bucket, folder) of those that got any.
+
+        The rebalance hint gathers a bucket's rows and splits a crowded bucket
+        over several tasks and files. The folder name is new on every try, so
+        what a failed write left behind is never read.
+        """
+        name = uuid.uuid4().hex
+        path = f"{self.root}/data/{name}"
+        self._bucketed(df).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        written = self.spark.read.schema("bucket int").option("basePath", path)
+        try:
+            rows = written.parquet(path).select("bucket").distinct().collect()
+        except AnalysisException:
+            return []
+        return [(row["bucket"], f"{name}/bucket={row['bucket']}") for row in rows]
+
+    def _commit(self, version: int, entries: list[tuple[int, str]]) -> int:
+        rows = [(version, bucket, folder) for bucket, folder in entries]
+        frame = self.spark.createDataFrame(rows, LOG).coalesce(1)
+        frame.write.mode("append").json(f"{self.root}/log")
+        return version
+
+    def append(self, rows: DataFrame) -> int:
+        """Add rows with new keys without rewriting anything; returns the version."""
+        live = self._log()
+        written = self._write(rows)
+        version = live[0]["version"] if live else 0
+        if not written:
+            return version
+        return self._commit(version + 1, [(row["bucket"], row["folder"]) for row in live] + written)
+
+    def _rewrite(self, change: Callable[[DataFrame], DataFrame], touched: Sequence[int]) -> int:
+        live = self._log()
+        touched = set(touched)
+        old = self._load(sorted(row["folder"] for row in live if row["bucket"] in touched))
+        entries = [(row["bucket"], row["folder"]) for row in live if row["bucket"] not in touched]
+        entries += self._write(change(old))
+        version = (live[0]["version"] if live else 0) + 1
+        return self._commit(version, entries or [(NO_BUCKET, "")])
+
+    def compact(self) -> int:
+        """Rewrite buckets spread over several folders by repeated appends."""
+        counts: dict[int, int] = {}
+        for row in self._log():
+            counts[row["bucket"]] = counts.get(row["bucket"], 0) + 1
+        crowded = [bucket for bucket, n in counts.items() if n > 1]
+        return self._rewrite(lambda old: old, crowded) if crowded else self.version
+
+    def _staged(self, changes: DataFrame) -> tuple[DataFrame, list[int]]:
+        """Changes written once, and the buckets they touch (at most ``buckets``)."""
+        bucket = F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
+        staged = materialize(changes.withColumn("_bucket", bucket), "changes")
+        touched = [row["_bucket"] for row in staged.select("_bucket").distinct().collect()]
+        return staged.drop("_bucket"), touched
+
+    def upsert(self, changes: DataFrame, update: Sequence[str], order: Sequence | None = None) -> int:
+        """Insert or update by key; ``order`` picks one of repeated keys."""
+        if order is not None:
+            changes = latest_per_key(changes, self.keys, order)
+        staged, touched = self._staged(changes)
+        if not touched:
+            return self.version
+        return self._rewrite(lambda old: upsert(old, staged, self.keys, update), touched)
+
+    def replace(self, owners: DataFrame, rows: DataFrame) -> int:
+        """Drop all rows of the given ``bucket_by`` values, then add ``rows``."""
+        owners = owners.select(*self.bucket_by).distinct()
+        staged, touched = self._staged(owners)
+        if not touched:
+            return self.version
+        return self._rewrite(
+            lambda old: not_in(old, staged, self.bucket_by).unionByName(rows, allowMissingColumns=True), touched
+        )
