@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trackweave import schemas
 from trackweave.functions.models import hashing_embedder
+from trackweave.functions.text import UNICODE_SPACE
 from trackweave.functions.vectors import cosine_similarity, mean_vectors
 from trackweave.operators import cells
 from trackweave.operators.search import best_per_job, search, search_many
@@ -45,7 +46,7 @@ def postings_from(t: Tables) -> DataFrame:
 
 def query_vector(t: Tables) -> list[float]:
     """The mean of all vectors: 64 numbers, the one thing collected."""
-    row = mean_vectors(t("embeddings").withColumn("_all", F.lit(1)), ["_all"]).first()
+    row = mean_vectors(t("embeddings").withColumn("_one", F.lit(1)), ["_one"]).first()
     return row["embedding"]
 
 
@@ -64,12 +65,18 @@ best AS (
     SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sim DESC, chunk_index) AS rn FROM scored) WHERE rn = 1)
 """
 SHOWN_SQL = (
-    "job_id, title, company, location, remote, salary_min, salary_max, url, tags, round(sim, 6) AS similarity"
+    "job_id, title, company, location, CAST(remote AS VARCHAR) AS remote, salary_min, salary_max, url, tags, round(sim, 6) AS similarity"
 )
 
 
 def _flat(found: DataFrame) -> DataFrame:
-    return found.withColumns({"tags": F.array_join("tags", ","), "similarity": F.round("similarity", 6)})
+    return found.withColumns(
+        {
+            "tags": F.array_join("tags", ","),
+            "remote": F.col("remote").cast("string"),
+            "similarity": F.round("similarity", 6),
+        }
+    )
 
 
 SEARCH_SQL = f"WITH {BASE_SQL} SELECT {SHOWN_SQL} FROM best JOIN postings USING (job_id) ORDER BY sim DESC, job_id LIMIT {K}"
@@ -192,9 +199,10 @@ def search_ann_all_cells(t: Tables) -> DataFrame:
     return _flat(cells.search_cells(index, postings_from(t), query_vector(t), K, probes=10))
 
 
-@query("""
-SELECT CAST(doc_id AS VARCHAR) AS job_id, CASE WHEN length(text) <= 800 THEN 1 ELSE CAST(ceil(length(text) / 700.0) AS BIGINT) END AS chunks
-FROM (SELECT doc_id, trim(text, '""" + "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0  　" + """') AS text FROM documents) WHERE length(text) > 0
+@query(f"""
+SELECT CAST(doc_id AS VARCHAR) AS job_id,
+  CASE WHEN length(s) <= 800 THEN 1 ELSE CAST(ceil(length(s) / 700.0) AS BIGINT) END AS chunks
+FROM (SELECT doc_id, trim(text, '{UNICODE_SPACE}') AS s FROM documents) WHERE length(s) > 0
 """)
 def embed_stream(t: Tables) -> DataFrame:
     """Documents streamed into a stored chunk table, then the same ones again."""

@@ -87,7 +87,7 @@ def parse_json_listings(t: Tables) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS level,
-  TRY_CAST(o_orderpriority AS DOUBLE) AS level_of_text,
+  coalesce(TRY_CAST(o_orderpriority AS DOUBLE), -1.0) AS level_of_text,
   CAST(TRY_CAST(CASE WHEN o_orderstatus = 'F' THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END
     AS TIMESTAMP) AS VARCHAR) AS day
 FROM orders
@@ -99,7 +99,7 @@ def tolerant_cast(t: Tables) -> DataFrame:
     return t("orders").select(
         "o_orderkey",
         tx.to_number(F.substring("o_orderpriority", 1, 1)).alias("level"),
-        tx.to_number(F.col("o_orderpriority")).alias("level_of_text"),
+        F.coalesce(tx.to_number(F.col("o_orderpriority")), F.lit(-1.0)).alias("level_of_text"),
         tx.to_time(date).cast("string").alias("day"),
     )
 
@@ -156,7 +156,7 @@ def payload_json(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS k,
   strftime(ts, '%Y-%m-%dT%H:%M:%S') AS seconds
 FROM events
 """)
@@ -165,7 +165,7 @@ def json_arguments(t: Tables) -> DataFrame:
     text = F.when(kind == "error", "{broken").when(kind == "view", F.concat(F.lit(" "), "props")).otherwise(F.col("props"))
     return t("events").select(
         "event_id",
-        tx.json_fields(text, "k bigint")["k"].alias("k"),
+        F.coalesce(tx.json_fields(text, "k bigint")["k"], F.lit(-1)).alias("k"),
         F.substring(tx.iso_time(F.col("ts")), 1, 19).alias("seconds"),
     )
 

@@ -233,7 +233,7 @@ notes AS (SELECT c.user_id, c.job_id, c.seq, event_type FROM commands c JOIN eve
 SELECT seq, saved_job_id, event_type AS note_text, CAST(NULL AS VARCHAR) AS reason, event_type = 'click' AS has_follow_up
 FROM notes JOIN saved USING (user_id, job_id) WHERE event_type <> 'error'
 UNION ALL
-SELECT seq, NULL, NULL, CASE WHEN event_type = 'error' THEN 'note is empty' ELSE 'not saved' END, event_type = 'click'
+SELECT seq, -1, NULL, CASE WHEN event_type = 'error' THEN 'note is empty' ELSE 'not saved' END, event_type = 'click'
 FROM notes n WHERE event_type = 'error'
   OR NOT EXISTS (SELECT 1 FROM saved s WHERE s.user_id = n.user_id AND s.job_id = n.job_id)
 """)
@@ -244,7 +244,7 @@ def interview_notes(t: Tables) -> DataFrame:
         F.col("follow_up_at").isNotNull().alias("has_follow_up"),
     )
     lost = tracking.rejected_notes(saved, notes).select(
-        "seq", F.lit(None).cast("bigint").alias("saved_job_id"), F.lit(None).cast("string").alias("note_text"),
+        "seq", F.lit(-1).cast("bigint").alias("saved_job_id"), F.lit(None).cast("string").alias("note_text"),
         "reason", F.col("follow_up_at").isNotNull().alias("has_follow_up"),
     )
     return kept.unionByName(lost)
