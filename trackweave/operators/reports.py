@@ -84,7 +84,7 @@ def stage_counts(saved: DataFrame, by: str = "stage") -> DataFrame:
 
 def tracked_with_drafts(saved: DataFrame, applications: DataFrame) -> DataFrame:
     """Saved jobs with their drafted texts; jobs without any stay."""
-    texts = applications.select("saved_job_id", "cover_letter", "resume_bullet", "applied_at")
+    texts = applications.select("saved_job_id", "cover_letter", "resume_bullet", "applied_at", "last_updated_at")
     return saved.join(texts, "saved_job_id", "left")
 
 

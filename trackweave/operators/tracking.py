@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackweave.functions.text import not_blank, strip_text
-from trackweave.operators.keyed import assign_ids, insert_missing, latest_per_key, not_in, only_in, upsert
+from trackweave.operators.keyed import assign_ids, latest_per_key, not_in, only_in, upsert
 from trackweave.schemas import STAGES
+from trackweave.session import materialize
 
 PAIR = ["user_id", "job_id"]
 
@@ -73,13 +74,6 @@ def fold_commands(saved: DataFrame, commands: DataFrame) -> DataFrame:
     )
 
 
-def number_new(saved: DataFrame, id_col: str = "saved_job_id") -> DataFrame:
-    """Give rows without an id the next free ones."""
-    new = saved.filter(F.col(id_col).isNull()).drop(id_col)
-    old = saved.filter(F.col(id_col).isNotNull())
-    return old.unionByName(assign_ids(new, PAIR, id_col, after=old))
-
-
 def _saved_since(saved: DataFrame, coded: DataFrame) -> DataFrame:
     """Per pair the seq from which it counts as saved; one row per pair."""
     before = saved.select(*PAIR, F.lit(-(2**63)).cast("bigint").alias("since"))
@@ -138,13 +132,13 @@ def apply_drafts(
     unknown postings are rejected.
     """
     accepted = only_in(drafts, postings, ["job_id"])
-    rejected = not_in(drafts, postings, ["job_id"]).withColumn("reason", F.lit("job not found"))
-
     firsts = accepted.groupBy(*PAIR).agg(F.min_by("ts", "seq").alias("saved_at"))
-    implied = firsts.withColumns(
-        {"stage": F.lit("saved"), "updated_at": F.col("saved_at")}
+    implied = firsts.withColumns({"stage": F.lit("saved"), "updated_at": F.col("saved_at")})
+    # both result tables need the new ids: number the new pairs once and keep them
+    numbered = materialize(
+        assign_ids(not_in(implied, saved, PAIR), PAIR, "saved_job_id", after=saved), "new-pairs"
     )
-    all_saved = number_new(insert_missing(saved, implied, PAIR))
+    all_saved = saved.unionByName(numbered, allowMissingColumns=True)
 
     column = F.when(F.col("kind") == "resume_bullet", "resume_bullet").otherwise("cover_letter")
     last = latest_per_key(accepted.withColumn("_column", column), [*PAIR, "_column"], [F.desc("seq")])
@@ -169,7 +163,12 @@ def apply_drafts(
     new_applications = rows.select(
         *[merged[c].alias(c) if c in merged else F.col(c) for c in applications.columns]
     )
-    return DraftResult(all_saved, new_applications, rejected)
+    return DraftResult(all_saved, new_applications, rejected_drafts(drafts, postings))
+
+
+def rejected_drafts(drafts: DataFrame, postings: DataFrame) -> DataFrame:
+    """Drafts for postings that do not exist."""
+    return not_in(drafts, postings, ["job_id"]).withColumn("reason", F.lit("job not found"))
 
 
 def accepted_notes(saved: DataFrame, notes: DataFrame) -> DataFrame:

@@ -199,9 +199,7 @@ def draft_upsert(t: Tables) -> DataFrame:
         F.col("updated_at").alias("last_updated_at"),
     )
     result = tracking.apply_drafts(saved, applications, _drafts(t), _known_jobs(t))
-    return reports.tracked_with_drafts(
-        result.saved, result.applications.drop("last_updated_at")
-    ).join(result.applications.select("saved_job_id", "last_updated_at"), "saved_job_id").select(
+    return reports.tracked_with_drafts(result.saved, result.applications).select(
         "user_id", "job_id", "stage", F.col("saved_at").cast("string"), "cover_letter", "resume_bullet",
         F.col("last_updated_at").cast("string"),
     )
@@ -209,9 +207,7 @@ def draft_upsert(t: Tables) -> DataFrame:
 
 @query(f"{DRAFTS_SQL} SELECT user_id, job_id, seq, kind, 'job not found' AS reason FROM drafts WHERE job_id NOT IN (SELECT job_id FROM known)")
 def draft_rejects(t: Tables) -> DataFrame:
-    saved = saved_from_orders(t)
-    applications = t.spark.createDataFrame([], schemas.APPLICATIONS.replace("timestamp", "timestamp_ntz"))
-    rejected = tracking.apply_drafts(saved, applications, _drafts(t), _known_jobs(t)).rejected
+    rejected = tracking.rejected_drafts(_drafts(t), _known_jobs(t))
     kind = F.when(F.col("kind") == "resume_bullet", "resume_bullet").otherwise("cover_letter")
     return rejected.select("user_id", "job_id", "seq", kind.alias("kind"), "reason")
 
@@ -455,16 +451,19 @@ def stage_counts(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey AS saved_job_id, c_name AS job_id, first_priority AS cover_letter, CAST(NULL AS VARCHAR) AS resume_bullet
-FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS first_priority FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey
+SELECT c_custkey AS saved_job_id, c_name AS job_id, first_priority AS cover_letter, CAST(NULL AS VARCHAR) AS resume_bullet,
+  CAST(last_order AS VARCHAR) AS last_updated_at
+FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS first_priority, max(o_orderdate) AS last_order FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey
 """)
 def tracked_with_drafts(t: Tables) -> DataFrame:
     saved = t("customer").select(F.col("c_custkey").alias("saved_job_id"), F.col("c_name").alias("job_id"))
     applications = t("orders").groupBy(F.col("o_custkey").alias("saved_job_id")).agg(
         F.min("o_orderpriority").alias("cover_letter"), F.lit(None).cast("string").alias("resume_bullet"),
         F.lit(None).cast("timestamp_ntz").alias("applied_at"),
+        F.max("o_orderdate").alias("last_updated_at"),
     )
-    return reports.tracked_with_drafts(saved, applications).drop("applied_at")
+    rows = reports.tracked_with_drafts(saved, applications).drop("applied_at")
+    return rows.withColumn("last_updated_at", F.col("last_updated_at").cast("string"))
 
 
 @query("""
