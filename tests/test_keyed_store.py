@@ -1,0 +1,156 @@
+import json
+import os
+
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from trackweave.operators.keyed import assign_ids, first_n, latest_per_key, partial_update, replace_owned, upsert
+from trackweave.sources.store import TableStore
+
+ROW = "id int, name string, source string"
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_upsert_keeps_what_it_must(spark):
+    target = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], ROW)
+    changes = spark.createDataFrame([(2, None, "y"), (3, "c", "y")], ROW)
+    once = upsert(target, changes, ["id"], ["name"])
+    assert sorted(once.collect(), key=str) == sorted([(1, "a", "x"), (2, None, "x"), (3, "c", "y")], key=str)
+    twice = upsert(once, changes, ["id"], ["name"])
+    assert sorted(twice.collect(), key=str) == sorted(once.collect(), key=str)
+
+
+@settings(max_examples=5, deadline=None)
+@given(
+    st.dictionaries(st.integers(0, 20), st.integers(), max_size=15),
+    st.dictionaries(st.integers(0, 20), st.integers(), max_size=15),
+)
+def test_upsert_is_a_dictionary_update(spark, old, new):
+    shape = "id int, a bigint, kept bigint"
+    bound = lambda v: v % 10**9
+    target = spark.createDataFrame([(k, bound(v), bound(v)) for k, v in old.items()], shape)
+    changes = spark.createDataFrame([(k, bound(v), bound(v)) for k, v in new.items()], shape)
+    want = {k: (bound(v), bound(v)) for k, v in old.items()}
+    for k, v in new.items():
+        want[k] = (bound(v), want[k][1] if k in want else bound(v))
+    got = {r["id"]: (r["a"], r["kept"]) for r in upsert(target, changes, ["id"], ["a"]).collect()}
+    assert got == want
+
+
+def test_first_rows_per_key(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    assert rows(latest_per_key(df, ["k"], [F.desc("id")])) == [(0, 999), (1, 997), (2, 998)]
+    assert first_n(df, ["k"], ["id"], 5).count() == 15
+
+
+def test_partial_update_takes_last_given_value(spark):
+    target = spark.createDataFrame(
+        [(1, "h", ["r"], 5.0, None), (2, "g", None, None, None)],
+        "user_id int, headline string, roles array<string>, min_salary double, updated_at int",
+    )
+    updates = spark.createDataFrame(
+        [
+            (1, 1, 10, "new", None, None), (1, 2, 20, "", [], 7.0), (1, 3, 30, None, None, None),
+            (9, 1, 10, "nobody", None, None), (2, 1, 40, "", [], None),
+        ],
+        "user_id int, seq int, ts int, headline string, roles array<string>, min_salary double",
+    )
+    fields = ["headline", "roles", "min_salary"]
+    got = partial_update(target, updates, "user_id", "seq", fields, {"updated_at": "ts"}, blank_is_missing=True)
+    assert {tuple(map(str, r)) for r in got.collect()} == {
+        ("1", "new", "['r']", "7.0", "20"), ("2", "g", "None", "None", "None"),
+    }
+    literal = partial_update(target, updates, "user_id", "seq", fields, {"updated_at": "ts"})
+    assert {(r["user_id"], r["headline"], r["updated_at"]) for r in literal.collect()} == {(1, "", 20), (2, "", 40)}
+
+
+def test_replace_owned(spark):
+    target = spark.createDataFrame([(1, "sql", 1.0), (1, "go", 2.0), (2, "c", 3.0), (3, "r", 1.0)], "u int, s string, y double")
+    owners = spark.createDataFrame([(1,), (3,), (1,)], "u int")
+    new = spark.createDataFrame(
+        [(1, 0, "SQL", 4.0), (1, 1, "sql", 5.0), (1, 2, "sql", 6.0), (2, 0, "not touched", 1.0)], "u int, n int, s string, y double"
+    )
+    got = replace_owned(target, owners, new, "u", "s", [F.desc("n")])
+    assert rows(got) == [(1, "SQL", 4.0), (1, "sql", 6.0), (2, "c", 3.0)]
+
+
+def test_ids_are_dense_and_repeatable(spark):
+    new = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
+    existing = spark.createDataFrame([(41,)], "id bigint")
+    first = {r["key"]: r["id"] for r in assign_ids(new, ["key"], "id", after=existing).collect()}
+    again = {r["key"]: r["id"] for r in assign_ids(new.repartition(13), ["key"], "id", after=existing).collect()}
+    assert sorted(first.values()) == list(range(42, 5042)) and first == again
+    assert assign_ids(new, ["key"], "id").agg(F.min("id")).first()[0] == 1
+    empty = existing.filter("id < 0")
+    assert assign_ids(new, ["key"], "id", after=empty).agg(F.max("id")).first()[0] == 5000
+
+
+def folders(store):
+    return {(r["bucket"], r["folder"]) for r in store._log()}
+
+
+def test_store_changes_only_touched_buckets(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "t"), ROW, ["id"], buckets=8)
+    assert store.read().count() == 0 and store.version == 0
+    store.append(spark.range(100).selectExpr("cast(id as int) id", "'n' name", "'x' source"))
+    before, reader = folders(store), store.read()
+    assert store.version == 1 and len(before) == 8
+    change = spark.createDataFrame([(5, "new", "y"), (5, "newer", "y"), (500, "add", "y")], ROW)
+    store.upsert(change, ["name"], order=[F.desc("name")])
+    after = folders(store)
+    assert store.version == 2 and 6 <= len(before & after) < 8
+    assert reader.count() == 100, "a reader keeps the version it opened"
+    got = {r["id"]: (r["name"], r["source"]) for r in store.read().collect()}
+    assert len(got) == 101 and got[5] == ("newer", "x") and got[500] == ("add", "y") and got[6] == ("n", "x")
+    store.upsert(change, ["name"], order=[F.desc("name")])
+    assert {r["id"]: (r["name"], r["source"]) for r in store.read().collect()} == got
+
+
+def test_failed_write_is_never_seen(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "t"), ROW, ["id"], buckets=4)
+    store.append(spark.createDataFrame([(1, "a", "x")], ROW))
+    broken = spark.range(10).selectExpr("cast(id as int) id", "cast(raise_error('lost') as string) name", "'y' source")
+    try:
+        store.append(broken)
+    except Exception as error:
+        assert "lost" in str(error)
+    else:
+        raise AssertionError("the write should fail")
+    assert store.version == 1 and rows(store.read()) == [(1, "a", "x")]
+    store.append(spark.createDataFrame([(2, "b", "x")], ROW))
+    assert rows(store.read()) == [(1, "a", "x"), (2, "b", "x")]
+
+
+def test_store_replace_compact_and_empty(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "t"), "k string, n int", ["k", "n"], ["k"], buckets=4)
+    for n in range(3):
+        store.append(spark.createDataFrame([("a", n), ("b", n)], "k string, n int"))
+    assert len(folders(store)) > 2
+    store.compact()
+    assert len(folders(store)) == len({b for b, _ in folders(store)})
+    owners = spark.createDataFrame([("a",), ("zzz",)], "k string")
+    store.replace(owners, spark.createDataFrame([("a", 9)], "k string, n int"))
+    assert rows(store.read()) == [("a", 9), ("b", 0), ("b", 1), ("b", 2)]
+    nothing = spark.createDataFrame([], "k string, n int")
+    store.replace(spark.createDataFrame([("a",), ("b",)], "k string"), nothing)
+    assert store.read().count() == 0
+    version = store.version
+    assert store.append(nothing) == version and store.upsert(nothing, ["n"]) == version
+    log = [json.loads(line) for f in os.listdir(tmp_path / "t" / "log") if f.endswith(".json")
+           for line in open(tmp_path / "t" / "log" / f)]
+    assert {e["version"] for e in log} == set(range(1, version + 1))
+
+
+def test_hot_bucket_is_split_over_files(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "t"), "k string, n int, pad string", ["k", "n"], ["k"], buckets=4)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    try:
+        store.append(spark.range(0, 40000, 1, 8).selectExpr("'hot' k", "cast(id as int) n", "sha2(cast(id as string), 512) pad"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    (_, folder), = folders(store)
+    files = [f for f in os.listdir(tmp_path / "t" / "data" / folder) if f.endswith(".parquet")]
+    assert len(files) > 4 and store.read().count() == 40000

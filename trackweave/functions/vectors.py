@@ -14,6 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Similarities are rounded to this many decimals: scores that are equal but for
+# the order of additions then tie, whatever the batch size or engine.
+DECIMALS = 12
+
 
 def has_dimension(col: Column, dim: int) -> Column:
     """The vector is there, has ``dim`` elements and none is NULL."""
@@ -37,7 +41,8 @@ def norm(a: Column) -> Column:
 
 def cosine_similarity(a: Column, b: Column) -> Column:
     """Cosine of two vectors; NULL for a zero vector or unequal lengths."""
-    return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), norm(a) * norm(b)))
+    cosine = F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.when(F.size(a) == F.size(b), F.round(cosine, DECIMALS))
 
 
 def vector_literal(values: Sequence[float]) -> Column:
@@ -75,7 +80,7 @@ def similarity_to(vector: Column, query: Sequence[float], engine: str = "arrow")
         matrix, good = vectors_to_matrix(column, len(unit))
         lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
         with np.errstate(divide="ignore", invalid="ignore"):
-            scores = (matrix @ unit) / lengths
+            scores = np.round((matrix @ unit) / lengths, DECIMALS)
         return pa.array(scores, mask=~good | ~np.isfinite(scores))
 
     return kernel(vector)

@@ -148,7 +148,7 @@ def cascade_delete(
     """Tables after deleting the ``doomed`` rows and all that depend on them.
 
     ``doomed`` maps a table to the rows to delete (a frame with the column its
-    children refer to). ``links`` list parents before their children. Only key
+    children refer to, the primary key). ``links`` list parents before their children. Only key
     columns travel down the tree; rows with a NULL reference stay.
     """
     left: dict[str, DataFrame] = {}
@@ -170,8 +170,9 @@ def cascade_delete(
                 hits.append((link.column, keys))
         rest, removed = df, []
         for column, keys in hits:
-            removed.append(only_in(df, keys, [column]))
-            rest = not_in(rest, keys, [column])
+            # doomed keys are primary keys: distinct, with the children skewed at most
+            removed.append(only_in(df, keys, [column], unique=True))
+            rest = not_in(rest, keys, [column], unique=True)
         left[name] = rest
         if removed:
             lost_rows[name] = removed

@@ -34,18 +34,50 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Order, n: int) -> DataFra
     return rank_within(df, keys, order, n).drop("_rank")
 
 
-def not_in(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join ``left``, in which keys may be hot, to a ``right`` computed per key.
+
+    AQE splits a skewed partition only where both join inputs come straight
+    from a shuffle. An aggregation on the join keys is already partitioned by
+    them, gets no shuffle of its own, and so leaves a hot left key to one task.
+    Joining on a hash of the keys as well makes Spark shuffle the small right
+    side once more, and the left is split.
+    """
+    if any(left.schema[k].dataType != right.schema[k].dataType for k in keys):
+        return left.join(right, list(keys), how)  # equal keys of two types hash apart
+    mark = F.xxhash64(*keys)
+    joined = left.withColumn("_mark", mark).join(right.withColumn("_mark", mark), [*keys, "_mark"], how)
+    return joined.drop("_mark")
+
+
+def _by_presence(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str, unique: bool, hot: bool) -> DataFrame:
+    present = other.select(*keys)
+    if unique:
+        joined = df.join(present, list(keys), how)
+    elif hot:
+        joined = join_hot(df, present.distinct(), keys, how)
+    else:
+        joined = df.join(present.distinct(), list(keys), how)
+    return joined.select(*df.columns)
+
+
+def not_in(
+    df: DataFrame, other: DataFrame, keys: Sequence[str], unique: bool = False, hot: bool = False
+) -> DataFrame:
     """Rows of ``df`` whose key does not occur in ``other``.
 
     ``other`` is reduced to distinct keys first: a key repeated there millions
-    of times crosses the network once per map task.
+    of times crosses the network once per map task. ``unique`` says its keys
+    are distinct already, ``hot`` that keys repeat in ``df``.
     """
-    return df.join(other.select(*keys).distinct(), list(keys), "left_anti")
+    return _by_presence(df, other, keys, "left_anti", unique, hot)
 
 
-def only_in(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose key occurs in ``other``."""
-    return df.join(other.select(*keys).distinct(), list(keys), "left_semi")
+def only_in(
+    df: DataFrame, other: DataFrame, keys: Sequence[str], unique: bool = False, hot: bool = False
+) -> DataFrame:
+    """Rows of ``df`` whose key occurs in ``other``; options as in :func:`not_in`."""
+    return _by_presence(df, other, keys, "left_semi", unique, hot)
 
 
 def upsert(
@@ -141,8 +173,8 @@ def replace_owned(
     ``owners`` lists every owner touched, also those left with nothing. Of
     repeated items the first under ``order`` stays.
     """
-    kept = not_in(target, owners, [owner])
-    fresh = latest_per_key(only_in(rows, owners, [owner]), [owner, item], order)
+    kept = not_in(target, owners, [owner], hot=True)
+    fresh = latest_per_key(only_in(rows, owners, [owner], hot=True), [owner, item], order)
     return kept.unionByName(fresh.select(*[c for c in target.columns if c in fresh.columns]), allowMissingColumns=True)
 
 

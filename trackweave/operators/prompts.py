@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackweave.functions.text import text_or
+from trackweave.operators.keyed import join_hot
 from trackweave.operators.reports import skill_lists
 
 # Characters of the description that go into each kind of prompt.
@@ -22,23 +23,15 @@ def match_context(
 
     Pairs without a posting drop out; users without profile or skills stay.
     Every right side has one row per key, so only the pairs can be skewed, and
-    that side AQE splits.
+    those are split.
     """
-    return (
-        pairs.select("user_id", "job_id")
-        .join(
-            profiles.select("user_id", "headline", "summary", "target_roles", "min_salary", "remote_only"),
-            "user_id",
-            "left",
-        )
-        .join(skill_lists(skills), "user_id", "left")
-        .join(
-            postings.select(
-                "job_id", "title", "company", "description", "tags", "remote", "salary_min", "salary_max"
-            ),
-            "job_id",
-        )
+    people = profiles.select(
+        "user_id", "headline", "summary", "target_roles", "min_salary", "remote_only"
+    ).join(skill_lists(skills), "user_id", "full_outer")
+    listed = postings.select(
+        "job_id", "title", "company", "description", "tags", "remote", "salary_min", "salary_max"
     )
+    return join_hot(pairs.select("user_id", "job_id"), people, ["user_id"], "left").join(listed, "job_id")
 
 
 def _shown(col: Column) -> Column:

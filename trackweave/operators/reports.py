@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackweave.functions.text import days_before
-from trackweave.operators.keyed import first_n, latest_per_key
+from trackweave.operators.keyed import first_n, join_hot, latest_per_key
 from trackweave.schemas import ACTIVE_STAGES, HISTORY_MESSAGES, STALE_DAYS
 
 
@@ -60,8 +60,7 @@ def stale_banner(stale: DataFrame, per_line: int = 200) -> DataFrame:
     )
     label = F.concat(F.col("title"), F.lit(" at "), F.coalesce("company", F.lit("unknown company")))
     lines = (
-        stale.withColumn("stale_day", F.to_date("updated_at"))
-        .join(spread, ["user_id", "stale_day"])
+        join_hot(stale.withColumn("stale_day", F.to_date("updated_at")), spread, ["user_id", "stale_day"], "inner")
         .withColumn("line", F.pmod("saved_job_id", F.col("_lines")).cast("int"))
         .groupBy("user_id", "stale_day", "line")
         .agg(

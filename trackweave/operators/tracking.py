@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackweave.functions.text import not_blank, strip_text
-from trackweave.operators.keyed import assign_ids, latest_per_key, not_in, only_in, upsert
+from trackweave.operators.keyed import assign_ids, join_hot, latest_per_key, not_in, only_in, upsert
 from trackweave.schemas import STAGES
 from trackweave.session import materialize
 
@@ -84,11 +84,11 @@ def _saved_since(saved: DataFrame, coded: DataFrame) -> DataFrame:
 def judged_commands(saved: DataFrame, commands: DataFrame) -> DataFrame:
     """Every command with the ``reason`` it is rejected for, or NULL if accepted.
 
-    The join's right side has one row per pair; a hot pair is skewed on the
-    left only, which AQE splits.
+    The join's right side has one row per pair, so only the commands can be
+    skewed, and those are split.
     """
     coded = coded_commands(commands)
-    judged = coded.join(_saved_since(saved, coded), PAIR, "left")
+    judged = join_hot(coded, _saved_since(saved, coded), PAIR, "left")
     late = F.coalesce(F.col("seq") >= F.col("since"), F.lit(False))
     reason = F.when(F.col("code") == 0, "invalid stage").when(~late, "not saved")
     return judged.withColumn("reason", reason).drop("code", "is_save", "since")
@@ -111,7 +111,7 @@ def record_applied(applications: DataFrame, saved: DataFrame, applied: DataFrame
     changes = applied.join(saved.select(*PAIR, "saved_job_id"), PAIR).select(
         "saved_job_id", "applied_at", F.col("applied_at").alias("last_updated_at")
     )
-    fresh = not_in(changes, applications.filter(F.col("applied_at").isNotNull()), ["saved_job_id"])
+    fresh = not_in(changes, applications.filter(F.col("applied_at").isNotNull()), ["saved_job_id"], unique=True)
     return upsert(applications, fresh, ["saved_job_id"], ["applied_at", "last_updated_at"])
 
 
@@ -131,12 +131,12 @@ def apply_drafts(
     wins and leaves the other column alone. An existing stage stays. Drafts for
     unknown postings are rejected.
     """
-    accepted = only_in(drafts, postings, ["job_id"])
+    accepted = only_in(drafts, postings, ["job_id"], unique=True)
     firsts = accepted.groupBy(*PAIR).agg(F.min_by("ts", "seq").alias("saved_at"))
     implied = firsts.withColumns({"stage": F.lit("saved"), "updated_at": F.col("saved_at")})
     # both result tables need the new ids: number the new pairs once and keep them
     numbered = materialize(
-        assign_ids(not_in(implied, saved, PAIR), PAIR, "saved_job_id", after=saved), "new-pairs"
+        assign_ids(not_in(implied, saved, PAIR, unique=True), PAIR, "saved_job_id", after=saved), "new-pairs"
     )
     all_saved = saved.unionByName(numbered, allowMissingColumns=True)
 
@@ -168,7 +168,7 @@ def apply_drafts(
 
 def rejected_drafts(drafts: DataFrame, postings: DataFrame) -> DataFrame:
     """Drafts for postings that do not exist."""
-    return not_in(drafts, postings, ["job_id"]).withColumn("reason", F.lit("job not found"))
+    return not_in(drafts, postings, ["job_id"], unique=True).withColumn("reason", F.lit("job not found"))
 
 
 def accepted_notes(saved: DataFrame, notes: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def rejected_notes(saved: DataFrame, notes: DataFrame) -> DataFrame:
         notes.filter(blank)
         .withColumn("reason", F.lit("note is empty"))
         .unionByName(
-            not_in(notes.filter(~blank), saved, PAIR).withColumn("reason", F.lit("not saved"))
+            not_in(notes.filter(~blank), saved, PAIR, unique=True).withColumn("reason", F.lit("not saved"))
         )
     )
 
@@ -203,10 +203,10 @@ def get_or_create_users(
     ``wanted`` has email and full_name. Running it twice changes nothing.
     """
     named = latest_per_key(wanted.filter(F.col("email").isNotNull()), ["email"], [F.asc_nulls_last("full_name")])
-    new = assign_ids(not_in(named, users, ["email"]), ["email"], "user_id", after=users)
+    new = assign_ids(not_in(named, users, ["email"], unique=True), ["email"], "user_id", after=users)
     new = new.withColumn("created_at", as_of.cast(users.schema["created_at"].dataType))
     all_users = users.unionByName(new.select("user_id", "email", "full_name", "created_at"))
-    empty = not_in(new.select("user_id"), profiles, ["user_id"])
+    empty = not_in(new.select("user_id"), profiles, ["user_id"], unique=True)
     numbered = assign_ids(empty, ["user_id"], "profile_id", after=profiles).withColumns(
         {
             "remote_only": F.lit(False),

@@ -146,5 +146,5 @@ class TableStore:
         if not touched:
             return self.version
         return self._rewrite(
-            lambda old: not_in(old, staged, self.bucket_by).unionByName(rows, allowMissingColumns=True), touched
+            lambda old: not_in(old, staged, self.bucket_by, unique=True).unionByName(rows, allowMissingColumns=True), touched
         )
