@@ -126,6 +126,7 @@ def test_many_without_postings(spark):
     queries = spark.createDataFrame([(1, [1.0] * DIM)], "query_id bigint, embedding array<double>")
     everyone = [(j, "", "", "", None, None, None, "", []) for j in {row[0] for row in c}]
     assert many(engine.search_many(chunks, queries, k=4)) == {1: brute(c, everyone, [1.0] * DIM, 4)}
+    assert engine.search_many(chunks, queries.limit(0), k=4).count() == 0
     with pytest.raises(ValueError):
         engine.search_many(chunks, queries, remote=True)
 

@@ -38,17 +38,20 @@ class CellIndex:
         return [int(i) for i in np.argsort(-scores, kind="stable")[:probes]]
 
 
-def build_cells(chunks: DataFrame, cells: int, dim: int, seed: int = 7, train_fraction: float = 1.0) -> CellIndex:
+def build_cells(
+    chunks: DataFrame, cells: int, dim: int, seed: int = 7, train_per_cell: int = 1000
+) -> CellIndex:
     """Fit the centres and assign every chunk to its cell.
 
-    ``train_fraction`` below one fits on a sample only; all rows are assigned
-    either way.
+    The centres are fitted on about ``train_per_cell`` vectors per cell, since
+    k-means keeps its input in memory; every chunk gets a cell all the same.
     """
     usable = has_dimension(F.col("embedding"), dim) & (norm(F.col("embedding")) > 0)
     with_vector = chunks.filter(usable).withColumn("_vector", array_to_vector("embedding"))
     train = with_vector.select("_vector")
-    if train_fraction < 1.0:
-        train = train.sample(fraction=train_fraction, seed=seed)
+    total = chunks.count()
+    if total > cells * train_per_cell:
+        train = train.sample(fraction=cells * train_per_cell / total, seed=seed)
     model = KMeans(
         k=cells, seed=seed, maxIter=10, distanceMeasure="cosine", featuresCol="_vector", predictionCol="cell"
     ).fit(train)

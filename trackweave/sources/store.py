@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from trackweave.operators.keyed import latest_per_key, not_in, upsert
@@ -66,13 +66,21 @@ class TableStore:
         """The table as of its newest version."""
         return self._load(sorted(row["folder"] for row in self._log() if row["folder"]))
 
+    def read_for(self, rows: DataFrame) -> DataFrame:
+        """Only the buckets that ``rows`` fall into: all the table holds on their keys."""
+        touched = {row["_bucket"] for row in rows.select(self._bucket().alias("_bucket")).distinct().collect()}
+        return self._load(sorted(row["folder"] for row in self._log() if row["bucket"] in touched))
+
+    def _bucket(self) -> Column:
+        typed = [F.col(c).cast(self.schema[c].dataType) for c in self.bucket_by]
+        return F.pmod(F.xxhash64(*typed), F.lit(self.buckets)).cast("int")
+
     def _bucketed(self, df: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
         columns = [
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in self.schema
         ]
-        return df.select(*columns).withColumn("bucket", bucket)
+        return df.select(*columns).withColumn("bucket", self._bucket())
 
     def _write(self, df: DataFrame) -> list[tuple[int, str]]:
         """Write rows into their buckets; returns (bucket, folder) of those that got any.
@@ -125,8 +133,7 @@ class TableStore:
 
     def _staged(self, changes: DataFrame) -> tuple[DataFrame, list[int]]:
         """Changes written once, and the buckets they touch (at most ``buckets``)."""
-        bucket = F.pmod(F.xxhash64(*self.bucket_by), F.lit(self.buckets)).cast("int")
-        staged = materialize(changes.withColumn("_bucket", bucket), "changes")
+        staged = materialize(changes.withColumn("_bucket", self._bucket()), "changes")
         touched = [row["_bucket"] for row in staged.select("_bucket").distinct().collect()]
         return staged.drop("_bucket"), touched
 

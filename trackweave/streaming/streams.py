@@ -91,12 +91,12 @@ def command_stream(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         commands = materialize(batch, "commands")
-        saved = store.read()
+        saved = store.read_for(commands)
         rejected_commands(saved, commands).write.mode("append").parquet(f"{rejects}/batch={batch_id}")
         folded = fold_commands(only_in(saved, commands, PAIR), commands)
         known = folded.filter(F.col("saved_job_id").isNotNull())
         new = assign_ids(
-            folded.filter(F.col("saved_job_id").isNull()).drop("saved_job_id"), PAIR, "saved_job_id", after=saved
+            folded.filter(F.col("saved_job_id").isNull()).drop("saved_job_id"), PAIR, "saved_job_id", after=store.read()
         )
         store.upsert(known.unionByName(new), ["stage", "updated_at"])
 
