@@ -109,7 +109,8 @@ def test_many_queries_equal_brute_force(spark, monkeypatch, copies, small):
     vectors["q0"], vectors["same"] = [1.0] * DIM, [0.0] * DIM
     if small:  # several passes over the chunks, few rows scored at once
         monkeypatch.setattr(engine, "QUERY_BLOCK_BYTES", 6 * DIM * 8)
-        monkeypatch.setattr(engine, "SCORE_CELLS", 40)
+        monkeypatch.setattr(engine, "SCORE_CELLS", 400)
+        monkeypatch.setattr(engine, "CROWD", 0 if copies else 1)
     queries = spark.createDataFrame(list(vectors.items()), "query_id string, embedding array<double>")
     got = many(engine.search_many(chunks, queries, postings, 5))
     assert got == {q: brute(c, p, v, 5) for q, v in vectors.items()}
