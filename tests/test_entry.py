@@ -24,7 +24,7 @@ def test_query(spark, duck, name):
     assert len(got) > 0
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert name == "search_ann"
+        assert name in {"search_ann", "search_by_text", "profile_matches"}, "checked in test_search"
         return
     want = duck.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -25,7 +25,7 @@ def final_plan(df):
 
 __spark_entry__.queries()  # registers all
 MODEL_OR_VECTOR = {"batch_completion"} | {n for n in QUERIES if n.startswith(("search", "best_chunk"))}
-WRITES = {"stage_fold_stream", "embed_stream", "upsert_stored", "draft_upsert"}
+WRITES = {"profile_matches", "ingest_stream", "stage_fold_stream", "embed_stream", "upsert_stored", "draft_upsert"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - MODEL_OR_VECTOR - WRITES))

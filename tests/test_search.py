@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from trackweave.operators import cells, search as engine
 from tests.conftest import DATA
 from trackweave import schemas
+from trackweave.functions.models import hashing_embedder
 from trackweave.plans import search_queries as q
 from trackweave.plans.matching import draft_materials, explain_matches, match_profiles, profile_queries
-from trackweave.plans.registry import Tables
+from trackweave.plans.registry import QUERIES, Tables
 
 DIM = 6
 
@@ -214,3 +215,20 @@ def test_prompts_and_drafts_through_a_model(spark):
     assert len(texts) == 3 and all("d" * 1001 not in r["resume_bullet"] for r in texts.values())
     assert all(r["cover_letter"] is None for r in texts.values())
     assert [r["job_id"] for r in done.rejected.collect()] == ["none"]
+
+
+def test_text_queries_equal_brute_force(spark):
+    t = Tables(spark, DATA)
+    chunk_rows = [tuple(r) for r in q.text_chunks(t).select("job_id", "chunk_index", "embedding").collect()]
+    posting_rows = [tuple(r) for r in q.text_postings(t).select(*engine.SHOWN).collect()]
+    embed = hashing_embedder(dim=q.TEXT_DIM)
+    said = embed(spark.createDataFrame([("the and of",)], "chunk_text string")).first()["embedding"]
+    found = QUERIES["search_by_text"](spark, DATA)
+    assert shown(found) == [w[:2] for w in brute(chunk_rows, posting_rows, said, 8, salary=1500)]
+
+    people = {r["query_id"]: r for r in profile_queries(q.speakers(t), embed).collect()}
+    got = many(QUERIES["profile_matches"](spark, DATA).withColumnRenamed("user_id", "query_id"))
+    assert sorted(got) == sorted(people) and len(people) == t("conversations").select("conv_id").distinct().count()
+    for user, row in people.items():
+        want = brute(chunk_rows, posting_rows, row["embedding"], 8, salary=row["min_salary"], remote_only=row["remote_only"])
+        assert got[user] == want

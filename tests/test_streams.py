@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from trackweave import schemas
 from trackweave.functions.models import hashing_embedder
 from trackweave.operators import tracking
-from trackweave.plans.ingest import embed_new, ingest_listings
+from trackweave.plans.ingest import embed_new, ingest_listings, store_chunks
 from trackweave.sources.listings import read_listings
 from trackweave.sources.store import TableStore
 from trackweave.streaming.streams import command_stream, embed_stream, ingest_stream, listing_stream, read_rejects
@@ -67,6 +67,16 @@ def test_incremental_embedding(spark, tmp_path):
     assert count() == {"b": 1, "d": 1}
 
 
+def test_chunk_upsert_keeps_creation(spark, tmp_path):
+    store = chunk_store(spark, tmp_path / "chunks")
+    row = lambda i, text, at: ("a", i, text, [1.0], "m", "h", at)
+    store_chunks(store, spark.createDataFrame([row(0, "x", START), row(1, "y", START)], schemas.CHUNKS))
+    later = START + dt.timedelta(days=1)
+    store_chunks(store, spark.createDataFrame([row(1, "new", later), row(2, "z", later)], schemas.CHUNKS))
+    got = {r["chunk_index"]: (r["chunk_text"], r["created_at"]) for r in store.read().collect()}
+    assert got == {0: ("x", START), 1: ("new", START), 2: ("z", later)}
+
+
 def test_streams_end_to_end(spark, tmp_path):
     folder = tmp_path / "in"
     store = postings_store(spark, tmp_path / "postings")

@@ -115,6 +115,9 @@ def test_notes_users_and_skills(spark):
     reasons = {(r["seq"], r["reason"]) for r in tracking.rejected_notes(saved, notes).collect()}
     assert reasons == {(2, "note is empty"), (3, "not saved"), (4, "note is empty")}
 
+    stored = spark.createDataFrame([(3, 7, "old", None, at(0))], schemas.NOTES)
+    assert [(r["note_id"], r["note_text"]) for r in tracking.notes_to_append(stored, saved, notes).collect()] == [(4, "call")]
+
     users = spark.createDataFrame([(5, "a@x", "A", at(0))], schemas.USERS)
     profiles = spark.createDataFrame([(1, 5, "h", None, None, None, None, True, at(0))], schemas.PROFILES)
     wanted = spark.createDataFrame([("a@x", "other"), ("b@x", "B"), ("b@x", None), (None, "no")], "email string, full_name string")
@@ -128,6 +131,8 @@ def test_notes_users_and_skills(spark):
     forms = spark.createDataFrame([(1, 1, [(" sql ", 2.0), (" ", 1.0)])], "user_id int, seq int, skills array<struct<name string, value double>>")
     assert [r["skill_name"] for r in tracking.cleaned_skills(tracking.skill_rows(forms)).collect()] == ["sql"]
     skills = spark.createDataFrame([(1, "sql", 2.5), (1, "C", None), (2, "go", 4.0)], "user_id int, skill_name string, years_experience double")
+    assert [r["skill_name"] for r in reports.skills_of(skills, 1).collect()] == ["C", "sql"]
+    assert reports.profile_of(profiles, 5).count() == 1 and reports.profile_of(profiles, 6).count() == 0
     lists = {r["user_id"]: r["skills"] for r in reports.skill_lists(skills).collect()}
     assert lists == {1: "C, sql (2.5y)", 2: "go (4.0y)"}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackweave.functions.text import text_or
-from trackweave.operators.keyed import join_hot
+from trackweave.operators.keyed import join_hot, not_in
 from trackweave.operators.reports import skill_lists
 
 # Characters of the description that go into each kind of prompt.
@@ -34,6 +34,11 @@ def match_context(
     return join_hot(pairs.select("user_id", "job_id"), people, ["user_id"], "left").join(listed, "job_id")
 
 
+def unknown_jobs(pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Pairs that get no prompt because the posting does not exist."""
+    return not_in(pairs, postings, ["job_id"], unique=True).withColumn("reason", F.lit("job not found"))
+
+
 def _shown(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit("none"))
 

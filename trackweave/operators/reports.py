@@ -99,6 +99,17 @@ def recent_messages(messages: DataFrame, n: int = HISTORY_MESSAGES) -> DataFrame
     return first_n(messages, ["conv_id"], [F.desc("turn")], n).orderBy("conv_id", "turn")
 
 
+def profile_of(profiles: DataFrame, user_id: int) -> DataFrame:
+    """One user's profile; no row where there is none."""
+    return profiles.filter(F.col("user_id") == user_id)
+
+
+def skills_of(skills: DataFrame, user_id: int) -> DataFrame:
+    """One user's skills by name."""
+    mine = skills.filter(F.col("user_id") == user_id)
+    return mine.select("skill_name", "years_experience").orderBy("skill_name")
+
+
 def skill_lists(skills: DataFrame, owner: str = "user_id") -> DataFrame:
     """Per user one text "name (years y), ..." in name order; missing years print the name only.
 

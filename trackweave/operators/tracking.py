@@ -183,6 +183,12 @@ def accepted_notes(saved: DataFrame, notes: DataFrame) -> DataFrame:
     )
 
 
+def notes_to_append(stored: DataFrame, saved: DataFrame, notes: DataFrame) -> DataFrame:
+    """Accepted notes with ids that continue the stored ones; append these."""
+    kept = accepted_notes(saved, notes)
+    return assign_ids(kept, ["saved_job_id", "seq"], "note_id", after=stored).drop("seq")
+
+
 def rejected_notes(saved: DataFrame, notes: DataFrame) -> DataFrame:
     """Notes with their reason: blank text, or a pair that is not saved."""
     blank = ~not_blank(F.col("note_text"))

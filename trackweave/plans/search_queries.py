@@ -12,6 +12,8 @@ from trackweave.functions.text import UNICODE_SPACE
 from trackweave.functions.vectors import cosine_similarity, mean_vectors
 from trackweave.operators import cells
 from trackweave.operators.search import best_per_job, search, search_many
+from trackweave.plans.ingest import chunk_rows
+from trackweave.plans.matching import match_profiles, search_text
 from trackweave.plans.registry import Tables, query
 from trackweave.session import work_dir
 from trackweave.sources.store import TableStore
@@ -199,6 +201,44 @@ def search_ann_all_cells(t: Tables) -> DataFrame:
     return _flat(cells.search_cells(index, postings_from(t), query_vector(t), K, probes=10))
 
 
+TEXT_DIM = 64
+
+
+def text_chunks(t: Tables) -> DataFrame:
+    """All documents chunked and embedded by hashed words."""
+    documents = t("documents").select(F.col("doc_id").cast("string").alias("job_id"), F.col("text").alias("description"))
+    return chunk_rows(documents, F.lit("2024-01-01").cast("timestamp"), hashing_embedder(dim=TEXT_DIM))
+
+
+def text_postings(t: Tables) -> DataFrame:
+    return postings_from(t).withColumn("job_id", F.col("job_id").cast("string"))
+
+
+@query()
+def search_by_text(t: Tables) -> DataFrame:
+    """From a query text to postings: chunk, embed, filter, rank."""
+    found = search_text(
+        text_chunks(t), text_postings(t), "the and of", hashing_embedder(dim=TEXT_DIM), K, min_salary=1500
+    )
+    return _flat(found)
+
+
+def speakers(t: Tables) -> DataFrame:
+    """Every conversation as a profile: its first message is the summary."""
+    return t("conversations").groupBy(F.col("conv_id").alias("user_id")).agg(
+        F.min_by("text", "turn").alias("summary"),
+        F.lit("").alias("headline"),
+        (F.count("*") > 4).alias("remote_only"),
+        F.when(F.count("*") > 2, F.count("*") * 100.0).alias("min_salary"),
+    )
+
+
+@query()
+def profile_matches(t: Tables) -> DataFrame:
+    """The best postings of every profile under its own filters, from texts alone."""
+    return _ranked(match_profiles(speakers(t), text_chunks(t), text_postings(t), hashing_embedder(dim=TEXT_DIM), K))
+
+
 @query(f"""
 SELECT CAST(doc_id AS VARCHAR) AS job_id,
   CASE WHEN length(s) <= 800 THEN 1 ELSE CAST(ceil(length(s) / 700.0) AS BIGINT) END AS chunks

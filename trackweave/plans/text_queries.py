@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
+from trackweave import schemas
 from trackweave.functions import text as tx
 from trackweave.functions.models import complete, hashing_embedder
 from trackweave.operators import chunking, cleaning, keyed, prompts, reports
 from trackweave.plans.ingest import chunk_rows
 from trackweave.plans.registry import Tables, query
-from trackweave.sources.listings import parse_listings, query_table
+from trackweave.session import work_dir
+from trackweave.sources.listings import impose_schema, parse_listings, query_table
+from trackweave.sources.store import TableStore
+from trackweave.streaming import streams
 
 SPACE = tx.UNICODE_SPACE
 
@@ -18,10 +24,10 @@ VOCABULARY = ("the", "and", "of", "la", "le", "der", "die", "el")
 MODEL_DIM = 64
 
 
-def raw_documents(t: Tables) -> DataFrame:
+def raw_documents(documents: DataFrame) -> DataFrame:
     """Documents in the shape of raw listings; fr has no location, de garbage salaries."""
     lang = F.col("lang")
-    return t("documents").select(
+    return documents.select(
         F.col("doc_id").cast("string").alias("id"),
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("slug"),
         F.col("source").alias("company"),
@@ -68,13 +74,13 @@ def _flat(cleaned: DataFrame) -> DataFrame:
 
 @query(CLEAN_SQL)
 def clean_documents(t: Tables) -> DataFrame:
-    return _flat(cleaning.clean_listings(raw_documents(t), "feed"))
+    return _flat(cleaning.clean_listings(raw_documents(t("documents")), "feed"))
 
 
 @query(CLEAN_SQL)
 def parse_json_listings(t: Tables) -> DataFrame:
     """The same from JSON text, with every listing repeated in an older copy and a notice per row."""
-    raw = raw_documents(t)
+    raw = raw_documents(t("documents"))
     older = raw.withColumns({"date": F.lit("2020-01-01T00:00:00"), "description": F.lit("old")})
     notice = raw.select(F.lit('{"legal": "notice"}').alias("body"))
     bodies = raw.unionByName(older).select(F.to_json(F.struct(*raw.columns)).alias("body")).unionByName(notice)
@@ -85,6 +91,18 @@ def parse_json_listings(t: Tables) -> DataFrame:
     return _flat(cleaning.clean_listings(listings.filter(~(is_old & undated)), "feed"))
 
 
+@query(CLEAN_SQL)
+def ingest_stream(t: Tables) -> DataFrame:
+    """The same as a stream into a stored postings table, and once more as a replay."""
+    folder = f"{work_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
+    store = TableStore(t.spark, f"{folder}/postings", schemas.POSTINGS, ["job_id"], buckets=8)
+    at = F.lit("2024-01-01").cast("timestamp")
+    for run in ("first", "replay"):
+        arriving = impose_schema(cleaning.drop_notices(raw_documents(t.stream("documents"))))
+        streams.ingest_stream(arriving, store, "feed", f"{folder}/{run}", at).awaitTermination()
+    return _flat(store.read().drop("payload", "synced_at"))
+
+
 @query("""
 SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS level,
   coalesce(TRY_CAST(o_orderpriority AS DOUBLE), -1.0) AS level_of_text,
@@ -282,7 +300,7 @@ SELECT (SELECT count(*) FROM raw) AS fetched,
   (SELECT count(DISTINCT doc_id) FROM pieces) AS chunked
 """)
 def run_metrics(t: Tables) -> DataFrame:
-    raw = raw_documents(t)
+    raw = raw_documents(t("documents"))
     kept = cleaning.clean_listings(raw, "feed").select("job_id")
     pieces = chunking.chunk(t("documents"), ["doc_id"], "text")
     per_document = pieces.groupBy("doc_id").agg(F.count("*").alias("n"))
