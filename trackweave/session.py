@@ -16,6 +16,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Limits per key go before the shuffle for larger limits too (default 1000).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # Hash instead of sort where every partition of one side turns out this
     # small: the large side is not sorted. 20 million commands: 19 s -> 11 s.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",

@@ -24,7 +24,11 @@ NO_BUCKET = -1  # entry of a version that holds no rows
 
 
 class TableStore:
-    """A table on shared storage, unique on ``keys``, bucketed by ``bucket_by``."""
+    """A table on shared storage, unique on ``keys``, bucketed by ``bucket_by``.
+
+    Files are sorted by ``sort_by`` (the keys, unless told otherwise), so that
+    row groups can be skipped by filters on those columns.
+    """
 
     def __init__(
         self,
@@ -34,11 +38,13 @@ class TableStore:
         keys: Sequence[str],
         bucket_by: Sequence[str] | None = None,
         buckets: int = 64,
+        sort_by: Sequence[str] | None = None,
     ):
         self.spark, self.root = spark, root.rstrip("/")
         self.schema: StructType = StructType.fromDDL(schema)
         self.keys, self.buckets = list(keys), buckets
         self.bucket_by = list(bucket_by or keys)
+        self.sort_by = list(sort_by or keys)
 
     def _log(self) -> list:
         """Folders of the newest version; at most a few per bucket."""
@@ -91,7 +97,8 @@ class TableStore:
         """
         name = uuid.uuid4().hex
         path = f"{self.root}/data/{name}"
-        self._bucketed(df).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        spread = self._bucketed(df).hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.sort_by)
+        spread.write.partitionBy("bucket").parquet(path)
         written = self.spark.read.schema("bucket int").option("basePath", path)
         try:
             rows = written.parquet(path).select("bucket").distinct().collect()

@@ -72,7 +72,7 @@ def embed_stream(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select("job_id", "description")
-        once = latest_per_key(rows, ["job_id"], [F.desc("description")])
+        once = materialize(latest_per_key(rows, ["job_id"], [F.desc("description")]), "arrived")
         embed_new(once, store, now, **options)
 
     return _start(stream, apply, checkpoint, available_now)
