@@ -67,9 +67,10 @@ def shown(df):
     return [(r["job_id"], None if r["similarity"] is None else round(r["similarity"], 6)) for r in df.collect()]
 
 
-@pytest.mark.parametrize("kind", ["arrow", "native"])
+@pytest.mark.parametrize("kind, few", [("arrow", 10**6), ("native", 10**6), ("arrow", 3)])
 @pytest.mark.parametrize("remote, salary", [(None, None), (True, None), (False, 50.0), (None, 70.0)])
-def test_search_equals_brute_force(spark, kind, remote, salary):
+def test_search_equals_brute_force(spark, monkeypatch, kind, few, remote, salary):
+    monkeypatch.setattr(engine, "BROADCAST_IDS", few)
     chunks, postings, c, p = make(spark)
     query = [1.0, 2.0, -1.0, 0.5, 0.0, 3.0]
     for mode in ("similarity", "key"):
