@@ -1,4 +1,3 @@
-import json
 import os
 
 from hypothesis import given, settings, strategies as st
@@ -139,9 +138,7 @@ def test_store_replace_compact_and_empty(spark, tmp_path):
     assert store.read().count() == 0
     version = store.version
     assert store.append(nothing) == version and store.upsert(nothing, ["n"]) == version
-    log = [json.loads(line) for f in os.listdir(tmp_path / "t" / "log") if f.endswith(".json")
-           for line in open(tmp_path / "t" / "log" / f)]
-    assert {e["version"] for e in log} == set(range(1, version + 1))
+    assert sorted(os.listdir(tmp_path / "t" / "log")) == [f"version={v}" for v in range(1, version + 1)]
 
 
 def test_hot_bucket_is_split_over_files(spark, tmp_path):

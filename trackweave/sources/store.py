@@ -1,25 +1,26 @@
 """Keyed Parquet tables that change all at once.
 
 Rows lie in hash buckets under ``data/<write>/bucket=<n>``. A commit is one
-small JSON file in ``log/``: the list of folders that make up the new version.
-Readers take the newest log entry, so they see a write wholly or not at all,
-and a write never touches files a reader may be using. One writer at a time. Upserts rewrite only
-the buckets their keys fall into.
+small JSON file under ``log/version=<n>``: the folders that make up that version.
+Readers take the newest one, so they see a write wholly or not at all, and a
+write never touches files a reader may be using. Upserts rewrite only the
+buckets their keys fall into. One writer at a time.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from trackweave.operators.keyed import latest_per_key, not_in, upsert
 from trackweave.session import materialize
 
-LOG = "version bigint, bucket int, folder string"
+LOG = "bucket int, folder string"
 NO_BUCKET = -1  # entry of a version that holds no rows
 
 
@@ -46,21 +47,30 @@ class TableStore:
         self.bucket_by = list(bucket_by or keys)
         self.sort_by = list(sort_by or keys)
 
-    def _log(self) -> list:
-        """Folders of the newest version; at most a few per bucket."""
+    @property
+    def version(self) -> int:
+        """Number of the newest version; 0 for a table never written.
+
+        Lists the log's files without reading them, so that it stays cheap
+        after many commits.
+        """
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*.json")
         try:
-            log = self.spark.read.schema(LOG).json(f"{self.root}/log")
+            log = files.load(f"{self.root}/log")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return []
+                return 0
             raise
-        newest = log.agg(F.max("version")).first()[0]
-        return [] if newest is None else log.filter(F.col("version") == newest).collect()
-
-    @property
-    def version(self) -> int:
-        log = self._log()
-        return log[0]["version"] if log else 0
+        if "version" not in log.columns:
+            return 0
+        return log.agg(F.max("version")).first()[0] or 0
+
+    def _log(self) -> list[Row]:
+        """Buckets and folders of the newest version; at most a few per bucket."""
+        version = self.version
+        if version == 0:
+            return []
+        return self.spark.read.schema(LOG).json(f"{self.root}/log/version={version}").collect()
 
     def _load(self, folders: Sequence[str]) -> DataFrame:
         if not folders:
@@ -70,7 +80,7 @@ class TableStore:
 
     def read(self) -> DataFrame:
         """The table as of its newest version."""
-        return self._load(sorted(row["folder"] for row in self._log() if row["folder"]))
+        return self._load(sorted(row["folder"] for row in self._log() if row["bucket"] != NO_BUCKET))
 
     def read_for(self, rows: DataFrame) -> DataFrame:
         """Only the buckets that ``rows`` fall into: all the table holds on their keys."""
@@ -106,35 +116,32 @@ class TableStore:
             return []
         return [(row["bucket"], f"{name}/bucket={row['bucket']}") for row in rows]
 
-    def _commit(self, version: int, entries: list[tuple[int, str]]) -> int:
-        rows = [(version, bucket, folder) for bucket, folder in entries]
-        frame = self.spark.createDataFrame(rows, LOG).coalesce(1)
-        frame.write.mode("append").json(f"{self.root}/log")
+    def _commit(self, entries: list[tuple[int, str]]) -> int:
+        """Make the given folders the next version: one file, visible all at once."""
+        version = self.version + 1
+        frame = self.spark.createDataFrame(entries or [(NO_BUCKET, "")], LOG).coalesce(1)
+        frame.write.mode("append").json(f"{self.root}/log/version={version}")
         return version
 
     def append(self, rows: DataFrame) -> int:
-        """Add rows with new keys without rewriting anything; returns the version."""
-        live = self._log()
+        """Add rows with new keys without rewriting anything; returns the version.
+
+        Every append adds a folder per bucket: after many small ones, compact.
+        """
         written = self._write(rows)
-        version = live[0]["version"] if live else 0
         if not written:
-            return version
-        return self._commit(version + 1, [(row["bucket"], row["folder"]) for row in live] + written)
+            return self.version
+        return self._commit([(row["bucket"], row["folder"]) for row in self._log()] + written)
 
     def _rewrite(self, change: Callable[[DataFrame], DataFrame], touched: Sequence[int]) -> int:
-        live = self._log()
-        touched = set(touched)
+        live, touched = self._log(), set(touched)
         old = self._load(sorted(row["folder"] for row in live if row["bucket"] in touched))
         entries = [(row["bucket"], row["folder"]) for row in live if row["bucket"] not in touched]
-        entries += self._write(change(old))
-        version = (live[0]["version"] if live else 0) + 1
-        return self._commit(version, entries or [(NO_BUCKET, "")])
+        return self._commit(entries + self._write(change(old)))
 
     def compact(self) -> int:
         """Rewrite buckets spread over several folders by repeated appends."""
-        counts: dict[int, int] = {}
-        for row in self._log():
-            counts[row["bucket"]] = counts.get(row["bucket"], 0) + 1
+        counts = Counter(row["bucket"] for row in self._log())
         crowded = [bucket for bucket, n in counts.items() if n > 1]
         return self._rewrite(lambda old: old, crowded) if crowded else self.version
 
