@@ -47,21 +47,20 @@ class TableStore:
         self.bucket_by = list(bucket_by or keys)
         self.sort_by = list(sort_by or keys)
 
-    @property
-    def version(self) -> int:
-        """Number of the newest version; 0 for a table never written.
-
-        Lists the log's files without reading them, so that it stays cheap
-        after many commits.
-        """
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*.json")
+    def _files(self, path: str, pattern: str) -> DataFrame | None:
+        """The files under a folder with its partition columns, listed but not read."""
         try:
-            log = files.load(f"{self.root}/log")
+            return self.spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return 0
+                return None
             raise
-        if "version" not in log.columns:
+
+    @property
+    def version(self) -> int:
+        """Number of the newest version; 0 for a table never written."""
+        log = self._files(f"{self.root}/log", "part-*.json")
+        if log is None or "version" not in log.columns:
             return 0
         return log.agg(F.max("version")).first()[0] or 0
 
@@ -109,11 +108,10 @@ class TableStore:
         path = f"{self.root}/data/{name}"
         spread = self._bucketed(df).hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.sort_by)
         spread.write.partitionBy("bucket").parquet(path)
-        written = self.spark.read.schema("bucket int").option("basePath", path)
-        try:
-            rows = written.parquet(path).select("bucket").distinct().collect()
-        except AnalysisException:
+        files = self._files(path, "*.parquet")
+        if files is None or "bucket" not in files.columns:
             return []
+        rows = files.select("bucket").distinct().collect()
         return [(row["bucket"], f"{name}/bucket={row['bucket']}") for row in rows]
 
     def _commit(self, entries: list[tuple[int, str]]) -> int:
