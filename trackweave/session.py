@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +32,14 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one where unset (tests)."""
+    """The folder all machines share: ``spark.checkpoint.dir``, or else a folder below the warehouse.
+
+    A machine-local temporary folder is never taken: executors would write to
+    their own disks and later reads would miss files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="trackweave-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
