@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import quality_rules, sharding
+from trackweave.llm import licenses, quality_rules, sharding
 from trackweave.llm.sql import SQL as ALL_SQL
 from trackweave.session import configure
 
@@ -53,3 +53,12 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.array_join("failed_rules", ",").alias("failed_rules"),
     )
+
+
+@query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(documents(spark, folder))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels",
+        F.round("score", 6).alias("score"),
+    )

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from trackweave.llm import licenses
 from trackweave.llm.quality_rules import BASE_RULES, RULES, STOP_WORDS, SYMBOLS, Rule
 
 SQL: dict[str, str] = {}
 
 SQL["op2_byte_shards"] = """
-WITH sized AS (
-  SELECT doc_id, coalesce(strlen(text), 0) + 16 AS size, text FROM documents
+WITH crc AS (  -- the table of the check sum, by its rule
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), sized AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 16 AS size, xor(list_reduce(list_prepend(4294967295,
+    list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc
 ), ordered AS (
-  SELECT doc_id, size,
-    sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total,
-    row_number() OVER (ORDER BY doc_id) - 1 AS place
+  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before,
+    sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id, text_crc32, size) - 1 AS place
   FROM sized
 ), cut AS (
   SELECT *, least((2 * before + size) * 40 // (2 * total), 39)::INT AS shard FROM ordered
 )
-SELECT doc_id, size, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard
 FROM cut
 """
 
@@ -63,3 +70,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   len(failed) = 0 AS kept, coalesce(array_to_string(failed, ','), '') AS failed_rules
 FROM judged
 """
+
+
+def licence_sql() -> str:
+    """Detections at anchor words by a join with the rules; containment by a self join."""
+    quoted = [(r.anchor, r.pattern.replace("'", "''"), r.label, r.priority, r.weight, n) for n, r in enumerate(licenses.RULES)]
+    rules = ",\n    ".join(f"('{a}', '^(?:{p})(?: |$)', '{b}', {c}, {w}, {n})" for a, p, b, c, w, n in quoted)
+    base = " UNION ALL ".join(
+        f"SELECT k, i, '{label}' AS label FROM spots WHERE "
+        + " AND ".join(f"words[i + {j}] = '{w}'" for j, w in enumerate(phrase.split(" "), 1))
+        for phrase, label in licenses.BASE.items()
+    )
+    span = licenses.SPAN
+    return rf"""
+WITH rules(anchor, pattern, label, priority, weight, n) AS (VALUES
+    {rules}
+), docs AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), spots AS (
+  SELECT k, words, unnest(range(len(words))) AS i FROM docs
+), base AS ({base}), tried AS (
+  SELECT k, i, rtrim(regexp_extract(array_to_string(words[i + 1:i + {span}], ' '), pattern)) AS hit, label, priority, weight, n
+  FROM spots JOIN rules ON anchor = words[i + 1]
+), hits AS (
+  SELECT k, i, i + len(string_split(hit, ' ')) AS e, label, priority, weight
+  FROM tried WHERE hit <> '' QUALIFY row_number() OVER (PARTITION BY k, i ORDER BY n) = 1
+), kept AS (
+  SELECT k, label, weight FROM hits h WHERE NOT EXISTS (
+    SELECT 1 FROM hits o WHERE o.k = h.k AND o.i < h.i AND o.e >= h.e AND o.priority >= h.priority)
+), b AS (
+  SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY k
+), l AS (
+  SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT k, label FROM kept UNION SELECT k, label FROM base) GROUP BY k
+), s AS (SELECT k, max(weight) AS score FROM kept GROUP BY k)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  greatest(coalesce(score, 0), CASE WHEN n_base > 0 THEN 0.7 ELSE 0 END)::DOUBLE AS score
+FROM docs LEFT JOIN b USING (k) LEFT JOIN l USING (k) LEFT JOIN s USING (k)
+"""
+
+
+SQL["op4_license_scan"] = licence_sql()
