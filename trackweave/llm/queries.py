@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import licenses, quality_rules, sharding
+from trackweave.llm import bpe, licenses, packing, quality_rules, sharding
 from trackweave.llm.sql import SQL as ALL_SQL
 from trackweave.session import configure
 
@@ -62,3 +63,27 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels",
         F.round("score", 6).alias("score"),
     )
+
+
+@query
+def op1_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(
+        documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+        "window", "step_group",
+    )
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe.encode(
+        documents(spark, folder), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
