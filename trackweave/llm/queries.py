@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import bpe, licenses, packing, quality_rules, sharding
+from trackweave.llm import bpe, licenses, packing, quality_rules, sharding, substring_dedup
 from trackweave.llm.sql import SQL as ALL_SQL
 from trackweave.session import configure
 
@@ -87,3 +87,9 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_suffix_trees(spark: SparkSession, folder: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(documents(spark, folder))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

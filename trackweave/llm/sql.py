@@ -115,3 +115,23 @@ FROM docs LEFT JOIN b USING (k) LEFT JOIN l USING (k) LEFT JOIN s USING (k)
 
 
 SQL["op4_license_scan"] = licence_sql()
+
+SQL["op7_suffix_trees"] = rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents
+), spots AS (
+  SELECT doc_id, i, array_to_string(words[i + 1:i + 20], ' ') AS passage
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 19)) AS i FROM docs WHERE len(words) >= 20)
+), repeats AS (
+  SELECT doc_id, i FROM spots QUALIFY row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) > 1
+), covered AS (
+  SELECT DISTINCT doc_id, i + k AS place FROM repeats, range(20) AS o(k)
+), words AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM docs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS body, count(*) AS n FROM words ANTI JOIN covered USING (doc_id, place)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
