@@ -3,9 +3,11 @@
 Texts are cut by the vocabulary's pattern. The distinct new words of an Arrow
 batch form one corpus: their bytes lie in one linked list, and an inverted
 index leads from the rank of a token pair to all positions where the pair
-stands. Ranks are applied in order; a merge touches only its two neighbours,
-whose new pairs enter the index. A pair's rank is that of its joined bytes, so
-a word gets what merging it alone, lowest rank first and leftmost first, gives.
+stands. Ranks are applied in order, all places of a rank at once; a merge touches only
+its two neighbours, whose new pairs enter the index. A pair's rank is that of
+its joined bytes, so a word gets what merging it alone, lowest rank first and
+leftmost first, gives; words in which that order matters inside one rank
+(places that touch, a new pair of lower rank) are finished one by one.
 
 Work is per partition, without a shuffle. Words already encoded by a task are
 kept up to ``CACHE`` of them, then forgotten; memory does not grow with the data.
@@ -21,6 +23,7 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -39,16 +42,21 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def pair_rank(self, left: int, right: int) -> int:
-        """Rank of two joined tokens; -1 if they never merge."""
-        rank = self.pairs.get((left, right))
-        if rank is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            rank = self.pairs[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return rank
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
+        pairs = {
+            ranks[t[:k]] << 32 | ranks[t[k:]]: r
+            for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
+        }
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of joined tokens; -1 where one is missing or they never merge."""
+        if not len(self.pair_keys):
+            return np.full(len(left), -1)
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[at], -1)
 
     def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of every word. Words that are tokens themselves need no merges."""
@@ -58,51 +66,93 @@ class MergeReplay:
         return [next(merged) if t is None else (t,) for t in whole]
 
     def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        single = [self.ranks[bytes([b])] for b in range(256)]
-        symbol: list[int] = []
-        starts = [0]
-        for word in words:
-            symbol += [single[b] for b in word]
-            symbol.append(-1)  # ends the word: no pair crosses it
-            starts.append(len(symbol))
-        after = list(range(1, len(symbol) + 1))
-        before = list(range(-1, len(symbol) - 1))
-        rank_of, index = self.pair_rank, {}
-        for i in range(len(symbol) - 1):
-            if symbol[i] >= 0 and symbol[i + 1] >= 0:
-                rank = rank_of(symbol[i], symbol[i + 1])
-                if rank >= 0:
-                    index.setdefault(rank, []).append(i)
-        queue = list(index)
-        heapq.heapify(queue)
+        if not words:
+            return []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.concatenate(([0], np.cumsum(sizes + 1)))  # a blank place ends every word
+        symbol = self.single[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
+        symbol[starts[1:] - 1] = -1
+        pair = np.concatenate((self.rank_of(symbol[:-1], symbol[1:]), [-1]))
+        after = np.arange(1, len(symbol) + 1)
+        before = np.arange(-1, len(symbol) - 1)
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def put(ranks: np.ndarray, places: np.ndarray) -> None:
+            """Add places to the index; a rank that was not in it enters the queue."""
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1], [True]))).tolist()
+            for r, a, b in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
+                if r in index:
+                    index[r].append(places[a:b])
+                else:
+                    index[r] = [places[a:b]]
+                    heapq.heappush(queue, r)
+
+        live = np.flatnonzero(pair >= 0)
+        if len(live):
+            put(pair[live], live)
         while queue:
             rank = heapq.heappop(queue)
-            places = sorted(index.pop(rank, ()))
-            for k, i in enumerate(places):
-                j = after[i]
-                # The pair may be gone: its left token is part of another (-2) or has another right neighbour.
-                if symbol[i] < 0 or symbol[j] < 0 or rank_of(symbol[i], symbol[j]) != rank:
-                    continue
-                symbol[i], symbol[j] = rank, -2
-                after[i] = n = after[j]
+            of = index.pop(rank)
+            places = np.sort(np.concatenate(of)) if len(of) > 1 else of[0]
+            places = places[pair[places] == rank]  # others have lost one of their tokens
+            if not len(places):
+                continue
+            second = after[places]
+            right, left = after[second], before[places]
+            new_right = self.rank_of(np.full(len(places), rank), symbol[right])
+            new_left = self.rank_of(np.where(left >= 0, symbol[left], -1), np.full(len(places), rank))
+            # Places that touch each other, or a merge that opens a lower rank: there the order inside the word matters.
+            hard = (pair[second] == rank) | (pair[right] == rank)
+            hard |= ((new_right >= 0) & (new_right < rank)) | ((new_left >= 0) & (new_left < rank))
+            if hard.any():
+                word = np.searchsorted(starts, places, side="right") - 1
+                finished = np.unique(word[hard])
+                for w in finished.tolist():
+                    self.finish(symbol, pair, int(starts[w]), int(starts[w + 1]) - 1)
+                easy = ~np.isin(word, finished)
+                places, second, right, left = places[easy], second[easy], right[easy], left[easy]
+                new_right, new_left = new_right[easy], new_left[easy]
+            symbol[places], symbol[second], pair[second] = rank, -2, -1
+            after[places], before[right] = right, places
+            pair[places] = new_right
+            has_left = left >= 0
+            pair[left[has_left]] = new_left[has_left]
+            ranks = np.concatenate((new_right, new_left))
+            keep = ranks >= 0
+            if keep.any():
+                put(ranks[keep], np.concatenate((places, left))[keep])
+        kept = symbol >= 0
+        ids, counts = symbol[kept].tolist(), np.add.reduceat(kept, starts[:-1]).tolist()
+        ends = np.cumsum(counts).tolist()
+        return [tuple(ids[e - n:e]) for e, n in zip(ends, counts, strict=True)]
+
+    def finish(self, symbol: np.ndarray, pair: np.ndarray, start: int, end: int) -> None:
+        """Merge one word to its end, lowest rank first and leftmost first, with a queue of its own pairs."""
+        tokens = [s for s in symbol[start:end].tolist() if s >= 0]
+        after, before = list(range(1, len(tokens) + 1)), list(range(-1, len(tokens) - 1))
+        join = lambda a, b: self.ranks.get(self.tokens[tokens[a]] + self.tokens[tokens[b]], -1)
+        queue = [(r, i) for i in range(len(tokens) - 1) if (r := join(i, i + 1)) >= 0]
+        heapq.heapify(queue)
+        while queue:
+            rank, i = heapq.heappop(queue)
+            j = after[i]
+            if tokens[i] < 0 or j >= len(tokens) or join(i, j) != rank:
+                continue
+            tokens[i], tokens[j] = rank, -1
+            after[i] = n = after[j]
+            if n < len(tokens):
                 before[n] = i
-                lowest = rank
-                p = before[i]
-                for left, right in ((p, i), (i, n)):
-                    if left >= 0 and symbol[left] >= 0 and symbol[right] >= 0:
-                        new = rank_of(symbol[left], symbol[right])
-                        if new >= 0:
-                            if new not in index:
-                                index[new] = []
-                                heapq.heappush(queue, new)
-                            index[new].append(left)
-                            lowest = min(lowest, new)
-                if lowest < rank:  # it comes first; the places left wait for their turn
-                    if rank not in index:
-                        heapq.heappush(queue, rank)
-                    index.setdefault(rank, []).extend(places[k + 1:])
-                    break
-        return [tuple(s for s in symbol[a:b] if s >= 0) for a, b in zip(starts, starts[1:], strict=False)]
+                if (r := join(i, n)) >= 0:
+                    heapq.heappush(queue, (r, i))
+            p = before[i]
+            if p >= 0 and (r := join(p, i)) >= 0:
+                heapq.heappush(queue, (r, p))
+        symbol[start:end], pair[start:end] = -2, -1
+        done = [t for t in tokens if t >= 0]
+        symbol[start:start + len(done)] = done
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -115,7 +165,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
         names = None
         for batch in batches:
             names = names or batch.schema.names
-            # Small slices: the words of one slice and its ids are all that is held at once.
+            # Slices of bounded size: the words of one slice and its ids are all that is held at once.
             for part in slices(batch, batch.schema.get_field_index(text)):
                 words = [cut.findall(t or "") for t in part.column(text).to_pylist()]
                 if len(known) > CACHE:
@@ -135,7 +185,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     return docs.mapInArrow(run, f"{schema}, ids array<int>, decoded binary")
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text; a longer text is alone."""
     start = size = 0
     for i, value in enumerate(batch.column(column)):
