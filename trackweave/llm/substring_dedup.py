@@ -17,7 +17,7 @@ need no deeper nodes. The steps:
 4. Marked starts go back to their documents, whose covered words are removed.
 
 Words are compared by 64-bit fingerprints together with the prefix group.
-Shuffled are about ten bytes per word, and each text once.
+Shuffled are about ten bytes per word, and the texts that have repeats.
 
 Defined cases: documents are ordered by id (NULL first), then by a hash of the
 text; repeated rows count as one document and get one result. A NULL text has
@@ -34,7 +34,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trackweave.llm.words import cut, windows
+from trackweave.llm.sieve import flag_partners
+from trackweave.llm.words import cut, mix, windows
 from trackweave.session import materialize
 
 #: Words of a window; a passage of so many words counts as repeated.
@@ -51,7 +52,8 @@ REPORT = 16
 SLICE = 8 << 20
 
 SENT = "bucket int, doc_ids binary, hashes binary, counts binary, keys binary, starts binary, marked boolean"
-MARKED = "id long, hash long, starts binary"
+BACK = "part int, doc_ids binary, hashes binary, counts binary, starts binary"
+MARKED = "_id long, _hash int, _starts binary"
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -145,13 +147,6 @@ def ordered_batch(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Arra
     return ids[new], hashes[new], part.column(2).take(pa.array(order[new]))
 
 
-def per_document(doc: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(document, its starts) of starts that lie grouped by document."""
-    edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))) if len(doc) else np.zeros(1, np.int64)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(doc[a]), starts[a:b]
-
-
 def send(window: int, split: list[np.ndarray], buckets: int):
     """The map side of step 2."""
 
@@ -163,7 +158,7 @@ def send(window: int, split: list[np.ndarray], buckets: int):
             rows = []
             known, places = doc[again], start[again]
             if len(known):  # repeats inside the batch, passed on as they are
-                rows.append((int(hashes[known[0]] % buckets), *packed(ids, hashes, known, None, places), True))
+                rows.append((int(ids[known[0]] % buckets), *packed(ids, hashes, known, None, places), True))
             group = route([p[first] for p in prefixes], keys[first], split, buckets)
             order = np.argsort(group, kind="stable")
             cuts = np.searchsorted(group[order], np.arange(buckets + 1))
@@ -185,52 +180,89 @@ def packed(ids, hashes, doc, keys, starts) -> tuple[bytes, bytes, bytes, bytes,
     """Documents in order with their counts, then one key and one start per suffix."""
     which, counts = np.unique(doc, return_counts=True)
     return (
-        ids[which].astype("<i8").tobytes(), hashes[which].astype("<i8").tobytes(), counts.astype("<u4").tobytes(),
-        b"" if keys is None else keys.astype("<u8").tobytes(),
-        starts.astype("<u4" if len(starts) and starts.max() > 65535 else "<u2").tobytes(),
+        ids[which].astype("<i8").tobytes(), hashes[which].astype("<i4").tobytes(), short(counts),
+        b"" if keys is None else keys.astype("<u8").tobytes(), short(starts),
     )
 
 
-def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    counts = np.frombuffer(row.counts, "<u4")
-    total = int(counts.sum())
-    starts = np.frombuffer(row.starts, "<u2" if len(row.starts) == 2 * total else "<u4").astype(np.int64)
-    return (
-        np.repeat(np.frombuffer(row.doc_ids, "<i8"), counts), np.repeat(np.frombuffer(row.hashes, "<i8"), counts),
-        np.frombuffer(row.keys, "<u8"), starts,
-    )
+def short(numbers: np.ndarray) -> bytes:
+    """Two bytes each where all fit, else four."""
+    return numbers.astype("<u4" if len(numbers) and numbers.max() > 65535 else "<u2").tobytes()
+
+
+def unshort(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
+
+
+def unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Id, hash and start of every suffix of a row."""
+    ids, hashes = np.frombuffer(row.doc_ids, "<i8"), np.frombuffer(row.hashes, "<i4")
+    counts = unshort(row.counts, len(ids))
+    return np.repeat(ids, counts), np.repeat(hashes, counts), unshort(row.starts, int(counts.sum()))
+
+
+def documents_of(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Edges of the runs of one document, with the end."""
+    return np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]), [True])))
+
+
+def subtree(parts: int):
+    """Step 3: nodes of full depth are runs in the sorted suffixes; all but the first suffix are marked.
+
+    Marks are sent on by document, a row per part of the documents.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = [unpacked(row) for row in group[group.marked].itertuples()]
+        sent = group[~group.marked]
+        if len(sent):
+            keys = np.concatenate([np.frombuffer(k, "<u8") for k in sent["keys"]])
+            ids, hashes, starts = (np.concatenate(x) for x in zip(*map(unpacked, sent.itertuples()), strict=True))
+            order = np.argsort(keys, kind="stable")
+            ranked = keys[order]
+            same = ranked[1:] == ranked[:-1]
+            shared = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+            ids, hashes, keys, starts = ids[shared], hashes[shared], keys[shared], starts[shared]
+            order = np.lexsort((starts, hashes, ids, keys))
+            ids, hashes, keys, starts = ids[order], hashes[order], keys[order], starts[order]
+            if len(keys):
+                new = np.concatenate(([True], keys[1:] != keys[:-1]))
+                head = np.flatnonzero(new)[np.cumsum(new) - 1]
+                later = (ids != ids[head]) | (hashes != hashes[head]) | (starts != starts[head])
+                out.append((ids[later], hashes[later], starts[later]))
+        rows = []
+        if out:
+            ids, hashes, starts = (np.concatenate(x) for x in zip(*out, strict=True))
+            part = part_of(ids, hashes, parts)
+            order = np.lexsort((starts, hashes, ids, part))
+            ids, hashes, starts, part = ids[order], hashes[order], starts[order], part[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            for p in range(parts):
+                a, b = cuts[p], cuts[p + 1]
+                if a < b:
+                    edge = documents_of(ids[a:b], hashes[a:b])
+                    rows.append((
+                        p, ids[a:b][edge[:-1]].tobytes(), hashes[a:b][edge[:-1]].tobytes(), short(np.diff(edge)), short(starts[a:b])
+                    ))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in BACK.split(", ")])
+
+    return run
+
+
+def part_of(ids: np.ndarray, hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64) ^ (hashes.astype(np.uint64) << np.uint64(32))) % np.uint64(parts)).astype(np.int64)
 
 
-def subtree(group: pd.DataFrame) -> pd.DataFrame:
-    """Steps 3: nodes of full depth are runs in the sorted suffixes; all but the first suffix are marked."""
-    out = []
-    for row in group[group.marked].itertuples():
-        ids, hashes, _, starts = unpacked(row)
-        out.append((ids, hashes, starts))
-    parts = [unpacked(row) for row in group[~group.marked].itertuples()]
-    if parts:
-        ids, hashes, keys, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        same = ranked[1:] == ranked[:-1]
-        shared = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(ranked) else order
-        ids, hashes, keys, starts = ids[shared], hashes[shared], keys[shared], starts[shared]
-        order = np.lexsort((starts, hashes, ids, keys))
-        ids, hashes, keys, starts = ids[order], hashes[order], keys[order], starts[order]
-        node = np.cumsum(np.concatenate(([True], keys[1:] != keys[:-1]))) - 1 if len(keys) else np.zeros(0, np.int64)
-        head = np.searchsorted(node, np.arange(node[-1] + 1)) if len(node) else node
-        later = (ids != ids[head[node]]) | (hashes != hashes[head[node]]) | (starts != starts[head[node]])
-        back = np.flatnonzero(later)
-        back = back[np.lexsort((starts[back], hashes[back], ids[back]))]
-        out.append((ids[back], hashes[back], starts[back]))
-    rows = []
-    for ids, hashes, starts in out:
-        if not len(ids):
-            continue
-        edge = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]), [True])))
-        rows += [(ids[a], hashes[a], starts[a:b].astype("<u4").tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return pd.DataFrame(rows, columns=["id", "hash", "starts"])
+def gather(group: pd.DataFrame) -> pd.DataFrame:
+    """All marked starts of every document of a part, ascending."""
+    ids, hashes, starts = (np.concatenate(x) for x in zip(*map(unpacked, group.itertuples()), strict=True))
+    order = np.lexsort((starts, hashes, ids))
+    ids, hashes, starts = ids[order], hashes[order], starts[order]
+    edge = documents_of(ids, hashes)
+    return pd.DataFrame({
+        "_id": ids[edge[:-1]], "_hash": hashes[edge[:-1]],
+        "_starts": [starts[a:b].astype("<u4").tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)],
+    })
 
 
 def remove(window: int):
@@ -243,10 +275,9 @@ def remove(window: int):
             for text, marks in zip(texts, batch.column("_starts"), strict=True):
                 words = (text or b"").split()  # bytes: splits at the six ASCII blanks only
                 n_words.append(len(words))
-                starts = [np.frombuffer(x.as_py(), "<u4") for x in marks.values] if marks.is_valid else []
-                if starts:
+                if marks.is_valid:
                     edges = np.zeros(len(words) + 1, np.int32)
-                    every = np.concatenate(starts)
+                    every = np.frombuffer(marks.as_buffer(), "<u4")
                     np.add.at(edges, every, 1)
                     np.add.at(edges, every + window, -1)
                     stays = np.cumsum(edges[:-1]) == 0
@@ -265,23 +296,31 @@ def remove(window: int):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP, per_partition: int = PER_PARTITION) -> DataFrame:
     """Add n_words, n_removed and ``kept`` (the words that stay, joined by one space) to ``docs`` (doc_id, text, ...)."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    lowest = F.lit(np.iinfo(np.int64).min)
+    doc_id, doc_hash = F.coalesce(F.col("doc_id").cast("long"), lowest), F.hash("text")
+    keyed = docs.select(doc_id.alias("id"), doc_hash.alias("hash"), "text")
     total, split = split_prefixes(docs, window, group)
-    buckets = max(1, -(-total // per_partition), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, -(-total // per_partition), min(parts, -(-total // (per_partition // 8))))
     sent = keyed.mapInArrow(send(window, split, buckets), SENT)
-    marked = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(subtree, MARKED)
-    lists = marked.groupBy("id", "hash").agg(F.collect_list("starts").alias("_starts"))
-    lowest = F.lit(np.iinfo(np.int64).min)
-    lists = materialize(lists.withColumnsRenamed({"id": "_id", "hash": "_hash"}), "repeats")
-    joined = docs.join(
-        lists, (F.coalesce(docs["doc_id"].cast("long"), lowest) == lists["_id"]) & (F.xxhash64(docs["text"]) == lists["_hash"]), "left"
+    back = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(subtree(parts), BACK)
+    lists = materialize(back.groupBy("part").applyInPandas(gather, MARKED), "repeats")
+    # Texts without a mark need no partner and are not shuffled.
+    flagged = flag_partners(docs, F.xxhash64(doc_id, doc_hash), lists, F.xxhash64("_id", "_hash"), "_maybe")
+    joined = flagged.filter("_maybe").drop("_maybe").join(
+        lists, (doc_id == F.col("_id")) & (doc_hash == F.col("_hash")), "left"
     ).drop("_id", "_hash")
+    rest = flagged.filter("NOT _maybe").drop("_maybe").withColumn("_starts", F.lit(None).cast("binary"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(remove(window), f"{schema}, n_words long, n_removed long, kept string")
+    return joined.unionByName(rest).mapInArrow(remove(window), f"{schema}, n_words long, n_removed long, kept string")
 
 
 def substring_stage(docs: DataFrame) -> DataFrame:
     """Documents with repeated passages removed; texts without any stay as they are."""
-    done = remove_repeats(docs)
-    changed = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return done.withColumn("text", changed).select(*docs.columns)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]).alias("_rest")
+    done = remove_repeats(docs.select("doc_id", "text", rest))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    own = {"doc_id": F.col("doc_id"), "text": text}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("_rest.n_chars"))
+    return done.select(*[own.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns])
