@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import bpe, licenses, packing, quality_rules, sharding, substring_dedup
+from trackweave.llm import bpe, jaccard_join, licenses, packing, quality_rules, sharding, substring_dedup
 from trackweave.llm.sql import SQL as ALL_SQL
 from trackweave.session import configure
 
@@ -93,3 +93,11 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op7_suffix_trees(spark: SparkSession, folder: str) -> DataFrame:
     done = substring_dedup.remove_repeats(documents(spark, folder))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    joined = jaccard_join.join_documents(documents(spark, folder))
+    return joined.select(
+        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id")
+    )
