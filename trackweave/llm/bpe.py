@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 
 #: Words whose ids a task remembers.
 CACHE = 400_000
+#: Bytes of text whose new words are encoded together, and whose ids are put together at a time.
+WORDS_OF, ASSEMBLE = 12 << 20, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,7 +56,7 @@ class MergeReplay:
         """Ranks of joined tokens; -1 where one is missing or they never merge."""
         if not len(self.pair_keys):
             return np.full(len(left), -1)
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[at], -1)
 
@@ -65,16 +67,21 @@ class MergeReplay:
         merged = iter(self.replay(open_words))
         return [next(merged) if t is None else (t,) for t in whole]
 
+    def token_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens by id, joined, and where each begins (with the end)."""
+        tokens = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
+        return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
+
     def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
         if not words:
             return []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.concatenate(([0], np.cumsum(sizes + 1)))  # a blank place ends every word
-        symbol = self.single[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
+        symbol = self.single.astype(np.int32)[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
         symbol[starts[1:] - 1] = -1
-        pair = np.concatenate((self.rank_of(symbol[:-1], symbol[1:]), [-1]))
-        after = np.arange(1, len(symbol) + 1)
-        before = np.arange(-1, len(symbol) - 1)
+        pair = np.concatenate((self.rank_of(symbol[:-1], symbol[1:]), [-1])).astype(np.int32)
+        after = np.arange(1, len(symbol) + 1, dtype=np.int32)
+        before = np.arange(-1, len(symbol) - 1, dtype=np.int32)
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
 
@@ -90,7 +97,7 @@ class MergeReplay:
                     index[r] = [places[a:b]]
                     heapq.heappush(queue, r)
 
-        live = np.flatnonzero(pair >= 0)
+        live = np.flatnonzero(pair >= 0).astype(np.int32)
         if len(live):
             put(pair[live], live)
         while queue:
@@ -155,37 +162,87 @@ class MergeReplay:
         symbol[start:start + len(done)] = done
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``flat``, joined, and their lengths."""
+    lengths = starts[which + 1] - starts[which]
+    shift = starts[which] - (np.cumsum(lengths) - lengths)
+    return flat[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
+
+
+def joined(lengths: np.ndarray, groups: np.ndarray, kind) -> np.ndarray:
+    """Offsets of groups of runs: ``groups`` are the counts of runs per group."""
+    sums = np.concatenate(([0], np.cumsum(lengths)))
+    return sums[np.concatenate(([0], np.cumsum(groups)))].astype(kind)
+
+
+class Encoder:
+    """Encodes slices of texts; remembers the words it has met, up to ``CACHE``."""
+
+    def __init__(self, ranks_path: str, pattern: str):
+        import regex
+
+        self.cut, self.replay = regex.compile(pattern), MergeReplay(read_ranks(ranks_path))
+        self.bytes, self.byte_starts = self.replay.token_table()
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = Numbers()
+        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def number(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The words of every text as numbers; words not met before are encoded together."""
+        if len(self.words) > CACHE:
+            self.forget()
+        known, number = len(self.words), self.words.__getitem__
+        numbers = []
+        for text in texts:
+            words = self.cut.findall(text or "")
+            numbers.append(np.fromiter(map(number, words), np.int32, len(words)))
+        new = self.replay.encode([w.encode() for w in islice(self.words, known, None)])
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(i) for i in new], dtype=np.int64)))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(new), np.int32)))
+        return numbers
+
+    def assemble(self, numbers: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+        """Lists of ids, and the bytes that they stand for."""
+        counts = np.array([len(n) for n in numbers])
+        ids, lengths = gather(self.flat, self.starts, np.concatenate(numbers))
+        at = joined(lengths, counts, np.int32)
+        data, sizes = gather(self.bytes, self.byte_starts, ids)
+        ends = joined(sizes, np.diff(at), np.int32)
+        decoded = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(ids)), decoded
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add ``ids array<int>`` and ``decoded binary``, the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        cut, replay, known = regex.compile(pattern), MergeReplay(read_ranks(ranks_path)), {}
-        names = None
+        encoder = Encoder(ranks_path, pattern)
         for batch in batches:
-            names = names or batch.schema.names
-            # Slices of bounded size: the words of one slice and its ids are all that is held at once.
-            for part in slices(batch, batch.schema.get_field_index(text)):
-                words = [cut.findall(t or "") for t in part.column(text).to_pylist()]
-                if len(known) > CACHE:
-                    known.clear()
-                new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in known]
-                known.update(zip(new, replay.encode([w.encode() for w in new]), strict=True))
-                ids = [list(chain.from_iterable(map(known.__getitem__, w))) for w in words]
-                decoded = [b"".join(map(replay.tokens.__getitem__, i)) for i in ids]
-                kept = [n for n in names if n not in ("ids", "decoded")]
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(n) for n in kept], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
-                    names=[*kept, "ids", "decoded"],
-                )
+            column = batch.schema.get_field_index(text)
+            kept = [n for n in batch.schema.names if n not in ("ids", "decoded")]
+            for part in slices(batch, column, WORDS_OF):
+                numbers, at = encoder.number(part.column(column).to_pylist()), 0
+                for few in slices(part, column, ASSEMBLE):
+                    done = encoder.assemble(numbers[at:at + few.num_rows])
+                    at += few.num_rows
+                    yield pa.RecordBatch.from_arrays([*[few.column(n) for n in kept], *done], names=[*kept, "ids", "decoded"])
 
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.mapInArrow(run, f"{schema}, ids array<int>, decoded binary")
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text; a longer text is alone."""
     start = size = 0
     for i, value in enumerate(batch.column(column)):
