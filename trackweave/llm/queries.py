@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import bpe, jaccard_join, licenses, packing, quality_rules, sharding, substring_dedup
+from trackweave.llm import bpe, jaccard_join, licenses, packing, quality_rules, secrets, sharding, substring_dedup
 from trackweave.llm.sql import SQL as ALL_SQL
 from trackweave.session import configure
 
@@ -101,3 +101,14 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(
         F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id")
     )
+
+
+@query
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    found = secrets.scan(docs, secrets.train(secrets.samples(docs)))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"),
+    )
