@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import bpe, jaccard_join, licenses, packing, quality_rules, secrets, sharding, substring_dedup
+from trackweave.llm import bpe, graph_search, jaccard_join, licenses, packing, quality_rules, secrets, sharding, substring_dedup
 from trackweave.llm.sql import SQL as ALL_SQL
 from trackweave.session import configure
 
@@ -112,3 +112,8 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op3_pruned_graph_search(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_search.nearest(table(spark, folder, "embeddings", "vec_id", "embedding"), every=20, k=20)
