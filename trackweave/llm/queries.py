@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import bpe, graph_search, jaccard_join, licenses, packing, quality_rules, secrets, sharding, substring_dedup
+from trackweave.llm import bpe, graph_search, jaccard_join, licenses, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup
 from trackweave.llm.sql import SQL as ALL_SQL
 from trackweave.session import configure
 
@@ -117,3 +117,14 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_pruned_graph_search(spark: SparkSession, folder: str) -> DataFrame:
     return graph_search.nearest(table(spark, folder, "embeddings", "vec_id", "embedding"), every=20, k=20)
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = quality_classifier.train(docs, table(spark, folder, "labels", "doc_id", "quality"))
+    scored = quality_classifier.score(docs, model)
+    return scored.select(
+        "doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality_classifier.GOOD).cast("int").alias("predicted"),
+    )
