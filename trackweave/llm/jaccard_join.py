@@ -53,7 +53,7 @@ BLOCK = 1_000_000
 PER_PARTITION = 6_000_000
 
 SENT = "bucket int, classes binary, sizes binary, counts binary, rests binary, kind int"
-COUNTED = "class long, size long, n long"
+COUNTED = "part int, classes binary, sizes binary, counts binary"
 
 
 def need(size: Column) -> Column:
@@ -140,8 +140,47 @@ def send(k: int, buckets: int):
     return run
 
 
-def count_group(group: pd.DataFrame) -> pd.DataFrame:
-    """Reduce side of step 1: per class, how many of its shingles of this group occur elsewhere too."""
+def count_group(parts: int):
+    """Reduce side of step 1: per class, how many of its shingles of this group occur elsewhere too.
+
+    Counts are sent on in one row per part of the classes.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        classes, sizes, n = repeated_in(group)
+        part = np.abs(classes % parts)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = []
+        for p in range(parts):
+            mine = order[cuts[p]:cuts[p + 1]]
+            if len(mine):
+                rows.append((p, classes[mine].tobytes(), sizes[mine].astype("<u4").tobytes(), short(n[mine])))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in COUNTED.split(", ")])
+
+    return run
+
+
+def open_classes(group: pd.DataFrame) -> pd.DataFrame:
+    """The classes of a part that have as many repeated shingles as a link needs."""
+    classes = [np.frombuffer(r, "<i8") for r in group["classes"]]
+    counts = np.concatenate([unshort(r, len(c)) for r, c in zip(group["counts"], classes, strict=True)])
+    sizes = np.concatenate([np.frombuffer(r, "<u4").astype(np.int64) for r in group["sizes"]])
+    found, size, n = summed(np.concatenate(classes), sizes, counts)
+    enough = n >= (size * PERCENT + 99) // 100
+    return pd.DataFrame({"class": found[enough], "size": size[enough]})
+
+
+def summed(classes: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry per class: its size, where one is known, and the sum of its counts."""
+    found, inverse = np.unique(classes, return_inverse=True)
+    most = np.zeros(len(found), np.int64)
+    np.maximum.at(most, inverse, sizes)
+    return found, most, np.bincount(inverse, n, len(found)).astype(np.int64)
+
+
+def repeated_in(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, sizes (0 where not told) and counts of repeated shingles of one hash group."""
     out = []
     for r in group[group.kind == 1].itertuples():
         classes = np.frombuffer(r.classes, "<i8")
@@ -162,13 +201,8 @@ def count_group(group: pd.DataFrame) -> pd.DataFrame:
         found, n = np.unique(holder[hit], return_counts=True)
         out.append((found, np.zeros(len(found), np.int64), n))
     if not out:
-        return pd.DataFrame({"class": [], "size": [], "n": []}).astype("int64")
-    classes, sizes, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    # One row per class and group, whatever the number of slices.
-    found, inverse = np.unique(classes, return_inverse=True)
-    most = np.zeros(len(found), np.int64)
-    np.maximum.at(most, inverse, sizes)
-    return pd.DataFrame({"class": found, "size": most, "n": np.bincount(inverse, n, len(found)).astype(np.int64)})
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return summed(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
 def describe(k: int):
@@ -199,14 +233,12 @@ def candidates(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     buckets = max(1, -(-shingles // PER_PARTITION), min(parts, -(-shingles // (PER_PARTITION // 8))))
     counted = docs.select("text").mapInArrow(send(k, buckets), SENT).repartition(buckets, "bucket").groupBy(
         "bucket"
-    ).applyInPandas(count_group, COUNTED)
-    open_classes = counted.groupBy("class").agg(F.sum("n").alias("n"), F.max("size").alias("size")).filter(
-        F.col("n") >= need(F.col("size"))
-    )
+    ).applyInPandas(count_group(parts), COUNTED)
+    can_link = counted.groupBy("part").applyInPandas(open_classes, "class long, size long")
     one = members.filter("size > 0").groupBy("class", "size").agg(
         F.min(F.struct(F.coalesce("id", F.lit(np.iinfo(np.int64).min)).alias("id"), "hash")).alias("who")
     )
-    chosen = materialize(open_classes.join(one, ["class", "size"]).select("class", "size", "who.id", "who.hash"), "open")
+    chosen = materialize(can_link.join(one, ["class", "size"]).select("class", "size", "who.id", "who.hash"), "open")
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min))
     flagged = flag_partners(
         docs.select(doc_id.alias("id"), text_key.alias("hash"), "text"), F.xxhash64("id", "hash"),
@@ -331,7 +363,7 @@ def block_edges(keys: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def join_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """id, class, size (of the set) and component of every document; one row per row of ``docs``."""
+    """id, hash (of the text), size (of the set), root and component of every document; one row per row of ``docs``."""
     members, sets = candidates(docs, k)
     cut_sets = materialize(prefixes(sets), "prefixes")
     keys = materialize(keys_of(cut_sets, boundary(cut_sets)), "keys")
@@ -344,6 +376,26 @@ def join_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     named = materialize(named.select("id", "hash", "class", "size", "root"), "roots")
     least = named.filter("size > 0").groupBy("root").agg(F.min("id").alias("least"))
     full = join_hot(named.filter("size > 0"), least, ["root"], "inner").select(
-        "id", "hash", "class", "size", F.col("least").alias("component")
+        "id", "hash", "size", "root", F.col("least").alias("component")
     )
-    return full.unionByName(named.filter("size = 0").select("id", "hash", "class", "size", F.col("id").alias("component")))
+    return full.unionByName(named.filter("size = 0").select("id", "hash", "size", "root", F.col("id").alias("component")))
+
+
+def jaccard_stage(docs: DataFrame) -> DataFrame:
+    """One document of each component: the one with the smallest id (NULL last), then hash of the text.
+
+    Documents without words are in no component and all stay; of repeated rows one stays.
+    """
+    found = join_documents(docs.select("doc_id", "text")).filter("size > 0")
+    lowest, key = F.lit(np.iinfo(np.int64).max), ["id", "hash"]
+    rows = materialize(found.groupBy("root", F.coalesce("id", lowest).alias("id"), "hash").agg(F.count("*").alias("n")), "rows")
+    firsts = rows.groupBy("root").agg(F.min(F.struct(*key)).alias("first"))
+    judged = join_hot(rows, firsts, ["root"], "inner").withColumn("stays", F.struct(*key) == F.col("first"))
+    # Only rows that go, or that are there more than once, take part in the join with the texts.
+    special = materialize(judged.filter("NOT stays OR n > 1").select(*[F.col(c).alias(f"_{c}") for c in (*key, "stays")]), "special")
+    doc_id, text_hash = F.coalesce(F.col("doc_id").cast("long"), lowest), F.xxhash64("text")
+    flagged = flag_partners(docs, F.xxhash64(doc_id, text_hash), special, F.xxhash64("_id", "_hash"), "_maybe")
+    joined = flagged.filter("_maybe").join(special, (doc_id == F.col("_id")) & (text_hash == F.col("_hash")), "left")
+    alone = joined.filter("_stays IS NULL").select(*docs.columns)
+    repeated = joined.filter("_stays").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return flagged.filter("NOT _maybe").select(*docs.columns).unionByName(alone).unionByName(repeated)
