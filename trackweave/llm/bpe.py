@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Words whose ids a task remembers.
-CACHE = 400_000
+CACHE = 200_000
 #: Bytes of text whose new words are encoded together, and whose ids are put together at a time.
-WORDS_OF, ASSEMBLE = 12 << 20, 1 << 20
+WORDS_OF, ASSEMBLE = 6 << 20, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
