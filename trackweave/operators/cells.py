@@ -1,24 +1,34 @@
-"""Approximate search: k-means cells on the unit sphere, stored as partitions.
+"""Approximate search: cells around centres on the unit sphere, stored as partitions.
 
 A query reads only the partitions of its nearest cells and ranks their chunks
-exactly. Probing every cell gives the exact result.
+exactly. Probing every cell gives the exact result. New chunks are assigned to
+the stored centres and appended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trackweave.functions.vectors import has_dimension, norm
-from trackweave.operators.search import search
+from trackweave.operators.keyed import join_hot
+from trackweave.operators.search import (
+    _least_salaries, _PartitionTopK, _unit_rows, best_ranked, filter_columns, search, winner_batch, winner_schema,
+)
 from trackweave.schemas import SEARCH_LIMIT
+from trackweave.session import materialize
 
-NO_CELL = -1  # zero vectors and wrong lengths, which have no direction
+NO_CELL = -1  # vectors without direction: zero, non-finite, or of the wrong length
+# Chunks of a cell that one task ranks, and queries that it ranks them for.
+CHUNK_BLOCK, QUERY_BLOCK = 200_000, 4096
 
 
 @dataclass(frozen=True)
@@ -30,34 +40,56 @@ class CellIndex:
 
     def nearest(self, query: Sequence[float], probes: int) -> list[int]:
         """The ``probes`` cells nearest to the query; all of them include NO_CELL."""
-        if probes >= len(self.centers):
-            return [NO_CELL, *range(len(self.centers))]
-        unit = np.asarray(query, dtype=np.float64)
-        lengths = np.linalg.norm(self.centers, axis=1) * max(float(np.linalg.norm(unit)), 1e-300)
-        scores = (self.centers @ unit) / np.where(lengths > 0, lengths, np.inf)
-        return [int(i) for i in np.argsort(-scores, kind="stable")[:probes]]
+        return nearest_cells(self.centers, np.asarray([query], dtype=np.float64), probes)[0]
+
+
+def nearest_cells(centers: np.ndarray, queries: np.ndarray, probes: int) -> list[list[int]]:
+    """Per query its nearest cells by cosine, ties to the lower number."""
+    if probes >= len(centers):
+        return [[NO_CELL, *range(len(centers))]] * len(queries)
+    lengths = np.linalg.norm(centers, axis=1)
+    units = centers / np.where(lengths > 0, lengths, np.inf)[:, None]
+    scores = np.round(queries @ units.T / np.maximum(np.linalg.norm(queries, axis=1), 1e-300)[:, None], 12)
+    return np.argsort(-scores, axis=1, kind="stable")[:, :probes].tolist()
+
+
+def directed(dim: int) -> Column:
+    """The vector has its length, finite elements, and is not zero."""
+    length = norm(F.col("embedding"))
+    return has_dimension(F.col("embedding"), dim) & F.coalesce((length > 0) & (length < float("inf")), F.lit(False))
+
+
+def fit_centers(chunks: DataFrame, cells: int, dim: int, seed: int = 7) -> np.ndarray:
+    """k-means centres over all vectors with a direction."""
+    vectors = chunks.filter(directed(dim)).select(array_to_vector("embedding").alias("_vector"))
+    model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine", featuresCol="_vector").fit(vectors)
+    return np.array(model.clusterCenters())
+
+
+def assign_cells(chunks: DataFrame, centers: np.ndarray) -> DataFrame:
+    """Add the cell of every chunk: the nearest centre, or NO_CELL."""
+    dim, types = centers.shape[1], chunks.withColumn("cell", F.lit(0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("embedding").to_pylist()
+            good = batch.column("_directed").to_numpy(zero_copy_only=False).astype(bool)
+            cell = np.full(len(rows), NO_CELL, dtype=np.int32)
+            if good.any():
+                vectors = np.array([v for v, g in zip(rows, good, strict=True) if g], dtype=np.float64)
+                cell[good] = [found[0] for found in nearest_cells(centers, vectors, 1)] if len(centers) > 1 else 0
+            kept = batch.drop_columns(["_directed"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell)], names=[*kept.schema.names, "cell"])
+
+    return chunks.drop("cell").withColumn("_directed", directed(dim)).mapInArrow(run, types)
 
 
 def build_cells(
-    chunks: DataFrame, cells: int, dim: int, seed: int = 7, train_per_cell: int = 1000
+    chunks: DataFrame, cells: int, dim: int, seed: int = 7, centers: Sequence[Sequence[float]] | None = None
 ) -> CellIndex:
-    """Fit the centres and assign every chunk to its cell.
-
-    The centres are fitted on about ``train_per_cell`` vectors per cell, since
-    k-means keeps its input in memory; every chunk gets a cell all the same.
-    """
-    usable = has_dimension(F.col("embedding"), dim) & (norm(F.col("embedding")) > 0)
-    with_vector = chunks.filter(usable).withColumn("_vector", array_to_vector("embedding"))
-    train = with_vector.select("_vector")
-    total = chunks.count()
-    if total > cells * train_per_cell:
-        train = train.sample(fraction=cells * train_per_cell / total, seed=seed)
-    model = KMeans(
-        k=cells, seed=seed, maxIter=10, distanceMeasure="cosine", featuresCol="_vector", predictionCol="cell"
-    ).fit(train)
-    assigned = model.transform(with_vector).drop("_vector")
-    rest = chunks.filter(~F.coalesce(usable, F.lit(False))).withColumn("cell", F.lit(NO_CELL))
-    return CellIndex(assigned.unionByName(rest), np.array(model.clusterCenters()))
+    """Assign every chunk to the nearest of the given centres, or of centres fitted on all vectors."""
+    middle = fit_centers(chunks, cells, dim, seed) if centers is None else np.array(centers, dtype=np.float64)
+    return CellIndex(assign_cells(chunks, middle), middle)
 
 
 def write_cells(index: CellIndex, path: str) -> None:
@@ -68,6 +100,12 @@ def write_cells(index: CellIndex, path: str) -> None:
     spark.createDataFrame(rows, "cell int, center array<double>").write.parquet(f"{path}/centers")
 
 
+def add_chunks(spark: SparkSession, path: str, chunks: DataFrame) -> None:
+    """Assign new chunks to the stored centres and append them."""
+    centers = read_cells(spark, path).centers
+    assign_cells(chunks, centers).hint("rebalance", "cell").write.mode("append").partitionBy("cell").parquet(f"{path}/chunks")
+
+
 def read_cells(spark: SparkSession, path: str) -> CellIndex:
     """Open stored cells; searches prune the partitions not probed."""
     rows = sorted(spark.read.parquet(f"{path}/centers").collect(), key=lambda row: row["cell"])
@@ -85,3 +123,61 @@ def search_cells(
     """Like :func:`search`, over the nearest cells only."""
     cells = index.nearest(query, probes)
     return search(index.chunks.filter(F.col("cell").isin(cells)), postings, query, k, **filters)
+
+
+def search_many_cells(index: CellIndex, queries: DataFrame, k: int = SEARCH_LIMIT, probes: int = 4) -> DataFrame:
+    """Like :func:`search_many` for any number of queries, each over its nearest cells only.
+
+    Queries stay a table: each is copied to its cells and meets the chunks
+    there. Crowded cells and crowds of queries are cut into blocks of bounded
+    size; a task ranks one block of chunks for one block of queries and emits k
+    jobs per query.
+    """
+    per_query = {"remote_only", "min_salary"} <= set(queries.columns)
+    extra = ["remote_only", "min_salary"] if per_query else []
+    asked = materialize(queries.select("query_id", "embedding", *extra), "queries")
+    centers = index.centers
+
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            vectors = np.array(rows["embedding"].to_list(), dtype=np.float64).reshape(len(rows), centers.shape[1])
+            yield rows.assign(cell=nearest_cells(centers, vectors, probes)).explode("cell").astype({"cell": "int32"})
+
+    types = asked.withColumn("cell", F.lit(0)).schema
+    routed = asked.mapInPandas(to_cells, types)
+    # One row per cell: how many blocks of chunks and of queries it has.
+    blocks = index.chunks.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK_BLOCK).cast("int").alias("parts")).join(
+        routed.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("sets")), "cell"
+    )
+    blocks = materialize(blocks, "blocks")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    chunk_rows = join_hot(index.chunks.select("cell", *filter_columns(index.chunks, per_query)), blocks, ["cell"], "inner").select(
+        "cell", F.pmod(F.xxhash64("job_id", "chunk_index"), F.col("parts")).cast("int").alias("part"), each("sets").alias("set"),
+        "job_id", "chunk_index", "embedding", *(["remote", "salary_max"] if per_query else []),
+    )
+    query_rows = join_hot(routed, blocks, ["cell"], "inner").select(
+        "cell", each("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("sets")).cast("int").alias("set"),
+        "query_id", "embedding", *extra,
+    )
+    query_sql, job_sql = queries.schema["query_id"].dataType, index.chunks.schema["job_id"].dataType
+    query_type, job_type, schema = to_arrow_type(query_sql), to_arrow_type(job_sql), winner_schema(query_sql, job_sql)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rank(chunk_table: pa.Table, query_table: pa.Table) -> pa.Table:
+        empty = pa.table({n: pa.array([], t) for n, t in zip(names, (query_type, job_type, pa.int32(), pa.float64()), strict=True)})
+        if not chunk_table.num_rows or not query_table.num_rows:
+            return empty
+        units = _unit_rows(query_table["embedding"].to_pylist())
+        flags = salary = None
+        if per_query:
+            flags = np.array([bool(x) for x in query_table["remote_only"].to_pylist()])
+            salary = _least_salaries(query_table["min_salary"].to_pylist())
+        ids = np.array(query_table["query_id"].to_pylist(), dtype=object)
+        found = [winner_batch(rows, ids, query_type, job_type) for rows in _PartitionTopK(units, flags, salary, k)(
+            chunk_table.combine_chunks().to_batches()
+        )]
+        return pa.Table.from_batches(found) if found else empty
+
+    key = ["cell", "part", "set"]
+    found = chunk_rows.groupBy(*key).cogroup(query_rows.groupBy(*key)).applyInArrow(rank, schema)
+    return best_ranked(found, k)

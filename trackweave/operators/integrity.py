@@ -50,7 +50,8 @@ def _orphans(df: DataFrame, col: str, parent: DataFrame, parent_col: str) -> Dat
 
 
 def _key_text(cols: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    """Key columns as JSON, NULLs included: different keys give different texts."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
 def constraint_report(tables: Mapping[str, TableRules]) -> DataFrame:
@@ -104,7 +105,7 @@ def constraint_violations(tables: Mapping[str, TableRules], keys: Mapping[str, S
     shape = ["table_name", "constraint_name", "key", "rows"]
     for name, rules in tables.items():
         for rule, bad in _row_rules(rules).items():
-            rows = rules.df.filter(bad).groupBy(_key_text(keys[name]).alias("key")).agg(F.count("*").alias("rows"))
+            rows = rules.df.filter(bad).groupBy(*keys[name]).agg(F.count("*").alias("rows")).withColumn("key", _key_text(keys[name]))
             parts.append(rows.withColumns({"table_name": F.lit(name), "constraint_name": F.lit(rule)}).select(*shape))
         for cols in rules.unique:
             dup = _duplicates(rules.df, cols).withColumn("key", _key_text(cols))

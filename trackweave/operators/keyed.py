@@ -179,7 +179,7 @@ def replace_owned(
 
 
 def assign_ids(
-    rows: DataFrame, keys: Sequence[str], out: str, after: DataFrame | None = None, buckets: int = 4096
+    rows: DataFrame, keys: Sequence[str], out: str, after: DataFrame | None = None, buckets: int = 1 << 16
 ) -> DataFrame:
     """Dense surrogate ids, without sending all rows through one task.
 

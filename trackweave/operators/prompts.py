@@ -28,8 +28,10 @@ def match_context(
     people = profiles.select(
         "user_id", "headline", "summary", "target_roles", "min_salary", "remote_only"
     ).join(skill_lists(skills), "user_id", "full_outer")
+    # Only as much of the text as any prompt shows goes through the joins.
     listed = postings.select(
-        "job_id", "title", "company", "description", "tags", "remote", "salary_min", "salary_max"
+        "job_id", "title", "company", _start_of("description", max(MATCH_DESCRIPTION, BULLET_DESCRIPTION, LETTER_DESCRIPTION)).alias("description"),
+        "tags", "remote", "salary_min", "salary_max",
     )
     return join_hot(pairs.select("user_id", "job_id"), people, ["user_id"], "left").join(listed, "job_id")
 

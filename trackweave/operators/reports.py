@@ -14,7 +14,7 @@ from trackweave.schemas import ACTIVE_STAGES, HISTORY_MESSAGES, STALE_DAYS
 def tracked_jobs(
     saved: DataFrame, postings: DataFrame, user_id: int | None = None, stage: str | None = None
 ) -> DataFrame:
-    """Saved jobs with their posting, newest change first; no or empty stage means all."""
+    """Saved jobs with their posting; no or empty stage means all. One user's come newest change first."""
     rows = saved if user_id is None else saved.filter(F.col("user_id") == user_id)
     if stage:
         rows = rows.filter(F.col("stage") == stage)
@@ -23,8 +23,9 @@ def tracked_jobs(
         "saved_job_id", "job_id", "stage", "match_score", "saved_at", "updated_at",
         "title", "company", "location", "remote", "url",
     ]
-    lead = ["user_id"] if user_id is None else []
-    return joined.select(*lead, *columns).orderBy(*lead, F.desc("updated_at"), "saved_job_id")
+    if user_id is None:
+        return joined.select("user_id", *columns)
+    return joined.select(*columns).orderBy(F.desc("updated_at"), "saved_job_id")
 
 
 def stale_jobs(
@@ -35,50 +36,37 @@ def stale_jobs(
     stages: Sequence[str] = ACTIVE_STAGES,
     user_id: int | None = None,
 ) -> DataFrame:
-    """Jobs in an active stage last changed before ``as_of - days``, oldest first."""
+    """Jobs in an active stage last changed before ``as_of - days``; one user's come oldest first."""
     rows = saved if user_id is None else saved.filter(F.col("user_id") == user_id)
     rows = rows.filter(F.col("stage").isin(*stages) & (F.col("updated_at") < days_before(as_of, days)))
     joined = rows.join(postings.select("job_id", "title", "company"), "job_id")
-    lead = ["user_id"] if user_id is None else []
-    return joined.select(
-        *lead, "saved_job_id", "job_id", "stage", "updated_at", "title", "company"
-    ).orderBy(*lead, "updated_at", "saved_job_id")
+    columns = ["saved_job_id", "job_id", "stage", "updated_at", "title", "company"]
+    if user_id is None:
+        return joined.select("user_id", *columns)
+    return joined.select(*columns).orderBy("updated_at", "saved_job_id")
 
 
-def stale_banner(stale: DataFrame, per_line: int = 200) -> DataFrame:
-    """Per user the number of stale jobs and their "title at company" lists.
+def stale_banner(stale: DataFrame) -> DataFrame:
+    """One row per stale job: its "title at company" label and how many its user has.
 
-    A user's list comes in lines: one per day of last change, and more where a
-    day has over ``per_line`` jobs, so that no string or task grows with a
-    user's whole history. ``stale_total`` is the user's count on every line.
+    Read a user's rows by (updated_at, saved_job_id): oldest first. No string
+    or group grows with a user's history.
     """
-    day = F.to_date("updated_at").alias("stale_day")
-    sizes = stale.groupBy("user_id", day).agg(F.count("*").alias("_n"))
-    totals = sizes.groupBy("user_id").agg(F.sum("_n").alias("stale_total"))
-    spread = sizes.select(
-        "user_id", "stale_day", F.ceil(F.col("_n") / per_line).cast("int").alias("_lines")
-    )
+    totals = stale.groupBy("user_id").agg(F.count("*").alias("stale_total"))
     label = F.concat(F.col("title"), F.lit(" at "), F.coalesce("company", F.lit("unknown company")))
-    lines = (
-        join_hot(stale.withColumn("stale_day", F.to_date("updated_at")), spread, ["user_id", "stale_day"], "inner")
-        .withColumn("line", F.pmod("saved_job_id", F.col("_lines")).cast("int"))
-        .groupBy("user_id", "stale_day", "line")
-        .agg(
-            F.count("*").alias("jobs"),
-            F.sort_array(F.collect_list(F.struct("updated_at", "saved_job_id", label.alias("label")))).alias("_items"),
-        )
-    )
-    return lines.join(totals, "user_id").select(
-        "user_id", "stale_total", "stale_day", "line", "jobs",
-        F.array_join(F.transform("_items", lambda item: item["label"]), ", ").alias("titles"),
+    return join_hot(stale, totals, ["user_id"], "inner").select(
+        "user_id", "stale_total", "saved_job_id", "updated_at", label.alias("label")
     )
 
 
-def stage_counts(saved: DataFrame, by: str = "stage") -> DataFrame:
-    """Rows per stage and the total, which has is_total = 1."""
-    return saved.rollup(by).agg(
-        F.grouping(by).cast("int").alias("is_total"), F.count("*").alias("jobs")
+def stage_counts(saved: DataFrame, by: str = "stage", owner: str | None = None) -> DataFrame:
+    """Rows per stage and the total, which has is_total = 1; with ``owner`` for each of its values."""
+    keys = [by] if owner is None else [owner, by]
+    rows = saved.rollup(*keys).agg(
+        *([] if owner is None else [F.grouping(owner).alias("_all")]),
+        F.grouping(by).cast("int").alias("is_total"), F.count("*").alias("jobs"),
     )
+    return rows if owner is None else rows.filter("_all = 0").drop("_all")
 
 
 def tracked_with_drafts(saved: DataFrame, applications: DataFrame) -> DataFrame:
@@ -95,8 +83,8 @@ def followups_due(notes: DataFrame, saved: DataFrame, as_of: Column) -> DataFram
 
 
 def recent_messages(messages: DataFrame, n: int = HISTORY_MESSAGES) -> DataFrame:
-    """The last ``n`` messages of each conversation, in turn order."""
-    return first_n(messages, ["conv_id"], [F.desc("turn")], n).orderBy("conv_id", "turn")
+    """The last ``n`` messages of each conversation."""
+    return first_n(messages, ["conv_id"], [F.desc("turn")], n)
 
 
 def profile_of(profiles: DataFrame, user_id: int) -> DataFrame:

@@ -11,11 +11,11 @@ from trackweave.functions.models import hashing_embedder
 from trackweave.functions.text import UNICODE_SPACE
 from trackweave.functions.vectors import cosine_similarity, mean_vectors
 from trackweave.operators import cells
-from trackweave.operators.search import best_per_job, search, search_many
+from trackweave.operators.search import best_per_job, search, search_many, with_filters
 from trackweave.plans.ingest import chunk_rows
 from trackweave.plans.matching import match_profiles, search_text
 from trackweave.plans.registry import Tables, query
-from trackweave.session import work_dir
+from trackweave.session import materialize, work_dir
 from trackweave.sources.store import TableStore
 from trackweave.streaming import streams
 
@@ -147,6 +147,11 @@ by_query AS (
 """
 
 
+def _stored_chunks(t: Tables) -> DataFrame:
+    """Chunks written once with the columns that filters use."""
+    return materialize(with_filters(chunks_from(t), postings_from(t)), "chunks")
+
+
 def _ranked(found: DataFrame) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
@@ -159,7 +164,7 @@ WHERE rank <= {K}
 """)
 def search_batch(t: Tables) -> DataFrame:
     """Many queries in one pass over the chunks."""
-    return _ranked(search_many(chunks_from(t), _group_queries(t), postings_from(t), K))
+    return _ranked(search_many(_stored_chunks(t), _group_queries(t), K))
 
 
 @query(f"""
@@ -174,22 +179,87 @@ WHERE rank <= {K}
 """)
 def search_profiles(t: Tables) -> DataFrame:
     """Many queries, each with filters of its own."""
+    return _ranked(search_many(_stored_chunks(t), _filtered_queries(t), K))
+
+
+def _filtered_queries(t: Tables) -> DataFrame:
     filters = t("documents").groupBy("lang", "source").agg((F.max("n_chars") / 4).alias("_quarter")).select(
         F.concat_ws("-", "lang", "source").alias("query_id"),
         (F.col("lang") == "en").alias("remote_only"),
         F.when(F.col("lang") != "es", F.col("_quarter")).alias("min_salary"),
     )
-    return _ranked(search_many(chunks_from(t), _group_queries(t).join(filters, "query_id"), postings_from(t), K))
+    return _group_queries(t).join(filters, "query_id")
 
 
 def _cells(t: Tables) -> cells.CellIndex:
     return cells.build_cells(chunks_from(t), 10, 64)
 
 
-@query()
+def _label_centers(t: Tables) -> list[list[float]]:
+    """One centre per label, the mean of its vectors (as many as there are labels)."""
+    rows = mean_vectors(t("embeddings"), ["label"]).orderBy("label").collect()
+    return [row["embedding"] for row in rows]
+
+
+# Cells by the same rule: every vector, and every query, to the nearest mean by cosine, ties to the lower number.
+CELLS_SQL = """
+means AS (SELECT row_number() OVER (ORDER BY label) - 1 AS cell, mv FROM (
+  SELECT label, list(m ORDER BY pos) AS mv FROM (
+    SELECT label, pos, avg(x) AS m FROM elements JOIN embeddings USING (vec_id) GROUP BY ALL) GROUP BY label)),
+celled AS (
+  SELECT vec_id, cell FROM (
+    SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, mv), 12) DESC, cell) AS rn
+    FROM chunks CROSS JOIN means) WHERE rn = 1)
+"""
+
+
+@query(f"""
+WITH {BASE_SQL}, {CELLS_SQL},
+probed AS (SELECT cell FROM means CROSS JOIN q ORDER BY round(list_cosine_similarity(mv, qv), 12) DESC, cell LIMIT 4),
+near AS (
+  SELECT job_id, max(sim) AS sim FROM scored JOIN celled USING (vec_id) WHERE cell IN (SELECT cell FROM probed) GROUP BY job_id)
+SELECT {SHOWN_SQL} FROM near JOIN postings USING (job_id) ORDER BY sim DESC, job_id LIMIT {K}
+""")
 def search_ann(t: Tables) -> DataFrame:
-    """Approximate: the four nearest of ten cells."""
-    return _flat(cells.search_cells(_cells(t), postings_from(t), query_vector(t), K, probes=4))
+    """Approximate: the four nearest of the cells around the labels' means."""
+    index = cells.build_cells(chunks_from(t), 0, 64, centers=_label_centers(t))
+    return _flat(cells.search_cells(index, postings_from(t), query_vector(t), K, probes=4))
+
+
+@query(SEARCH_SQL)
+def search_cells_appended(t: Tables) -> DataFrame:
+    """Cells built on half of the chunks, the other half appended, all probed."""
+    path = f"{work_dir(t.spark)}/cells-{uuid.uuid4().hex}"
+    half = F.col("vec_id") % 2 == 0
+    cells.write_cells(cells.build_cells(chunks_from(t).filter(half), 10, 64), path)
+    cells.add_chunks(t.spark, path, chunks_from(t).filter(~half))
+    index = cells.read_cells(t.spark, path)
+    return _flat(cells.search_cells(index, postings_from(t), query_vector(t), K, probes=10))
+
+
+@query(f"""
+WITH {BASE_SQL}, {GROUPS_SQL}, {CELLS_SQL},
+users AS (SELECT lang || '-' || source AS query_id, lang = 'en' AS remote_only, CASE WHEN lang <> 'es' THEN max(n_chars) / 4 END AS min_salary
+  FROM documents GROUP BY lang, source),
+probed AS (
+  SELECT query_id, cell FROM (
+    SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(mv, qv), 12) DESC, cell) AS rn
+    FROM queries CROSS JOIN means) WHERE rn <= 4),
+near AS (
+  SELECT query_id, job_id, chunk_index, sim FROM (
+    SELECT query_id, job_id, chunk_index, sim, row_number() OVER (PARTITION BY query_id, job_id ORDER BY sim DESC, chunk_index) AS rn
+    FROM (SELECT query_id, job_id, chunk_index, list_cosine_similarity(v, qv) AS sim
+      FROM chunks JOIN celled USING (vec_id) JOIN probed USING (cell) JOIN queries USING (query_id))) WHERE rn = 1)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, job_id, chunk_index, round(sim, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, job_id) AS rank
+  FROM near JOIN postings USING (job_id) JOIN users USING (query_id)
+  WHERE (NOT remote_only OR remote = true) AND (min_salary IS NULL OR salary_max IS NULL OR salary_max >= min_salary))
+WHERE rank <= {K}
+""")
+def search_profiles_cells(t: Tables) -> DataFrame:
+    """Many queries with filters of their own, each over its four nearest cells."""
+    index = cells.build_cells(_stored_chunks(t), 0, 64, centers=_label_centers(t))
+    return _ranked(cells.search_many_cells(index, _filtered_queries(t), K, probes=4))
 
 
 @query(SEARCH_SQL)

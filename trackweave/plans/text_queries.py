@@ -383,6 +383,27 @@ def skill_lists(t: Tables) -> DataFrame:
     return reports.skill_lists(event_skills(t))
 
 
+@query("""
+SELECT event_type AS skill_name, CASE WHEN event_type <> 'error' THEN CAST(count(*) AS DOUBLE) ELSE -1 END AS years,
+  row_number() OVER (ORDER BY event_type) AS place
+FROM events WHERE user_id = 7 GROUP BY event_type
+""")
+def skills_of_user(t: Tables) -> DataFrame:
+    """One user's skills by name."""
+    rows = reports.skills_of(event_skills(t), 7).coalesce(1)
+    return rows.select(
+        "skill_name", F.coalesce("years_experience", F.lit(-1.0)).alias("years"), (F.monotonically_increasing_id() + 1).alias("place")
+    )
+
+
+@query("""
+SELECT c_custkey AS user_id, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_mktsegment END AS headline
+FROM customer WHERE c_custkey = 7
+""")
+def profile_of_user(t: Tables) -> DataFrame:
+    return reports.profile_of(_people(t), 7).select("user_id", "headline")
+
+
 @query(f"""
 WITH {CONTEXT_SQL}
 SELECT user_id, job_id, concat_ws(chr(10),

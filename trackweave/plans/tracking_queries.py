@@ -428,18 +428,14 @@ def stale_list(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH {TRACKED_SQL}, stale AS (SELECT *, CAST(o_orderdate AS DATE) AS day FROM tracked WHERE {STALE_WHERE}),
-sized AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS total, count(*) OVER (PARTITION BY user_id, day) AS n FROM stale)
-SELECT user_id, CAST(any_value(total) AS BIGINT) AS stale_total, CAST(day AS VARCHAR) AS stale_day,
-  CAST(saved_job_id % CAST(ceil(n / 1.0) AS BIGINT) AS INTEGER) AS line, count(*) AS jobs,
-  string_agg(title || ' at ' || coalesce(company, 'unknown company'), ', ' ORDER BY o_orderdate, saved_job_id) AS titles
-FROM sized GROUP BY user_id, day, line
+WITH {TRACKED_SQL} SELECT user_id, count(*) OVER (PARTITION BY user_id) AS stale_total, saved_job_id, updated_at,
+  title || ' at ' || coalesce(company, 'unknown company') AS label
+FROM tracked WHERE {STALE_WHERE}
 """)
 def stale_banner(t: Tables) -> DataFrame:
-    """One job per line where a day has several, to exercise the splitting."""
     saved, postings = _order_tracking(t)
     stale = reports.stale_jobs(saved, postings, F.lit("1998-08-02").cast("timestamp_ntz"))
-    return reports.stale_banner(stale, per_line=1).withColumn("stale_day", F.col("stale_day").cast("string"))
+    return reports.stale_banner(stale).withColumn("updated_at", F.col("updated_at").cast("string"))
 
 
 @query(f"""
@@ -450,6 +446,42 @@ def stage_counts(t: Tables) -> DataFrame:
     return reports.stage_counts(saved.join(postings.select("job_id"), "job_id"))
 
 
+@query(f"""
+WITH {TRACKED_SQL} SELECT user_id, stage, CAST(grouping(stage) AS INTEGER) AS is_total, count(*) AS jobs
+FROM tracked GROUP BY GROUPING SETS ((user_id, stage), (user_id))
+""")
+def stage_counts_by_user(t: Tables) -> DataFrame:
+    saved, postings = _order_tracking(t)
+    return reports.stage_counts(saved.join(postings.select("job_id"), "job_id"), owner="user_id")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """One user's rows in the order in which they come."""
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query(f"""
+WITH {TRACKED_SQL} SELECT saved_job_id, updated_at, stage, row_number() OVER (ORDER BY o_orderdate DESC, saved_job_id) AS place
+FROM tracked WHERE user_id = 7
+""")
+def tracked_of_user(t: Tables) -> DataFrame:
+    """One user's list, newest change first."""
+    saved, postings = _order_tracking(t)
+    rows = _numbered(reports.tracked_jobs(saved, postings, user_id=7))
+    return rows.select("saved_job_id", F.col("updated_at").cast("string"), "stage", "place")
+
+
+@query(f"""
+WITH {TRACKED_SQL} SELECT saved_job_id, updated_at, row_number() OVER (ORDER BY o_orderdate, saved_job_id) AS place
+FROM tracked WHERE user_id = 7 AND {STALE_WHERE}
+""")
+def stale_of_user(t: Tables) -> DataFrame:
+    """One user's stale jobs, oldest first."""
+    saved, postings = _order_tracking(t)
+    rows = _numbered(reports.stale_jobs(saved, postings, F.lit("1998-08-02").cast("timestamp_ntz"), user_id=7))
+    return rows.select("saved_job_id", F.col("updated_at").cast("string"), "place")
+
+
 @query("""
 SELECT c_custkey AS saved_job_id, c_name AS job_id, first_priority AS cover_letter, CAST(NULL AS VARCHAR) AS resume_bullet,
   CAST(last_order AS VARCHAR) AS last_updated_at
@@ -522,16 +554,16 @@ def constraint_report(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT 'labels' AS table_name, 'allowed quality' AS constraint_name, CAST(doc_id AS VARCHAR) AS key, count(*) AS rows
+SELECT 'labels' AS table_name, 'allowed quality' AS constraint_name, '{"doc_id":' || doc_id || '}' AS key, count(*) AS rows
   FROM labels WHERE quality <> 1 GROUP BY doc_id
-UNION ALL SELECT 'labels', 'references doc_id', CAST(doc_id AS VARCHAR), count(*) FROM labels
+UNION ALL SELECT 'labels', 'references doc_id', '{"doc_id":' || doc_id || '}', count(*) FROM labels
   WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) GROUP BY doc_id
-UNION ALL SELECT 'events', 'allowed event_type', CAST(event_id AS VARCHAR), 1 FROM events WHERE event_type NOT IN ('view', 'click', 'signup')
-UNION ALL SELECT 'events', 'unique user_id, event_type', user_id || '|' || event_type, count(*) FROM events
+UNION ALL SELECT 'events', 'allowed event_type', '{"event_id":' || event_id || '}', 1 FROM events WHERE event_type NOT IN ('view', 'click', 'signup')
+UNION ALL SELECT 'events', 'unique user_id, event_type', '{"user_id":' || user_id || ',"event_type":"' || event_type || '"}', count(*) FROM events
   GROUP BY user_id, event_type HAVING count(*) > 1
-UNION ALL SELECT 'events', 'references user_id', CAST(user_id AS VARCHAR), count(*) FROM events
+UNION ALL SELECT 'events', 'references user_id', '{"user_id":' || user_id || '}', count(*) FROM events
   WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY user_id
-UNION ALL SELECT 'documents', 'unique text', text, count(*) FROM documents GROUP BY text HAVING count(*) > 1
+UNION ALL SELECT 'documents', 'unique text', CAST(to_json({'text': text}) AS VARCHAR), count(*) FROM documents GROUP BY text HAVING count(*) > 1
 """)
 def constraint_violations(t: Tables) -> DataFrame:
     keys = {"labels": ["doc_id"], "events": ["event_id"], "documents": ["doc_id"], "embeddings": ["vec_id"]}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from trackweave.functions.text import not_blank
 from trackweave.operators.cleaning import drop_notices, split_untitled
 from trackweave.operators.keyed import assign_ids, latest_per_key, only_in
 from trackweave.operators.tracking import PAIR, fold_commands, rejected_commands
@@ -19,20 +20,10 @@ from trackweave.sources.listings import impose_schema
 from trackweave.sources.store import TableStore
 
 
-def listing_stream(
-    spark: SparkSession, folder: str, lines: bool = False, repeat_window: str | None = None
-) -> DataFrame:
-    """Feed files arriving in a folder.
-
-    ``repeat_window`` (such as '1 hour') drops repeats of an id that arrive
-    within that time of each other; the upsert settles all others.
-    """
+def listing_stream(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Feed files arriving in a folder. Repeats are settled by the upsert."""
     raw = spark.readStream.schema(RAW_LISTING).json(folder, multiLine=not lines)
-    rows = impose_schema(drop_notices(raw))
-    if repeat_window is None:
-        return rows
-    arrived = rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", repeat_window)
-    return arrived.dropDuplicatesWithinWatermark(["id", "date"]).drop("_arrived")
+    return impose_schema(drop_notices(raw))
 
 
 def _start(stream: DataFrame, apply, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -67,12 +58,18 @@ def embed_stream(
     available_now: bool = True,
     **options,
 ) -> StreamingQuery:
-    """Chunk and embed arriving postings (job_id, description) that have no chunks yet."""
+    """Chunk and embed arriving postings (job_id, description) that have no chunks yet.
+
+    Of several arrivals of one id the newest by ``posted_at`` counts, where
+    the stream has it, as it does for the stored postings; then the text.
+    """
     now = F.current_timestamp() if as_of is None else as_of
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("job_id", "description")
-        once = materialize(latest_per_key(rows, ["job_id"], [F.desc("description")]), "arrived")
+        dated = ["posted_at"] if "posted_at" in batch.columns else []
+        rows = batch.select("job_id", "description", *dated).filter(not_blank(F.col("description")))
+        order = [*[F.desc_nulls_last(c) for c in dated], F.desc("description")]
+        once = materialize(latest_per_key(rows, ["job_id"], order).select("job_id", "description"), "arrived")
         embed_new(once, store, now, **options)
 
     return _start(stream, apply, checkpoint, available_now)
