@@ -136,8 +136,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
             back = layer.T @ error
             layer -= now * np.outer(error, mean)
             bias -= now * 0.1 * error
-            # Shares are small; scaled by the number of kinds so that rare features learn as fast in long texts.
-            vectors[ids] -= (now * min(len(ids), 200)) * share[:, None] * back
+            # Shares are small, so steps are scaled up, but never so far that the mean moves by more than one step.
+            scale = min(200.0, 1.0 / max(1e-12, float(share @ share)))
+            vectors[ids] -= (now * scale) * share[:, None] * back
     return Model(vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0]))
 
 
