@@ -1,9 +1,12 @@
 import os
 
+import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from trackweave.operators.keyed import assign_ids, first_n, latest_per_key, partial_update, replace_owned, upsert
+from trackweave.sources import store as store_module
 from trackweave.sources.store import TableStore
 
 ROW = "id int, name string, source string"
@@ -151,3 +154,30 @@ def test_hot_bucket_is_split_over_files(spark, tmp_path):
     (_, folder), = folders(store)
     files = [f for f in os.listdir(tmp_path / "t" / "data" / folder) if f.endswith(".parquet")]
     assert len(files) > 4 and store.read().count() == 40000
+
+
+def test_store_keeps_its_bucket_count(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id k", "id v")
+    TableStore(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], buckets=8).append(rows)
+    other = TableStore(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], buckets=16)
+    with pytest.raises(ValueError, match="buckets"):
+        other.upsert(rows.limit(3), ["v"])
+
+
+def test_second_writer_fails(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], buckets=4)
+    store.append(spark.range(10).selectExpr("id k", "id v"))
+    base, live = store._state()
+    entries = [(r["bucket"], r["folder"]) for r in live]
+    assert store._commit(entries, base) == base + 1
+    with pytest.raises(AnalysisException):
+        store._commit(entries, base)
+    assert store.read().count() == 10
+
+
+def test_many_appends_keep_the_log_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "FOLDERS", 3)
+    store = TableStore(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], buckets=2)
+    for i in range(6):
+        store.append(spark.range(i * 10, i * 10 + 10).selectExpr("id k", "id v"))
+    assert store.read().count() == 60 and len(store._log()) <= 2 * 3

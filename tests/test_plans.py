@@ -129,19 +129,43 @@ def test_hot_user_is_split_in_prompts_and_replacement(spark, small_skew):
     assert "skewed" in final_plan(kept)
 
 
-def test_hot_posting_is_split_when_vectors_meet_postings(spark, small_skew):
+def vector_chunks(spark):
     i = F.col("id")
-    chunks = spark.range(0, 20000, 1, 8).select(
+    return spark.range(0, 20000, 1, 8).select(
         F.when(i % 3 == 0, 0).otherwise(i % 500).alias("job_id"), i.cast("int").alias("chunk_index"),
         F.array(i % 7 + 1.0, i % 11 + 1.0).cast("array<float>").alias("embedding"),
     )
-    postings = spark.range(500).select(F.col("id").alias("job_id"))
-    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
-    found = search.search_many(chunks, queries, postings, 3)
-    text = final_plan(found)
+
+
+def test_hot_posting_is_split_when_filters_join_the_vectors(spark, small_skew):
+    postings = spark.range(500).selectExpr("id job_id", "true remote", "1.0D salary_max")
+    text = final_plan(search.with_filters(vector_chunks(spark), postings))
     assert "skewed" in text or "isSkewJoin=true" in text
 
 
+def test_many_queries_shuffle_no_vectors(spark, small_skew):
+    stored = vector_chunks(spark).selectExpr("*", "job_id % 2 = 0 remote", "cast(job_id as double) salary_max")
+    queries = spark.createDataFrame(
+        [(1, [1.0, 0.0], True, 3.0)], "query_id int, embedding array<double>, remote_only boolean, min_salary double"
+    )
+    found = search.search_many(stored, queries, 3)
+    assert not [line for line in plan(found).splitlines() if "Exchange" in line and "embedding" in line]
+    assert "Join" not in plan(found) and found.count() == 3
+
+
+def test_prompts_cut_texts_before_the_joins(spark):
+    pairs = spark.createDataFrame([(1, "j")], "user_id bigint, job_id string")
+    profiles = pairs.selectExpr("user_id", "'h' headline", "'s' summary", "array('r') target_roles", "1.0D min_salary", "true remote_only")
+    skills = pairs.selectExpr("user_id", "'sql' skill_name", "1.0D years_experience")
+    postings = spark.range(40).selectExpr(
+        "cast(id as string) job_id", "'t' title", "'c' company", "repeat('d', cast(id as int)) description", "array('x') tags",
+        "true remote", "1.0D salary_min", "1.0D salary_max",
+    )
+    lines = prompts.match_context(pairs, profiles, skills, postings)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cut = next(i for i, line in enumerate(lines) if "substring" in line)
+    assert max(i for i, line in enumerate(lines) if "Join" in line) < cut
+
+
 def test_repeated_keys_do_not_multiply_in_anti_joins(spark):
     rows = spark.range(10).select(F.col("id").alias("k"))
     other = spark.range(0, 30000, 1, 8).select(F.when(F.col("id") % 3 == 0, 1).otherwise(2).cast("bigint").alias("k"))

@@ -67,10 +67,9 @@ def shown(df):
     return [(r["job_id"], None if r["similarity"] is None else round(r["similarity"], 6)) for r in df.collect()]
 
 
-@pytest.mark.parametrize("kind, few", [("arrow", 10**6), ("native", 10**6), ("arrow", 3)])
+@pytest.mark.parametrize("kind", ["arrow", "native"])
 @pytest.mark.parametrize("remote, salary", [(None, None), (True, None), (False, 50.0), (None, 70.0)])
-def test_search_equals_brute_force(spark, monkeypatch, kind, few, remote, salary):
-    monkeypatch.setattr(engine, "BROADCAST_IDS", few)
+def test_search_equals_brute_force(spark, kind, remote, salary):
     chunks, postings, c, p = make(spark)
     query = [1.0, 2.0, -1.0, 0.5, 0.0, 3.0]
     for mode in ("similarity", "key"):
@@ -109,18 +108,17 @@ def test_many_queries_equal_brute_force(spark, monkeypatch, copies, small):
     rng = np.random.default_rng(2)
     vectors = {f"q{i}": [float(x) for x in rng.integers(-2, 3, DIM)] for i in range(12)}
     vectors["q0"], vectors["same"] = [1.0] * DIM, [0.0] * DIM
-    if small:  # several passes over the chunks, few rows scored at once
-        monkeypatch.setattr(engine, "QUERY_BLOCK_BYTES", 6 * DIM * 8)
+    if small:  # few rows scored at once
         monkeypatch.setattr(engine, "SCORE_CELLS", 400)
         monkeypatch.setattr(engine, "CROWD", 0 if copies else 1)
     queries = spark.createDataFrame(list(vectors.items()), "query_id string, embedding array<double>")
-    got = many(engine.search_many(chunks, queries, postings, 5))
+    got = many(engine.search_many(engine.with_filters(chunks, postings), queries, 5))
     assert got == {q: brute(c, p, v, 5) for q, v in vectors.items()}
 
     filters = {q: (i % 2 == 0, None if i % 3 else 40.0) for i, q in enumerate(vectors)}
     own = spark.createDataFrame([(q, v, *filters[q]) for q, v in vectors.items()],
                                 "query_id string, embedding array<double>, remote_only boolean, min_salary double")
-    got = many(engine.search_many(chunks, own, postings, 5))
+    got = many(engine.search_many(engine.with_filters(chunks, postings), own, 5))
     assert got == {q: brute(c, p, v, 5, salary=filters[q][1], remote_only=filters[q][0]) for q, v in vectors.items()}
 
 
@@ -141,9 +139,11 @@ def test_hot_job_keeps_its_best_chunk(spark):
         F.array(F.lit(1.0), F.col("id") / 20000).cast("array<float>").alias("embedding"),
     )
     cold = spark.createDataFrame([("a", 0, [1.0, 0.5]), ("b", 0, [1.0, -1.0])], hot.schema)
-    postings = spark.createDataFrame([("hot",), ("a",), ("b",)], "job_id string")
+    postings = spark.createDataFrame([("hot",), ("a",), ("b",)], "job_id string").selectExpr(
+        "job_id", "true remote", "1.0D salary_max"
+    )
     queries = spark.createDataFrame([(1, [1.0, 0.5])], "query_id int, embedding array<double>")
-    got = many(engine.search_many(hot.unionByName(cold), queries, postings, 3))
+    got = many(engine.search_many(engine.with_filters(hot.unionByName(cold), postings), queries, 3))
     assert got == {1: [("a", 1.0, 0), ("hot", 1.0, 10000), ("b", 0.316228, 0)]}
 
 
@@ -169,6 +169,59 @@ def test_cells_keep_vectors_without_direction(spark):
     assert got == [w[:2] for w in brute(c, p, [1.0] * DIM, 50)]
 
 
+def test_cells_take_given_centres_and_new_chunks(spark, tmp_path):
+    chunks, postings, c, p = make(spark)
+    odd = spark.createDataFrame(
+        [("j1", 900, [float("nan")] + [1.0] * (DIM - 1)), ("j1", 901, [float("inf")] + [0.0] * (DIM - 1)), ("j1", 902, None)],
+        chunks.select("job_id", "chunk_index", "embedding").schema,
+    )
+    rows = chunks.select("job_id", "chunk_index", "embedding")
+    path = str(tmp_path / "cells")
+    centres = [[1.0] + [0.0] * (DIM - 1), [0.0] * (DIM - 1) + [1.0]]
+    cells.write_cells(cells.build_cells(rows.filter("chunk_index % 2 = 0"), 2, DIM, centers=centres), path)
+    cells.add_chunks(spark, path, rows.filter("chunk_index % 2 = 1").unionByName(odd))
+    index = cells.read_cells(spark, path)
+    assert index.centers.tolist() == centres and index.chunks.count() == len(c) + 3
+    assert index.chunks.filter("chunk_index >= 900 and cell = -1").count() == 3
+    assert cells.build_cells(rows.unionByName(odd), 3, DIM).chunks.filter("chunk_index >= 900 and cell <> -1").count() == 0
+    got = shown(cells.search_cells(index, postings, [1.0] * DIM, 50, probes=2))
+    assert got == [w[:2] for w in brute(c, p, [1.0] * DIM, 50)]
+
+
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_many_queries_by_cell_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(cells, "CHUNK_BLOCK", block)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", block)
+    chunks, postings, c, p = make(spark, seed=5)
+    rng = np.random.default_rng(2)
+    vectors = {f"q{i}": [float(x) for x in rng.integers(1, 4, DIM)] for i in range(9)}
+    filters = {q: (i % 2 == 0, None if i % 3 else 40.0) for i, q in enumerate(vectors)}
+    own = spark.createDataFrame([(q, v, *filters[q]) for q, v in vectors.items()],
+                                "query_id string, embedding array<double>, remote_only boolean, min_salary double")
+    index = cells.build_cells(engine.with_filters(chunks, postings), 4, DIM)
+    got = many(cells.search_many_cells(index, own, 5, probes=4))
+    assert got == {q: brute(c, p, v, 5, salary=filters[q][1], remote_only=filters[q][0]) for q, v in vectors.items()}
+
+
+def test_large_query_sets_are_refused(spark, monkeypatch):
+    chunks, *_ = make(spark)
+    queries = spark.createDataFrame([(i % 3, [1.0] * DIM) for i in range(4)], "query_id int, embedding array<double>")
+    with pytest.raises(ValueError, match="unique"):
+        engine.search_many(chunks, queries)
+    monkeypatch.setattr(engine, "QUERY_ROWS", 3)
+    with pytest.raises(ValueError, match="search_many_cells"):
+        engine.search_many(chunks, queries)
+
+
+def test_both_searches_rank_infinite_vectors_last(spark):
+    chunks = spark.createDataFrame([(1, 0, [float("inf"), 1.0]), (2, 0, [1.0, 1.0])], "job_id int, chunk_index int, embedding array<float>")
+    postings = spark.createDataFrame([(i, *[None] * 8) for i in (1, 2)], "job_id int, title string, company string, location string, "
+                                     "remote boolean, salary_min double, salary_max double, url string, tags array<string>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    assert [j for j, _ in shown(engine.search(chunks, postings, [1.0, 0.0], 2))] == [2, 1]
+    assert [j for j, *_ in many(engine.search_many(chunks, queries, 2))[1]] == [2, 1]
+
+
 def people(spark):
     profiles = spark.createDataFrame(
         [
@@ -222,7 +275,7 @@ def test_text_queries_equal_brute_force(spark):
     t = Tables(spark, DATA)
     chunk_rows = [tuple(r) for r in q.text_chunks(t).select("job_id", "chunk_index", "embedding").collect()]
     posting_rows = [tuple(r) for r in q.text_postings(t).select(*engine.SHOWN).collect()]
-    embed = hashing_embedder(dim=q.TEXT_DIM)
+    embed = q.word_counts
     said = embed(spark.createDataFrame([("the and of",)], "chunk_text string")).first()["embedding"]
     found = QUERIES["search_by_text"](spark, DATA)
     assert shown(found) == [w[:2] for w in brute(chunk_rows, posting_rows, said, 8, salary=1500)]

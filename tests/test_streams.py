@@ -83,7 +83,7 @@ def test_streams_end_to_end(spark, tmp_path):
     chunks = chunk_store(spark, tmp_path / "chunks")
 
     def run():
-        arriving = listing_stream(spark, str(folder), repeat_window="1 hour")
+        arriving = listing_stream(spark, str(folder))
         ingest_stream(arriving, store, "feed", str(tmp_path / "c1"), now()).awaitTermination()
         listings = listing_stream(spark, str(folder)).select(F.col("id").alias("job_id"), "description")
         embed_stream(listings, chunks, str(tmp_path / "c2"), now(), embed=hashing_embedder(dim=8)).awaitTermination()
@@ -101,6 +101,23 @@ def test_streams_end_to_end(spark, tmp_path):
     assert (store.version, chunks.version) == version, "no new files, no new version"
 
 
+def test_empty_listing_then_full_one_is_stored(spark, tmp_path):
+    folder, store = tmp_path / "in", postings_store(spark, tmp_path / "postings")
+    for name, text in (("1.json", ""), ("2.json", "full")):
+        land(folder, name, row("1", text))
+        ingest_stream(listing_stream(spark, str(folder)), store, "feed", str(tmp_path / "c"), now()).awaitTermination()
+    assert [r["description"] for r in store.read().collect()] == ["full"]
+
+
+def test_embed_stream_takes_the_newest_text(spark, tmp_path):
+    chunks = chunk_store(spark, tmp_path / "chunks")
+    rows = [("1", "zzz", START), ("1", "aaa", START + dt.timedelta(days=1)), ("1", "  ", START + dt.timedelta(days=2))]
+    spark.createDataFrame(rows, "job_id string, description string, posted_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema("job_id string, description string, posted_at timestamp").parquet(str(tmp_path / "in"))
+    embed_stream(arriving, chunks, str(tmp_path / "c"), now(), embed=hashing_embedder(dim=8)).awaitTermination()
+    assert [r["chunk_text"] for r in chunks.read().collect()] == ["aaa"]
+
+
 def test_command_stream_and_replay(spark, tmp_path):
     def commands(*rows):
         return spark.createDataFrame(

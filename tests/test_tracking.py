@@ -165,21 +165,20 @@ def test_lists(spark):
     assert reports.tracked_jobs(saved, postings, user_id=1, stage="").count() == 4
     assert reports.tracked_jobs(saved, postings, user_id=1, stage="saved").count() == 1
     everyone = reports.stale_jobs(saved, postings, F.lit(START))
-    banner = {(r["user_id"], r["stale_total"], r["titles"]) for r in reports.stale_banner(everyone).collect()}
-    assert banner == {(1, 2, "Ops at Acme"), (2, 1, "Ops at Acme")}
+    banner = sorted((r["user_id"], r["stale_total"], r["label"]) for r in reports.stale_banner(everyone).collect())
+    assert banner == [(1, 2, "Ops at Acme"), (1, 2, "Ops at Acme"), (2, 1, "Ops at Acme")]
     counts = {(r["stage"], r["is_total"]): r["jobs"] for r in reports.stage_counts(saved).collect()}
     assert counts == {("applied", 0): 3, ("saved", 0): 1, ("interviewing", 0): 2, (None, 1): 6}
 
 
-def test_banner_lines_hold_every_job_once(spark):
+def test_banner_has_every_job_once(spark):
     stale = spark.range(1000).select(
         F.lit(1).alias("user_id"), F.col("id").alias("saved_job_id"), F.lit(START).alias("updated_at"),
         F.concat(F.lit("t"), "id").alias("title"), F.lit(None).cast("string").alias("company"),
     )
-    lines = reports.stale_banner(stale, per_line=50).collect()
-    assert len(lines) == 20 and {r["stale_total"] for r in lines} == {1000}
-    titles = [t for r in lines for t in r["titles"].split(", ")]
-    assert sorted(titles) == sorted(f"t{i} at unknown company" for i in range(1000))
+    rows = reports.stale_banner(stale).orderBy("updated_at", "saved_job_id").collect()
+    assert [r["label"] for r in rows] == [f"t{i} at unknown company" for i in range(1000)]
+    assert {r["stale_total"] for r in rows} == {1000}
 
 
 def test_followups_history_drafts(spark):
@@ -191,7 +190,7 @@ def test_followups_history_drafts(spark):
     due = reports.followups_due(notes, saved, F.lit(at(10))).collect()
     assert [(r["saved_job_id"], r["note_id"]) for r in due] == [(1, 2)]
     messages = spark.createDataFrame([(1, i, "user", str(i)) for i in range(13)] + [(2, 0, "user", "x")], schemas.MESSAGES)
-    kept = [(r["conv_id"], r["turn"]) for r in reports.recent_messages(messages).collect()]
+    kept = sorted((r["conv_id"], r["turn"]) for r in reports.recent_messages(messages).collect())
     assert kept == [(1, i) for i in range(1, 13)] + [(2, 0)]
     applications = spark.createDataFrame([(1, "letter", None, None, at(0))], schemas.APPLICATIONS)
     drafted = {r["saved_job_id"]: r["cover_letter"] for r in reports.tracked_with_drafts(saved, applications).collect()}
@@ -219,12 +218,19 @@ def test_constraints(spark):
     keys = {"contacts": ["contact_id"], "saved": ["saved_job_id"], "vectors": ["id"]}
     rows = {(r["constraint_name"], r["key"], r["rows"]) for r in constraint_violations(tables, keys).collect()}
     assert rows == {
-        ("not null name", "1", 1), ("unique contact_id", "1", 2), ("references saved_job_id", "99", 2),
-        ("allowed stage", "7", 1), ("unique user_id, job_id", "1|a", 3), ("unique user_id, job_id", "1|b", 2),
-        ("dimension embedding", "2", 1), ("dimension embedding", "3", 1),
+        ("not null name", '{"contact_id":1}', 1), ("unique contact_id", '{"contact_id":1}', 2),
+        ("references saved_job_id", '{"saved_job_id":99}', 2), ("allowed stage", '{"saved_job_id":7}', 1),
+        ("unique user_id, job_id", '{"user_id":1,"job_id":"a"}', 3), ("unique user_id, job_id", '{"user_id":1,"job_id":"b"}', 2),
+        ("dimension embedding", '{"id":2}', 1), ("dimension embedding", '{"id":3}', 1),
     }
 
 
+def test_keys_that_look_alike_stay_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c", None), ("a", "b|c", None), ("", "x", None), (None, "x", None)], "p string, q string, v int")
+    found = constraint_violations({"t": TableRules(rows, not_null=["v"])}, {"t": ["p", "q"]}).collect()
+    assert len({r["key"] for r in found}) == 4 and {r["rows"] for r in found} == {1}
+
+
 def test_cascade(spark):
     saved, _ = tracked(spark)
     tables = {

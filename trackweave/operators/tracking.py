@@ -131,24 +131,28 @@ def apply_drafts(
     wins and leaves the other column alone. An existing stage stays. Drafts for
     unknown postings are rejected.
     """
+    bullet = F.coalesce(F.col("kind") == "resume_bullet", F.lit(False))
     accepted = only_in(drafts, postings, ["job_id"], unique=True)
-    firsts = accepted.groupBy(*PAIR).agg(F.min_by("ts", "seq").alias("saved_at"))
-    implied = firsts.withColumns({"stage": F.lit("saved"), "updated_at": F.col("saved_at")})
+    # One aggregation over fixed-width values; texts are fetched for the winners only.
+    pairs = materialize(accepted.groupBy(*PAIR).agg(
+        F.min_by("ts", "seq").alias("saved_at"), F.max_by("ts", "seq").alias("_ts"),
+        F.max(F.when(~bullet, F.col("seq"))).alias("_letter_seq"), F.max(F.when(bullet, F.col("seq"))).alias("_bullet_seq"),
+    ), "draft-pairs")
+    implied = pairs.select(*PAIR, "saved_at").withColumns({"stage": F.lit("saved"), "updated_at": F.col("saved_at")})
     # both result tables need the new ids: number the new pairs once and keep them
     numbered = materialize(
         assign_ids(not_in(implied, saved, PAIR, unique=True), PAIR, "saved_job_id", after=saved), "new-pairs"
     )
     all_saved = saved.unionByName(numbered, allowMissingColumns=True)
 
-    column = F.when(F.col("kind") == "resume_bullet", "resume_bullet").otherwise("cover_letter")
-    last = latest_per_key(accepted.withColumn("_column", column), [*PAIR, "_column"], [F.desc("seq")])
-    per_pair = last.groupBy(*PAIR).agg(  # two rows per pair at most
-        *[
-            F.max(F.when(F.col("_column") == name, F.col("text"))).alias(f"_{name}")
-            for name in ("cover_letter", "resume_bullet")
-        ],
-        F.max_by("ts", "seq").alias("_ts"),
+    last = join_hot(
+        drafts.select(*PAIR, "seq", "text", bullet.alias("_bullet")), pairs.select(*PAIR, "_letter_seq", "_bullet_seq"), PAIR, "inner"
+    ).filter(F.col("seq") == F.when(F.col("_bullet"), F.col("_bullet_seq")).otherwise(F.col("_letter_seq")))
+    texts = last.groupBy(*PAIR).agg(  # two rows per pair
+        F.max(F.when(~F.col("_bullet"), F.col("text"))).alias("_cover_letter"),
+        F.max(F.when(F.col("_bullet"), F.col("text"))).alias("_resume_bullet"),
     )
+    per_pair = texts.join(pairs.select(*PAIR, "_ts"), PAIR)
     changes = per_pair.join(all_saved.select(*PAIR, "saved_job_id"), PAIR)
     rows = applications.withColumn("_known", F.lit(True)).join(
         changes.select("saved_job_id", "_cover_letter", "_resume_bullet", "_ts"),

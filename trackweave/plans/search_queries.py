@@ -15,6 +15,7 @@ from trackweave.operators.search import best_per_job, search, search_many, with_
 from trackweave.plans.ingest import chunk_rows
 from trackweave.plans.matching import match_profiles, search_text
 from trackweave.plans.registry import Tables, query
+from trackweave.plans.text_queries import chunk_sql
 from trackweave.session import materialize, work_dir
 from trackweave.sources.store import TableStore
 from trackweave.streaming import streams
@@ -274,21 +275,50 @@ def search_ann_all_cells(t: Tables) -> DataFrame:
 TEXT_DIM = 64
 
 
+def word_counts(df: DataFrame) -> DataFrame:
+    """An embedder that SQL can repeat: counts of words by the first digits of their md5."""
+    words = F.filter(F.split(F.lower("chunk_text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % TEXT_DIM)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(TEXT_DIM - 1)), lambda i: F.size(F.filter("_places", lambda p: p == i)).cast("float"))
+    return df.withColumn("_places", places).withColumn("embedding", counts).drop("_places")
+
+
+def words_sql(text: str) -> str:
+    places = (
+        f"list_transform(list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''), "
+        "lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 64)"
+    )
+    return f"(SELECT list_transform(range(64), lambda i: len(list_filter(p, lambda x: x = i))::DOUBLE) FROM (SELECT {places} AS p))"
+
+
+TEXT_SQL = f"""
+{BASE_SQL}, {chunk_sql()},
+texts AS (SELECT CAST(doc_id AS VARCHAR) AS job_id, chunk_index, {words_sql("chunk_text")} AS tv FROM pieces),
+listings AS (SELECT * REPLACE (CAST(job_id AS VARCHAR) AS job_id) FROM postings)
+"""
+TEXT_SIM = "CASE WHEN list_sum(tv) > 0 AND list_sum(wv) > 0 THEN round(list_cosine_similarity(tv, wv), 12) END"
+
+
 def text_chunks(t: Tables) -> DataFrame:
-    """All documents chunked and embedded by hashed words."""
+    """All documents chunked and embedded by counts of words, stored as chunks are."""
     documents = t("documents").select(F.col("doc_id").cast("string").alias("job_id"), F.col("text").alias("description"))
-    return chunk_rows(documents, F.lit("2024-01-01").cast("timestamp"), hashing_embedder(dim=TEXT_DIM))
+    return materialize(chunk_rows(documents, F.lit("2024-01-01").cast("timestamp"), word_counts), "text-chunks")
 
 
 def text_postings(t: Tables) -> DataFrame:
     return postings_from(t).withColumn("job_id", F.col("job_id").cast("string"))
 
 
-@query()
+@query(f"""
+WITH {TEXT_SQL}, said AS (SELECT {words_sql("'the and of'")} AS wv),
+near AS (SELECT job_id, max({TEXT_SIM}) AS sim FROM texts CROSS JOIN said GROUP BY job_id)
+SELECT {SHOWN_SQL} FROM near JOIN listings USING (job_id) WHERE salary_max IS NULL OR salary_max >= 1500
+ORDER BY sim DESC NULLS LAST, job_id LIMIT {K}
+""")
 def search_by_text(t: Tables) -> DataFrame:
     """From a query text to postings: chunk, embed, filter, rank."""
     found = search_text(
-        text_chunks(t), text_postings(t), "the and of", hashing_embedder(dim=TEXT_DIM), K, min_salary=1500
+        text_chunks(t), text_postings(t), "the and of", word_counts, K, min_salary=1500
     )
     return _flat(found)
 
@@ -303,10 +333,25 @@ def speakers(t: Tables) -> DataFrame:
     )
 
 
-@query()
+@query(f"""
+WITH {TEXT_SQL},
+people AS (
+  SELECT conv_id AS user_id, {words_sql("arg_min(text, turn)")} AS wv, count(*) > 4 AS remote_only,
+    CASE WHEN count(*) > 2 THEN count(*) * 100.0 END AS min_salary
+  FROM conversations GROUP BY conv_id HAVING arg_min(text, turn) <> ''),
+near AS (
+  SELECT user_id, job_id, chunk_index, sim FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, job_id ORDER BY sim DESC NULLS LAST, chunk_index) AS rn
+    FROM (SELECT user_id, job_id, chunk_index, {TEXT_SIM} AS sim FROM texts CROSS JOIN people)) WHERE rn = 1)
+SELECT user_id, CAST(rank AS INTEGER) AS rank, job_id, chunk_index, round(sim, 6) AS similarity FROM (
+  SELECT near.*, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC NULLS LAST, job_id) AS rank
+  FROM near JOIN listings USING (job_id) JOIN people USING (user_id)
+  WHERE (NOT remote_only OR remote = true) AND (min_salary IS NULL OR salary_max IS NULL OR salary_max >= min_salary))
+WHERE rank <= {K}
+""")
 def profile_matches(t: Tables) -> DataFrame:
     """The best postings of every profile under its own filters, from texts alone."""
-    return _ranked(match_profiles(speakers(t), text_chunks(t), text_postings(t), hashing_embedder(dim=TEXT_DIM), K))
+    return _ranked(match_profiles(speakers(t), text_chunks(t), text_postings(t), word_counts, K))
 
 
 @query(f"""

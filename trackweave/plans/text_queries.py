@@ -10,10 +10,10 @@ from trackweave import schemas
 from trackweave.functions import text as tx
 from trackweave.functions.models import complete, hashing_embedder
 from trackweave.operators import chunking, cleaning, keyed, prompts, reports
-from trackweave.plans.ingest import chunk_rows
+from trackweave.plans.ingest import chunk_rows, store_chunks
 from trackweave.plans.registry import Tables, query
 from trackweave.session import work_dir
-from trackweave.sources.listings import impose_schema, parse_listings, query_table
+from trackweave.sources.listings import impose_schema, parse_listings, query_table, read_listings
 from trackweave.sources.store import TableStore
 from trackweave.streaming import streams
 
@@ -77,18 +77,35 @@ def clean_documents(t: Tables) -> DataFrame:
     return _flat(cleaning.clean_listings(raw_documents(t("documents")), "feed"))
 
 
-@query(CLEAN_SQL)
+# Spanish listings have no readable date: their older, dated copy wins.
+DATED_SQL = f"""
+SELECT job_id, source, title, company, location, remote, salary_min, salary_max,
+  CASE WHEN posted_at IS NULL THEN 'old' ELSE description END AS description, tags, url,
+  coalesce(posted_at, '2020-01-01 00:00:00') AS posted_at
+FROM ({CLEAN_SQL})
+"""
+
+
+@query(DATED_SQL)
+def several_feeds(t: Tables) -> DataFrame:
+    """Two feeds of JSON files, an older copy of every listing in the second, read together and de-duplicated."""
+    raw = raw_documents(t("documents"))
+    older = raw.withColumns({"date": F.lit("2020-01-01T00:00:00"), "description": F.lit("old")})
+    folder = f"{work_dir(t.spark)}/feeds-{uuid.uuid4().hex}"
+    raw.write.json(f"{folder}/a")
+    older.write.json(f"{folder}/b")
+    listings = read_listings(t.spark, [f"{folder}/a", f"{folder}/b"], lines=True)
+    return _flat(cleaning.clean_listings(listings, "feed"))
+
+
+@query(DATED_SQL)
 def parse_json_listings(t: Tables) -> DataFrame:
     """The same from JSON text, with every listing repeated in an older copy and a notice per row."""
     raw = raw_documents(t("documents"))
     older = raw.withColumns({"date": F.lit("2020-01-01T00:00:00"), "description": F.lit("old")})
     notice = raw.select(F.lit('{"legal": "notice"}').alias("body"))
     bodies = raw.unionByName(older).select(F.to_json(F.struct(*raw.columns)).alias("body")).unionByName(notice)
-    listings = parse_listings(bodies, "body")
-    # an unreadable date ranks last, so give those listings no older copy
-    is_old = F.col("description") == "old"
-    undated = F.array_contains("tags", "es")
-    return _flat(cleaning.clean_listings(listings.filter(~(is_old & undated)), "feed"))
+    return _flat(cleaning.clean_listings(parse_listings(bodies, "body"), "feed"))
 
 
 @query(CLEAN_SQL)
@@ -238,6 +255,32 @@ def embed_unembedded(t: Tables) -> DataFrame:
     )
 
 
+@query(f"""
+WITH {chunk_sql()}
+SELECT CAST(doc_id AS VARCHAR) AS job_id, chunk_index, md5(CASE WHEN doc_id % 2 = 0 THEN 'new ' || chunk_text ELSE chunk_text END) AS text_md5,
+  CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE 'first' END AS model_name, '2024-01-01 00:00:00' AS created_at
+FROM pieces
+""")
+def chunks_updated(t: Tables) -> DataFrame:
+    """Stored chunks, then new texts under the keys of every second document: known keys keep their creation time."""
+    store = TableStore(
+        t.spark, f"{work_dir(t.spark)}/chunks-{uuid.uuid4().hex}", schemas.CHUNKS, ["job_id", "chunk_index"], ["job_id"], buckets=8
+    )
+    docs = t("documents").select(F.col("doc_id").cast("string").alias("job_id"), F.col("text").alias("description"))
+    embed = hashing_embedder(dim=MODEL_DIM)
+    first = chunk_rows(docs, F.lit("2024-01-01").cast("timestamp"), embed, "first")
+    store.append(first)
+    even = first.filter(F.col("job_id").cast("bigint") % 2 == 0).withColumns({
+        "chunk_text": F.concat(F.lit("new "), "chunk_text"), "model_name": F.lit("second"),
+        "created_at": F.lit("2024-02-01").cast("timestamp"),
+    })
+    store_chunks(store, even)
+    return store.read().select(
+        "job_id", "chunk_index", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"), "model_name",
+        F.col("created_at").cast("string"),
+    )
+
+
 @query(f"""
 SELECT page_id, array_to_string(list_filter(list_transform(string_split(url, '/'), lambda x: trim(x, '{SPACE}')),
   lambda x: x <> ''), '|') AS parts,

@@ -246,6 +246,24 @@ def interview_notes(t: Tables) -> DataFrame:
     return kept.unionByName(lost)
 
 
+@query(f"""
+WITH {COMMANDS_SQL},
+notes AS (SELECT c.user_id, c.job_id, c.seq, event_type, c.ts FROM commands c JOIN events e ON e.event_id = c.seq),
+added AS (SELECT saved_job_id, event_type AS note_text, CAST(ts AS VARCHAR) AS created_at FROM notes JOIN saved USING (user_id, job_id)
+  WHERE event_type <> 'error')
+SELECT *, true AS continues FROM added
+""")
+def notes_appended(t: Tables) -> DataFrame:
+    """New notes for a table whose last id is 500: ids go on from there without gaps."""
+    stored = t.spark.range(1, 501).select(F.col("id").alias("note_id"))
+    added = tracking.notes_to_append(stored, saved_from_orders(t), _notes(t))
+    total = added.agg(F.count("*").alias("n"), F.countDistinct("note_id").alias("ids"), F.min("note_id").alias("low"), F.max("note_id").alias("high"))
+    dense = (F.col("ids") == F.col("n")) & (F.col("low") == 501) & (F.col("high") == 500 + F.col("n"))
+    return added.crossJoin(F.broadcast(total)).select(  # one row of totals
+        "saved_job_id", "note_text", F.col("created_at").cast("string"), dense.alias("continues")
+    )
+
+
 # --- keyed tables ---------------------------------------------------------------------
 
 

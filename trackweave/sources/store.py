@@ -4,7 +4,9 @@ Rows lie in hash buckets under ``data/<write>/bucket=<n>``. A commit is one
 small JSON file under ``log/version=<n>``: the folders that make up that version.
 Readers take the newest one, so they see a write wholly or not at all, and a
 write never touches files a reader may be using. Upserts rewrite only the
-buckets their keys fall into. One writer at a time.
+buckets their keys fall into. Of two writers that start from one version the
+second fails. The bucket count is kept with the data; opening a table with
+another one is an error.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql.types import StructType
 from trackweave.operators.keyed import latest_per_key, not_in, upsert
 from trackweave.session import materialize
 
-LOG = "bucket int, folder string"
+LOG = "bucket int, folder string, buckets int"
 NO_BUCKET = -1  # entry of a version that holds no rows
+# Folders per bucket after which appends compact, so that a version's entry stays small.
+FOLDERS = 16
 
 
 class TableStore:
@@ -64,12 +68,19 @@ class TableStore:
             return 0
         return log.agg(F.max("version")).first()[0] or 0
 
-    def _log(self) -> list[Row]:
-        """Buckets and folders of the newest version; at most a few per bucket."""
+    def _state(self) -> tuple[int, list[Row]]:
+        """The newest version with its buckets and folders, ``FOLDERS`` per bucket at most."""
         version = self.version
         if version == 0:
-            return []
-        return self.spark.read.schema(LOG).json(f"{self.root}/log/version={version}").collect()
+            return 0, []
+        rows = self.spark.read.schema(LOG).json(f"{self.root}/log/version={version}").collect()
+        stored = {row["buckets"] for row in rows}
+        if stored != {self.buckets}:
+            raise ValueError(f"{self.root} was written with {stored} buckets, not {self.buckets}")
+        return version, rows
+
+    def _log(self) -> list[Row]:
+        return self._state()[1]
 
     def _load(self, folders: Sequence[str]) -> DataFrame:
         if not folders:
@@ -114,28 +125,34 @@ class TableStore:
         rows = files.select("bucket").distinct().collect()
         return [(row["bucket"], f"{name}/bucket={row['bucket']}") for row in rows]
 
-    def _commit(self, entries: list[tuple[int, str]]) -> int:
-        """Make the given folders the next version: one file, visible all at once."""
-        version = self.version + 1
-        frame = self.spark.createDataFrame(entries or [(NO_BUCKET, "")], LOG).coalesce(1)
-        frame.write.mode("append").json(f"{self.root}/log/version={version}")
-        return version
+    def _commit(self, entries: list[tuple[int, str]], base: int) -> int:
+        """Make the given folders the version after ``base``: one file, visible all at once.
+
+        Fails if that version is there already: someone else has written meanwhile.
+        """
+        rows = [(bucket, folder, self.buckets) for bucket, folder in entries or [(NO_BUCKET, "")]]
+        frame = self.spark.createDataFrame(rows, LOG).coalesce(1)
+        frame.write.mode("errorifexists").json(f"{self.root}/log/version={base + 1}")
+        return base + 1
 
     def append(self, rows: DataFrame) -> int:
-        """Add rows with new keys without rewriting anything; returns the version.
+        """Add rows with new keys; returns the version.
 
-        Every append adds a folder per bucket: after many small ones, compact.
+        Rewrites nothing but buckets that have come to ``FOLDERS`` folders.
         """
+        base, live = self._state()
         written = self._write(rows)
         if not written:
-            return self.version
-        return self._commit([(row["bucket"], row["folder"]) for row in self._log()] + written)
+            return base
+        version = self._commit([(row["bucket"], row["folder"]) for row in live if row["bucket"] != NO_BUCKET] + written, base)
+        most = max(Counter(row["bucket"] for row in live).values(), default=0)
+        return self.compact() if most >= FOLDERS - 1 else version
 
     def _rewrite(self, change: Callable[[DataFrame], DataFrame], touched: Sequence[int]) -> int:
-        live, touched = self._log(), set(touched)
+        (base, live), touched = self._state(), set(touched)
         old = self._load(sorted(row["folder"] for row in live if row["bucket"] in touched))
-        entries = [(row["bucket"], row["folder"]) for row in live if row["bucket"] not in touched]
-        return self._commit(entries + self._write(change(old)))
+        entries = [(row["bucket"], row["folder"]) for row in live if row["bucket"] not in {*touched, NO_BUCKET}]
+        return self._commit(entries + self._write(change(old)), base)
 
     def compact(self) -> int:
         """Rewrite buckets spread over several folders by repeated appends."""
