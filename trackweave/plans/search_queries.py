@@ -279,8 +279,10 @@ def word_counts(df: DataFrame) -> DataFrame:
     """An embedder that SQL can repeat: counts of words by the first digits of their md5."""
     words = F.filter(F.split(F.lower("chunk_text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % TEXT_DIM)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(TEXT_DIM - 1)), lambda i: F.size(F.filter("_places", lambda p: p == i)).cast("float"))
-    return df.withColumn("_places", places).withColumn("embedding", counts).drop("_places")
+    every = F.sequence(F.lit(0), F.lit(TEXT_DIM - 1))
+    # The places go through a lambda of their own, so that they are computed once and not for every number.
+    counts = F.transform(F.array(places), lambda at: F.transform(every, lambda i: F.size(F.filter(at, lambda p: p == i)).cast("float")))
+    return df.withColumn("embedding", F.get(counts, 0))
 
 
 def words_sql(text: str) -> str:
