@@ -43,7 +43,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def with_prefixes(sized: DataFrame) -> DataFrame:
     """Add ``bytes_before`` and ``rows_before``, counted over the whole table in ``ORDER``."""
-    spark = sized.sparkSession
+    spark, sized = sized.sparkSession, materialize(sized, "sizes")  # the sampling for the ranges reads no texts
     spread = F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(1 << 20))
     ranged = sized.withColumn("spread", spread).repartitionByRange(shuffle_partitions(spark), *ORDER)
     # Stored once: both passes below then see the same rows in the same partitions, also after a lost executor.
