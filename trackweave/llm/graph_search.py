@@ -196,7 +196,7 @@ def stacked(column: pd.Series) -> np.ndarray:
 
 def build_shard(group: pd.DataFrame) -> pd.DataFrame:
     """One shard's nodes with their edges."""
-    group = group.reset_index(drop=True)
+    group = group.iloc[np.argsort([ids[0] for ids in group["ids"]], kind="stable")].reset_index(drop=True)
     vectors = np.stack(group["embedding"].to_list()).astype(np.float32)
     longest = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1)).max()
     graph = Graph(lifted(vectors, longest)).build()
