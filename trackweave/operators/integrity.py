@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackweave.functions.vectors import has_dimension
 from trackweave.operators.keyed import not_in, only_in
+from trackweave.schemas import EMBEDDING_DIM, STAGES
 
 
 @dataclass(frozen=True)
@@ -141,6 +142,38 @@ LINKS = (
 )
 
 
+# Declared constraints of the tracking tables.
+DECLARED = {
+    "users": {"unique": [["user_id"], ["email"]], "not_null": ["email", "created_at"]},
+    "profiles": {"unique": [["profile_id"], ["user_id"]], "not_null": ["user_id", "remote_only", "updated_at"]},
+    "skills": {"unique": [["skill_id"], ["user_id", "skill_name"]], "not_null": ["user_id", "skill_name"]},
+    "postings": {"unique": [["job_id"]], "not_null": ["source", "title", "payload", "synced_at"]},
+    "chunks": {
+        "unique": [["job_id", "chunk_index"]],
+        "not_null": ["job_id", "chunk_index", "chunk_text", "embedding", "model_name", "created_at"],
+        "dimension": {"embedding": EMBEDDING_DIM},
+    },
+    "saved_jobs": {
+        "unique": [["saved_job_id"], ["user_id", "job_id"]],
+        "not_null": ["user_id", "job_id", "stage", "saved_at", "updated_at"], "allowed": {"stage": STAGES},
+    },
+    "applications": {"not_null": ["saved_job_id", "last_updated_at"]},
+    "interview_notes": {"unique": [["note_id"]], "not_null": ["saved_job_id", "note_text", "created_at"]},
+    "contacts": {"unique": [["contact_id"]], "not_null": ["name", "created_at"]},
+}
+
+
+def declared_rules(tables: Mapping[str, DataFrame]) -> dict[str, TableRules]:
+    """The declared constraints of the given tables; references to tables that are not given are left out."""
+    return {
+        name: TableRules(df, references={
+            link.column: (tables[link.parent], link.parent_column)
+            for link in LINKS if link.table == name and link.parent in tables
+        }, **DECLARED[name])
+        for name, df in tables.items()
+    }
+
+
 def cascade_delete(
     tables: Mapping[str, DataFrame],
     doomed: Mapping[str, DataFrame],

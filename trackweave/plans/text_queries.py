@@ -192,7 +192,7 @@ def payload_json(t: Tables) -> DataFrame:
 
 @query("""
 SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS k,
-  strftime(ts, '%Y-%m-%dT%H:%M:%S') AS seconds
+  CASE WHEN strftime(ts, '%f') = '000000' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS at
 FROM events
 """)
 def json_arguments(t: Tables) -> DataFrame:
@@ -201,7 +201,7 @@ def json_arguments(t: Tables) -> DataFrame:
     return t("events").select(
         "event_id",
         F.coalesce(tx.json_fields(text, "k bigint")["k"], F.lit(-1)).alias("k"),
-        F.substring(tx.iso_time(F.col("ts")), 1, 19).alias("seconds"),
+        tx.iso_time(F.col("ts")).alias("at"),
     )
 
 

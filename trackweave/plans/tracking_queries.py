@@ -571,6 +571,36 @@ def constraint_report(t: Tables) -> DataFrame:
     return integrity.constraint_report(_rules(t))
 
 
+@query("""
+WITH users AS (SELECT c_custkey AS user_id, c_mktsegment || c_custkey % 1000 AS email, c_acctbal < 0 AS no_time FROM customer),
+saved AS (SELECT o_custkey + 100 AS user_id, o_orderpriority AS job_id, o_orderkey AS saved_job_id,
+  CASE o_orderstatus WHEN 'F' THEN 'bogus' WHEN 'O' THEN 'applied' END AS stage FROM orders)
+SELECT 'users' AS table_name, 'not null email' AS constraint_name, 0 AS violations
+UNION ALL SELECT 'users', 'not null created_at', count(*) FILTER (WHERE no_time) FROM users
+UNION ALL SELECT 'users', 'unique user_id', 0
+UNION ALL SELECT 'users', 'unique email', count(*) FROM (SELECT 1 FROM users GROUP BY email HAVING count(*) > 1)
+UNION ALL SELECT 'saved_jobs', unnest(['not null user_id', 'not null job_id', 'not null saved_at', 'not null updated_at', 'unique saved_job_id']), 0
+UNION ALL SELECT 'saved_jobs', 'not null stage', count(*) FILTER (WHERE stage IS NULL) FROM saved
+UNION ALL SELECT 'saved_jobs', 'allowed stage', count(*) FILTER (WHERE stage = 'bogus') FROM saved
+UNION ALL SELECT 'saved_jobs', 'unique user_id, job_id', count(*) FROM (SELECT 1 FROM saved GROUP BY user_id, job_id HAVING count(*) > 1)
+UNION ALL SELECT 'saved_jobs', 'references user_id', count(*) FROM saved WHERE user_id NOT IN (SELECT user_id FROM users)
+""")
+def declared_report(t: Tables) -> DataFrame:
+    """The declared constraints of two tracking tables."""
+    status, time = F.col("o_orderstatus"), F.col("o_orderdate")
+    tables = {
+        "users": t("customer").select(
+            F.col("c_custkey").alias("user_id"), F.concat("c_mktsegment", F.col("c_custkey") % 1000).alias("email"),
+            F.when(~(F.col("c_acctbal") < 0), F.lit("2024-01-01").cast("timestamp")).alias("created_at"),
+        ),
+        "saved_jobs": t("orders").select(
+            F.col("o_orderkey").alias("saved_job_id"), (F.col("o_custkey") + 100).alias("user_id"), F.col("o_orderpriority").alias("job_id"),
+            F.when(status == "F", "bogus").when(status == "O", "applied").alias("stage"), time.alias("saved_at"), time.alias("updated_at"),
+        ),
+    }
+    return integrity.constraint_report(integrity.declared_rules(tables))
+
+
 @query("""
 SELECT 'labels' AS table_name, 'allowed quality' AS constraint_name, '{"doc_id":' || doc_id || '}' AS key, count(*) AS rows
   FROM labels WHERE quality <> 1 GROUP BY doc_id
@@ -593,9 +623,9 @@ WITH c AS (SELECT * FROM customer WHERE NOT c_acctbal < 0),
 o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)),
 l AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders
   WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)))
-SELECT 'customer' AS table_name, count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS keys FROM c
-UNION ALL SELECT 'orders', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM o
-UNION ALL SELECT 'lineitem', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM l
+SELECT 'customer' AS table_name, c_custkey AS key, -1 AS part FROM c
+UNION ALL SELECT 'orders', o_orderkey, -1 FROM o
+UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber FROM l
 """)
 def cascade_delete(t: Tables) -> DataFrame:
     tables = {name: t(name) for name in ("customer", "orders", "lineitem")}
@@ -605,9 +635,11 @@ def cascade_delete(t: Tables) -> DataFrame:
     )
     doomed = {"customer": t("customer").filter(F.col("c_acctbal") < 0).select("c_custkey")}
     left = integrity.cascade_delete(tables, doomed, links)
-    counted = [
-        left[name].agg(F.count("*").alias("rows"), F.sum(key).alias("keys")).select(F.lit(name).alias("table_name"), "rows", "keys")
-        for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey"))
+    rows = [
+        left[name].select(F.lit(name).alias("table_name"), F.col(key).alias("key"), part.alias("part"))
+        for name, key, part in (
+            ("customer", "c_custkey", F.lit(-1)), ("orders", "o_orderkey", F.lit(-1)), ("lineitem", "l_orderkey", F.col("l_linenumber")),
+        )
     ]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
