@@ -1,7 +1,7 @@
 """Quality rules: a table of thresholds compiled into one projection, built-in functions only.
 
 Every rule is a row of ``RULES``: a name, a ratio of two counted features and
-the bounds it must keep. ``measure`` adds the features of each text,
+the bounds it must keep. ``features`` counts all of them in one expression,
 ``apply_rules`` turns the table into one projection that says which rules a
 text breaks. There is no shuffle and no user function; a text is scored where
 its row lies, so a hot source or a large group of copies costs what its rows cost.
@@ -13,7 +13,9 @@ a column of the input that has the name of a feature is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -88,51 +90,59 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) >= n, let(words, judged)).otherwise(F.lit(0)).cast("long")
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the features that the rules use, all of them longs."""
-    body = F.coalesce(F.col(text), F.lit(""))
+FEATURES = (
+    "n_words", "word_chars", "n_repeat_words", "n_stop_words", "n_lines", "n_dup_lines", "n_symbols", "n_capitals",
+    "n_exclamations",
+)
+
+
+def features(text: Column) -> Column:
+    """All features of a text as one struct of longs."""
+    body = F.coalesce(text, F.lit(""))
     lines = let(
         F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]")),
         lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("distinct")),
     )
     words = let(words_of(body), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        repeated_words(w).alias("n_repeat_words"),
-        F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeated_words(w).alias("n_repeat_words"),
+        F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).alias("n_stop_words"),
     ))
-    return docs.withColumns({"_words": words, "_lines": lines}).withColumns({
-        **{c: F.col("_words")[c] for c in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")},
-        "n_lines": F.col("_lines")["all"].cast("long"),
-        "n_dup_lines": (F.col("_lines")["all"] - F.col("_lines")["distinct"]).cast("long"),
-        "n_symbols": count_chars(body, SYMBOLS),
-        "n_capitals": count_chars(body, "A-Z"),
-        "n_exclamations": count_chars(body, "!"),
-    }).drop("_words", "_lines")
-
-
-def broken(rule: Rule) -> Column:
-    """The rule as a condition that is true where it is broken."""
-    value = F.col(rule.top)
+    return let(words, lambda w: let(lines, lambda x: F.struct(*[value.cast("long").alias(name) for name, value in zip(FEATURES, (
+        w["n_words"], w["word_chars"], w["n_repeat_words"], w["n_stop_words"], x["all"], x["all"] - x["distinct"],
+        count_chars(body, SYMBOLS), count_chars(body, "A-Z"), count_chars(body, "!"),
+    ), strict=True)])))
+
+
+def broken(rule: Rule, of: Column) -> Column:
+    """The rule as a condition on a struct of features that is true where it is broken."""
+    value = of[rule.top]
     if rule.bottom:
-        value = value / F.greatest(F.col(rule.bottom), F.lit(1))
+        value = value / F.greatest(of[rule.bottom], F.lit(1))
     return ((value < rule.low) if rule.low is not None else F.lit(False)) | (
         (value > rule.high) if rule.high is not None else F.lit(False)
     )
 
 
+def any_broken(rules: Sequence[Rule], of: Column) -> Column:
+    return reduce(lambda a, b: a | b, [broken(r, of) for r in rules], F.lit(False))
+
+
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Add the features, ``base_failed``, ``failed_rules array<string>`` and ``kept``."""
-    failed = F.filter(F.array(*[F.when(broken(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    base = [broken(r) for r in rules if r.name in BASE_RULES]
-    base_failed = base[0]
-    for condition in base[1:]:
-        base_failed = base_failed | condition
-    return measure(docs, text).withColumns({"base_failed": base_failed, "failed_rules": failed}).withColumn(
-        "kept", F.size("failed_rules") == 0
-    )
+    judged = let(features(F.col(text)), lambda m: F.struct(
+        *[m[name].alias(name) for name in FEATURES],
+        any_broken([r for r in rules if r.name in BASE_RULES], m).alias("base_failed"),
+        F.filter(F.array(*[F.when(broken(r, m), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull()).alias("failed_rules"),
+        (~any_broken(rules, m)).alias("kept"),
+    ))
+    names = (*FEATURES, "base_failed", "failed_rules", "kept")
+    return docs.withColumn("_judged", judged).withColumns({n: F.col("_judged")[n] for n in names}).drop("_judged")
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """The documents that keep every rule, with their own columns."""
-    return apply_rules(docs.select(F.struct("*").alias("_row"), F.col("text"))).filter("kept").select("_row.*")
+    """The documents that keep every rule, as they are.
+
+    The condition holds the features once: Spark evaluates what stands in a
+    filter as often as it is written.
+    """
+    return docs.filter(let(features(F.col("text")), lambda m: ~any_broken(RULES, m)))
