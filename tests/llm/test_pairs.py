@@ -93,7 +93,7 @@ def brute_repeats(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize(("group", "report", "size"), [(1_000_000, 16, 8 << 20), (10, 1, 8 << 20), (10, 1, 2000)])
+@pytest.mark.parametrize(("group", "report", "size"), [(1_000_000, 16, 3 << 20), (10, 1, 3 << 20), (10, 1, 2000)])
 def test_substrings(spark, monkeypatch, group, report, size):
     monkeypatch.setattr(sd, "REPORT", report)
     monkeypatch.setattr(sd.slices, "__defaults__", (size,))

@@ -24,6 +24,7 @@ are kept, repeated rows are packed each, other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,12 +57,14 @@ def tokenizer(json_path: str, ranks_path: str | None = None):
     is five times as fast and gives the same ids; a text that it refuses goes
     to the tokenizers library.
     """
-    import tokenizers
-
-    slow = tokenizers.Tokenizer.from_file(json_path)
+    loaded = []  # the library's own form of the vocabulary is large; it is read when a text needs it
 
     def by_library(text: str) -> np.ndarray:
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if not loaded:
+            import tokenizers
+
+            loaded.append(tokenizers.Tokenizer.from_file(json_path))
+        return np.array(loaded[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     if ranks_path is None:
         return by_library
@@ -70,7 +73,8 @@ def tokenizer(json_path: str, ranks_path: str | None = None):
 
     with open(ranks_path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    special = {t.content: i for i, t in slow.get_added_tokens_decoder().items() if t.special}
+    with open(json_path, encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"] if t["special"]}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def by_ranks(text: str) -> np.ndarray:

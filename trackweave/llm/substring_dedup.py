@@ -49,7 +49,7 @@ PER_PARTITION = 3_000_000
 #: Fewer suffixes of one prefix in a batch are not reported: they cannot fill a group.
 REPORT = 16
 #: Bytes of text handled at a time.
-SLICE = 8 << 20
+SLICE = 3 << 20
 
 SENT = "bucket int, doc_ids binary, hashes binary, counts binary, keys binary, starts binary, marked boolean"
 BACK = "part int, doc_ids binary, hashes binary, counts binary, starts binary"
