@@ -57,7 +57,7 @@ def brute_components(rows, k=5, percent=75):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("longest", "block"), [(64, 1_000_000), (2, 1_000_000), (2, 900)])
+@pytest.mark.parametrize(("longest", "block"), [(64, 100_000), (2, 100_000), (2, 900)])
 def test_jaccard(spark, monkeypatch, longest, block):
     monkeypatch.setattr(jj, "LIST", longest)
     monkeypatch.setattr(jj, "BLOCK", block)

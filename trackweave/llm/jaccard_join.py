@@ -48,7 +48,7 @@ SHINGLE, PERCENT = 5, 75
 #: Longer lists are joined by blocks.
 LIST = 64
 #: Shingles in a block.
-BLOCK = 1_000_000
+BLOCK = 100_000
 #: Shingles that a hash group of step 1 is sized for.
 PER_PARTITION = 6_000_000
 
