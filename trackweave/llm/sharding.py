@@ -76,10 +76,8 @@ def shard_of(bytes_before: Column, size: Column, total: Column, shards: int) ->
 def byte_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, size, crc, shard and slot (gapless from 0 in each shard) of every document."""
     placed = materialize(with_prefixes(sizes(docs, id_col, text)), "prefixes")
-    total = placed.agg(F.max(F.col("bytes_before") + F.col("size")).alias("total"))
-    cut = placed.crossJoin(F.broadcast(total)).withColumn(  # one row: a constant
-        "shard", shard_of(F.col("bytes_before"), F.col("size"), F.col("total"), shards)
-    )
+    total = placed.agg(F.max(F.col("bytes_before") + F.col("size"))).scalar()
+    cut = placed.withColumn("shard", shard_of(F.col("bytes_before"), F.col("size"), total, shards))
     firsts = cut.groupBy("shard").agg(F.min("rows_before").alias("first"))  # one row per shard
     return cut.join(F.broadcast(firsts), "shard").select(
         "id", "size", "crc", "shard", (F.col("rows_before") - F.col("first")).alias("slot")
