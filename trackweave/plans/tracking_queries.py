@@ -257,9 +257,9 @@ def notes_appended(t: Tables) -> DataFrame:
     """New notes for a table whose last id is 500: ids go on from there without gaps."""
     stored = t.spark.range(1, 501).select(F.col("id").alias("note_id"))
     added = tracking.notes_to_append(stored, saved_from_orders(t), _notes(t))
-    total = added.agg(F.count("*").alias("n"), F.countDistinct("note_id").alias("ids"), F.min("note_id").alias("low"), F.max("note_id").alias("high"))
-    dense = (F.col("ids") == F.col("n")) & (F.col("low") == 501) & (F.col("high") == 500 + F.col("n"))
-    return added.crossJoin(F.broadcast(total)).select(  # one row of totals
+    ids = F.countDistinct("note_id")
+    dense = added.agg((ids == F.count("*")) & (F.min("note_id") == 501) & (F.max("note_id") == 500 + ids)).scalar()
+    return added.select(
         "saved_job_id", "note_text", F.col("created_at").cast("string"), dense.alias("continues")
     )
 
