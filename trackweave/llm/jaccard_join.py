@@ -106,7 +106,7 @@ def send(k: int, buckets: int):
             values, first = shingle_sets(part.column(0), k)
             classes, sizes = class_of(values, first), np.diff(first)
             # One set per class.
-            _, keep = np.unique(classes, return_index=True)
+            keep = np.sort(np.unique(classes, return_index=True)[1])  # in the order of the shingles
             keep = keep[sizes[keep] > 0]
             if not len(keep):
                 continue
