@@ -130,3 +130,18 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: find(i) for a, b in edges if a != b for i in (a, b)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("size", [3 << 20, 20_000])
+def test_jaccard_many_documents_in_a_slice(spark, monkeypatch, size):
+    """Enough documents, groups and slices that the order of classes and of shingles differ."""
+    monkeypatch.setattr(sd.slices, "__defaults__", (size,))
+    monkeypatch.setattr(jj, "PER_PARTITION", 2000)
+    rng, rows = random.Random(8), []
+    for g in range(150):
+        base = words(rng.randrange(30, 90), 1000 + g)
+        rows += [" ".join(edited(base, rng.randrange(3), 7000 + 10 * g + j)) for j in range(rng.randrange(1, 5))]
+    ids = rng.sample(range(10_000), len(rows))
+    rows = list(zip(ids, rows, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.id: (r["size"], r.component) for r in jj.join_documents(docs).collect()} == brute_components(rows)

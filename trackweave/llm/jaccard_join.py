@@ -50,7 +50,7 @@ LIST = 64
 #: Shingles in a block.
 BLOCK = 100_000
 #: Shingles that a hash group of step 1 is sized for.
-PER_PARTITION = 6_000_000
+PER_PARTITION = 3_000_000
 
 SENT = "bucket int, classes binary, sizes binary, counts binary, rests binary, kind int"
 COUNTED = "part int, classes binary, sizes binary, counts binary"
@@ -191,13 +191,12 @@ def repeated_in(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
         counts = [unshort(r.counts, len(c)) for r, c in zip(owned.itertuples(), classes, strict=True)]
         holder = np.repeat(np.concatenate(classes), np.concatenate(counts))
         rests = np.concatenate([np.frombuffer(r, "<u4") for r in owned.rests])
-        every = np.concatenate([rests, *[np.frombuffer(r, "<u4") for r in loose.rests]])
-        # A loose one counts twice: it is known to be repeated.
-        values, n = np.unique(every, return_counts=True)
-        again = n > 1
-        if len(loose):
-            again |= np.isin(values, np.concatenate([np.frombuffer(r, "<u4") for r in loose.rests]))
-        hit = again[np.searchsorted(values, rests)]
+        ordered = np.sort(rests)
+        twice = [ordered[1:][ordered[1:] == ordered[:-1]]]
+        del ordered
+        # Loose ones are repeated whatever their number.
+        repeated = np.unique(np.concatenate([*twice, *[np.frombuffer(r, "<u4") for r in loose.rests]]))
+        hit = np.isin(rests, repeated)
         found, n = np.unique(holder[hit], return_counts=True)
         out.append((found, np.zeros(len(found), np.int64), n))
     if not out:

@@ -45,7 +45,7 @@ LEVELS = (6, 12)
 #: Suffixes that a prefix may have before it is split.
 GROUP = 1_000_000
 #: Suffixes that a partition of groups is sized for.
-PER_PARTITION = 3_000_000
+PER_PARTITION = 1_500_000
 #: Fewer suffixes of one prefix in a batch are not reported: they cannot fill a group.
 REPORT = 16
 #: Bytes of text handled at a time.
