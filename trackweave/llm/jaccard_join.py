@@ -290,10 +290,9 @@ def keys_of(cut_sets: DataFrame, light: int) -> DataFrame:
     return small.unionByName(large)
 
 
-def listed_pairs(keys: DataFrame, lists: DataFrame) -> DataFrame:
+def listed_pairs(entries: DataFrame) -> DataFrame:
     """Distinct pairs of classes that stand in one list of at most ``LIST`` and whose sizes allow a link."""
-    short_lists = keys.join(lists.filter((F.col("n") > 1) & (F.col("n") <= LIST)).select("key"), "key")
-    grouped = short_lists.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("size", "class"))).alias("of"))
+    grouped = entries.filter(F.col("n") <= LIST).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("size", "class"))).alias("of"))
     partners = F.transform(F.col("of"), lambda a, i: F.struct(
         a["class"].alias("a"),
         F.transform(F.filter(
@@ -340,11 +339,11 @@ def block_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
 
-def block_edges(keys: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
+def block_edges(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among classes that share a list longer than ``LIST``."""
-    hot = join_hot(keys, lists.filter(F.col("n") > LIST).select("key"), ["key"], "inner")
-    # Classes and lists are the two kinds of nodes; their components are the clusters.
-    cluster = components(hot.select(F.col("class").alias("u"), F.xxhash64(F.lit("list"), "key").alias("v")))
+    # A class is tied to the first class of each of its lists; most lists of a cluster have the same few firsts.
+    ties = entries.filter(F.col("n") > LIST).select(F.col("class").alias("u"), F.col("first").alias("v")).distinct()
+    cluster = components(ties)
     members = sets.dropDuplicates(["class"]).join(
         cluster.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class"
     )
@@ -366,8 +365,9 @@ def join_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     members, sets = candidates(docs, k)
     cut_sets = materialize(prefixes(sets), "prefixes")
     keys = materialize(keys_of(cut_sets, boundary(cut_sets)), "keys")
-    lists = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
-    edges = linked(sets, listed_pairs(keys, lists)).unionByName(block_edges(keys, lists, sets))
+    lists = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("first")).filter("n > 1")
+    entries = materialize(join_hot(keys, lists, ["key"], "inner"), "entries")
+    edges = linked(sets, listed_pairs(entries)).unionByName(block_edges(entries, sets))
     roots = components(edges)
     named = join_hot(
         members, roots.select(F.col("node").alias("class"), "component"), ["class"], "left"
