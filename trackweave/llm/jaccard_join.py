@@ -46,7 +46,7 @@ from trackweave.session import materialize
 #: Words of a shingle, and the percentage of the union that linked sets share.
 SHINGLE, PERCENT = 5, 75
 #: Longer lists are joined by blocks.
-LIST = 64
+LIST = 8
 #: Shingles in a block.
 BLOCK = 100_000
 #: Shingles that a hash group of step 1 is sized for.
