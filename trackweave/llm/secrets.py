@@ -3,7 +3,8 @@
 Two first-order Markov models of characters, one of random strings and one of
 ordinary identifiers, are counted from labelled samples; a candidate string is
 a secret if the mean log-likelihood ratio of its character pairs is above a
-threshold. Counting is an aggregation over all pairs of the samples; the model
+threshold, as a whole or in any window of its shortest length, so that a token
+behind a path or a long name is found. Counting is an aggregation over all pairs of the samples; the model
 is one array with a number per pair of character classes (fixed size), put
 into the scan as a constant. The scan is one projection without a shuffle.
 
@@ -35,6 +36,19 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: Strings that the models judge: this long at least, with a letter and a digit.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: The length of the shortest of them.
+SHORTEST = 20
+#: What joins the parts of a candidate; between them are parts.
+JOINT = "/_=-"
+PART = r"[A-Za-z0-9+]"
+#: Digits in numbers: parts of digits only, and three or more digits in a row. Ordinary samples hold none, so that the
+#: dates and numbers of a path would look random as soon as they fill a window; there they count as joints.
+NUMBERS = (
+    r"[0-9](?=[0-9]{2})|(?<=[0-9])[0-9](?=[0-9])|(?<=[0-9]{2})[0-9]|"
+    r"(?<![A-Za-z0-9+])[0-9](?=[0-9]?(?![A-Za-z0-9+]))|(?<=(?<![A-Za-z0-9+])[0-9])[0-9](?![A-Za-z0-9+])"
+)
+#: Parts at the ends of a found stretch that are plain words.
+PLAIN = r"(?:[A-Z]?[a-z]*+|[A-Z]*+)"
 #: Mean log-likelihood ratio per character pair from which a string counts as random.
 THRESHOLD = 1.0
 #: Documents that the samples are taken from, about.
@@ -99,7 +113,7 @@ def train(labelled: DataFrame) -> list[float]:
 
 def randomness(string: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio over the string's pairs."""
-    ratios = F.array(*[F.lit(x) for x in model])
+    ratios = constant(model)
     return let(pairs_of(string), lambda p: F.aggregate(
         p, F.lit(0.0), lambda a, i: a + F.get(ratios, i)
     ) / F.greatest(F.size(p), F.lit(1)))
@@ -135,25 +149,108 @@ def base_spans(body: Column) -> Column:
     return F.sort_array(F.concat(*parts))
 
 
-def random_spans(body: Column, model: list[float], threshold: float) -> Column:
-    """Spans of candidate strings that the models call random."""
-    found = F.filter(matches(body, CANDIDATE), lambda s: (
-        s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]") & (randomness(s["match"], model) >= threshold)
-    ))
+def window_model(model: list[float]) -> list[float]:
+    """The model for windows: a pair with a joint never speaks for random."""
+    joints, width = {ALPHABET.index(c) for c in JOINT}, WIDTH + 1
+    return [min(x, 0.0) if {i // width, i % width} & joints else x for i, x in enumerate(model)]
+
+
+def constant(model: list[float]) -> Column:
+    """The model as one constant, not as thousands of expressions that every pass over the plan would visit."""
+    return F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
+
+
+def mixed(string: Column) -> Column:
+    return string.rlike("[0-9]") & string.rlike("[A-Za-z]")
+
+
+def merged(spans: Column) -> Column:
+    """Overlapping or touching spans as one; starts and ends must both be in order."""
+    def ends(s: Column) -> Column:
+        first = F.filter(s, lambda x, i: (i == 0) | (x["start"] > F.get(s, i - 1)["end"]))
+        last = F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1)["start"] > x["end"]))
+        return F.zip_with(first, last, lambda a, z: F.struct(a["start"].alias("start"), z["end"].alias("end")))
+
+    return let(spans, ends)
+
+
+def windows(piece: Column, model: list[float], threshold: float) -> Column:
+    """Stretches of a piece whose windows of ``SHORTEST`` characters are random, by start.
+
+    Every part that such a window touches is in, but for plain words at the
+    ends, where ``SHORTEST`` characters stay without them.
+    """
+    ratios = constant(window_model(model))
+
+    def random_windows(r: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(r) - SHORTEST + 1), lambda i: (
+            F.aggregate(F.slice(r, i + 1, SHORTEST - 1), F.lit(0.0), lambda a, x: a + x) >= threshold * (SHORTEST - 1)
+        ) & mixed(F.substring(piece, i + 1, F.lit(SHORTEST))))
+        return F.transform(at, lambda i: F.struct(i.alias("start"), (i + SHORTEST).alias("end")))
+
+    def widened(s: Column) -> Column:
+        before = F.reverse(F.substring(piece, F.lit(1), s["start"]))
+        after = F.substring(piece, s["end"] + 1, F.length(piece))
+        return F.struct(
+            (s["start"] - F.length(F.regexp_extract(before, f"^{PART}*+", 0))).alias("start"),
+            (s["end"] + F.length(F.regexp_extract(after, f"^{PART}*+", 0))).alias("end"),
+        )
+
+    def trimmed(s: Column) -> Column:
+        string = F.substring(piece, s["start"] + 1, s["end"] - s["start"])
+        start = s["start"] + F.length(F.regexp_extract(string, f"^(?:{PLAIN}[{JOINT}])*+", 0))
+        end = s["end"] - F.length(F.regexp_extract(string, f"(?:[{JOINT}]{PLAIN})*+$", 0))
+        return F.when(end - start >= SHORTEST, F.struct(start.alias("start"), end.alias("end"))).otherwise(s)
+
+    scores = F.transform(pairs_of(F.regexp_replace(piece, NUMBERS, "-")), lambda i: F.get(ratios, i))
+    return F.transform(merged(F.transform(merged(let(scores, random_windows)), widened)), trimmed)
+
+
+def stretches(piece: Column, model: list[float], threshold: float) -> Column:
+    """Random stretches of one piece: the whole of it, or those of its windows."""
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(piece).alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.when((F.length(piece) < SHORTEST) | ~mixed(piece), none).when(
+        randomness(piece, model) >= threshold, whole
+    ).otherwise(windows(piece, model, threshold))
+
+
+def gaps(run: Column, base: Column) -> Column:
+    """What base spans leave of a run, as array<struct<start, end, match>>."""
+    def between(near: Column) -> Column:
+        starts = F.filter(
+            F.array_distinct(F.concat(F.array(run["start"]), F.transform(near, lambda b: b["end"]))),
+            lambda x: (x < run["end"]) & ~F.exists(near, lambda b: (b["start"] <= x) & (b["end"] > x)),
+        )
+        return F.transform(F.array_sort(starts), lambda x: let(
+            F.coalesce(F.array_min(F.transform(F.filter(near, lambda b: b["start"] > x), lambda b: b["start"])), run["end"]),
+            lambda end: F.struct(x.alias("start"), end.alias("end"), F.substring(
+                run["match"], (x - run["start"] + 1).cast("int"), (end - x).cast("int")
+            ).alias("match")),
+        ))
+
+    return let(F.filter(base, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"])), between)
+
+
+def random_spans(body: Column, base: Column, model: list[float], threshold: float) -> Column:
+    """Spans of candidate strings, outside the base spans, that the models call random."""
+    runs = F.filter(matches(body, CANDIDATE), lambda s: mixed(s["match"]))
+    found = F.flatten(F.transform(F.flatten(F.transform(runs, lambda r: gaps(r, base))), lambda g: F.transform(
+        let(g["match"], lambda m: stretches(m, model, threshold)),
+        lambda s: F.struct((g["start"] + s["start"]).alias("start"), (g["start"] + s["end"]).alias("end")),
+    )))
     return F.when(body.rlike(CANDIDATE), kind_spans(found, "random")).otherwise(F.array().cast(SPANS))
 
 
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Add ``base`` and ``spans`` (all), arrays of (start, order, end, kind) sorted by start, then kind.
 
-    A random string that overlaps a base span is not reported again.
+    Candidates are cut at base spans, and what is left is judged on its own.
     """
     body = F.coalesce(F.col(text), F.lit(""))
 
     def beside(base: Column) -> Column:
-        more = F.filter(random_spans(body, model, threshold), lambda r: ~F.exists(
-            base, lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])
-        ))
+        more = random_spans(body, base, model, threshold)
         return F.struct(base.alias("base"), F.sort_array(F.concat(base, more)).alias("spans"))
 
     found = docs.withColumn("_found", let(base_spans(body), beside))
