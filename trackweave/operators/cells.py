@@ -29,6 +29,8 @@ from trackweave.session import materialize
 NO_CELL = -1  # vectors without direction: zero, non-finite, or of the wrong length
 # Chunks of a cell that one task ranks, and queries that it ranks them for.
 CHUNK_BLOCK, QUERY_BLOCK = 200_000, 4096
+# Where all chunks meet all queries: bytes of vectors in a block, chunks in the smallest, and tasks.
+BLOCK_BYTES, FINEST, MOST_TASKS = 64 << 20, 4096, 20_000
 
 
 @dataclass(frozen=True)
@@ -159,7 +161,43 @@ def search_many_cells(index: CellIndex, queries: DataFrame, k: int = SEARCH_LIMI
         "cell", each("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("sets")).cast("int").alias("set"),
         "query_id", "embedding", *extra,
     )
-    query_sql, job_sql = queries.schema["query_id"].dataType, index.chunks.schema["job_id"].dataType
+    return _ranked_blocks(chunk_rows, query_rows, ["cell", "part", "set"], k)
+
+
+def search_many_blocks(chunks: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT) -> DataFrame:
+    """Like :func:`search_many`, exact, for any number of queries.
+
+    Queries stay a table. Chunks and queries are cut into blocks of bounded
+    size and each block of the one meets each of the other, one pair of blocks
+    at a time in a task that emits k jobs per query. Chunks are copied once
+    per ``QUERY_BLOCK`` queries, so this is for more queries than one task holds.
+    """
+    per_query = {"remote_only", "min_salary"} <= set(queries.columns)
+    if per_query and "salary_max" not in chunks.columns:
+        raise ValueError("filters need chunks with remote and salary_max: with_filters")
+    spark, extra = chunks.sparkSession, ["remote_only", "min_salary"] if per_query else []
+    asked = materialize(queries.select("query_id", "embedding", *extra), "queries")
+    size = asked.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("ids"), F.max(F.size("embedding")).alias("dim")).first()
+    if size["ids"] < size["n"]:
+        raise ValueError("query_id must be unique")
+    n, width = chunks.count(), max(size["dim"] or 1, 1)
+    # Small tables are cut finer, so that all cores work.
+    rows = max(1, min(CHUNK_BLOCK, BLOCK_BYTES // (8 * width), max(FINEST, -(-n // spark.sparkContext.defaultParallelism))))
+    parts, sets = max(1, -(-n // rows)), max(1, -(-size["n"] // max(1, min(QUERY_BLOCK, BLOCK_BYTES // (8 * width)))))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n, *ids: F.pmod(F.xxhash64(*ids), F.lit(n)).cast("int")
+    chunk_rows = chunks.select(
+        block(parts, "job_id", "chunk_index").alias("part"), each(sets).alias("set"), *filter_columns(chunks, per_query)
+    )
+    query_rows = asked.select(each(parts).alias("part"), block(sets, "query_id").alias("set"), "query_id", "embedding", *extra)
+    key, tasks = ["part", "set"], min(2 * parts * sets, MOST_TASKS)  # a number of its own, as small blocks are long work too
+    return _ranked_blocks(chunk_rows.repartition(tasks, *key), query_rows.repartition(tasks, *key), key, k)
+
+
+def _ranked_blocks(chunk_rows: DataFrame, query_rows: DataFrame, key: list[str], k: int) -> DataFrame:
+    """The k best jobs of every query, from blocks of chunks and of queries with the same key."""
+    per_query = "min_salary" in query_rows.columns
+    query_sql, job_sql = query_rows.schema["query_id"].dataType, chunk_rows.schema["job_id"].dataType
     query_type, job_type, schema = to_arrow_type(query_sql), to_arrow_type(job_sql), winner_schema(query_sql, job_sql)
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -178,6 +216,5 @@ def search_many_cells(index: CellIndex, queries: DataFrame, k: int = SEARCH_LIMI
         )]
         return pa.Table.from_batches(found) if found else empty
 
-    key = ["cell", "part", "set"]
     found = chunk_rows.groupBy(*key).cogroup(query_rows.groupBy(*key)).applyInArrow(rank, schema)
     return best_ranked(found, k)
