@@ -101,6 +101,89 @@ SINGLE = (
 )
 
 
+# The forms that the frames of the families miss, written one by one: version before the word licence or without it,
+# versions glued to the name, bare SPDX ids, header and grant sentences. Label, pattern, and its first words where the
+# pattern does not begin with one plain word.
+HAND = (
+    ("apache-2.0", rf"apache(?: software)?(?: version)? v?2 0(?: {LICENCE})?", ()),
+    ("apache-2.0", rf"apache(?: software)? v?2(?: {LICENCE})", ()),
+    ("apache-2.0", rf"apache2(?: 0)?(?: {LICENCE})?", ()),
+    ("apache-1.1", rf"apache(?: software)?(?: version)? v?1 1(?: {LICENCE})?", ()),
+    ("apache-1.0", rf"apache(?: software)?(?: version)? v?1 0(?: {LICENCE})?", ()),
+    ("apache-2.0", "asl(?: version)? v?2(?: 0)?", ()),
+    ("gpl-1", rf"(?:gnu )?gplv?1(?: 0)?(?: only| or later)?(?: {LICENCE})?", ("gnu", "gplv1", "gpl1")),
+    ("gpl-2", rf"(?:gnu )?gplv?2(?: 0)?(?: only| or later)?(?: {LICENCE})?", ("gnu", "gplv2", "gpl2")),
+    ("gpl-3", rf"(?:gnu )?gplv?3(?: 0)?(?: only| or later)?(?: {LICENCE})?", ("gnu", "gplv3", "gpl3")),
+    ("lgpl-2.1", rf"(?:gnu )?lgplv?2 1(?: only| or later)?(?: {LICENCE})?", ("gnu", "lgplv2", "lgpl2")),
+    ("lgpl-2.1", rf"(?:gnu )?lgplv?21(?: {LICENCE})?", ("gnu", "lgplv21", "lgpl21")),
+    ("lgpl-2", rf"(?:gnu )?lgplv?2(?: 0)?(?: only| or later)?(?: {LICENCE})?", ("gnu", "lgplv2", "lgpl2")),
+    ("lgpl-3", rf"(?:gnu )?lgplv?3(?: 0)?(?: only| or later)?(?: {LICENCE})?", ("gnu", "lgplv3", "lgpl3")),
+    ("agpl-1", rf"(?:gnu )?agplv?1(?: 0)?(?: only| or later)?(?: {LICENCE})?", ("gnu", "agplv1", "agpl1")),
+    ("agpl-3", rf"(?:gnu )?agplv?3(?: 0)?(?: only| or later)?(?: {LICENCE})?", ("gnu", "agplv3", "agpl3")),
+    ("gfdl-1.2", "gfdlv?1 2", ("gfdlv1", "gfdl1")),
+    ("gfdl-1.3", "gfdlv?1 3", ("gfdlv1", "gfdl1")),
+    ("mpl-1.1", rf"(?:mozilla|mpl)(?: version)? v?1 1(?: {LICENCE})?", ("mozilla", "mpl")),
+    ("mpl-2.0", rf"(?:mozilla|mpl)(?: version)? v?2 0(?: {LICENCE})?", ("mozilla", "mpl")),
+    ("mpl-2.0", "mplv?2(?: 0)?", ("mplv2", "mpl2")),
+    ("epl-1.0", rf"(?:eclipse|epl)(?: version)? v?1 0(?: {LICENCE})?", ("eclipse", "epl")),
+    ("epl-2.0", rf"(?:eclipse|epl)(?: version)? v?2 0(?: {LICENCE})?", ("eclipse", "epl")),
+    ("bsd-2", rf"bsd 2(?: clause)(?: {LICENCE})?", ()),
+    ("bsd-3", rf"bsd 3(?: clause)(?: {LICENCE})?", ()),
+    ("bsd-2", rf"(?:2|two) clause bsd(?: {LICENCE})?", ("2", "two")),
+    ("bsd-3", rf"(?:3|three) clause bsd(?: {LICENCE})?", ("3", "three")),
+    ("bsd-4", rf"bsd 4 clause(?: {LICENCE})?", ()),
+    ("bsd-4", rf"(?:4|four) clause bsd(?: {LICENCE})?", ("4", "four")),
+    ("bsd-0", rf"(?:0bsd|bsd 0 clause|bsd zero clause)(?: {LICENCE})?", ("0bsd", "bsd")),
+    ("bsd-2", "bsd2", ()), ("bsd-3", "bsd3", ()),
+    ("bsd-2", f"freebsd {LICENCE}", ()),
+    ("mit", rf"mit(?: x11| expat)(?: {LICENCE})?", ()),
+    ("mit", "mit licen[sc]ed", ()),
+    ("isc", "isc licen[sc]ed", ()),
+    ("bsd", "bsd licen[sc]ed", ()),
+    ("gpl", "(?:gpl|gplv2|gplv3) licen[sc]ed", ("gpl",)),
+    ("apache-2.0", "apache licen[sc]ed", ()),
+    ("boost-1.0", "bsl 1 0", ()), ("boost-1.0", "boost(?: software)? v?1 0", ()),
+    ("artistic-2.0", "artistic v?2 0", ()), ("artistic-1.0", "artistic v?1 0", ()),
+    ("ofl-1.1", "(?:sil )?ofl v?1 1", ("sil", "ofl")),
+    ("eupl-1.2", "euplv?1 2", ("euplv1", "eupl1")),
+    ("cc0-1.0", "cc0 v?1(?: 0)?", ()),
+    ("cc0", "cc zero", ()),
+    ("wtfpl", "(?:wtfpl|do what the fuck you want to public licen[sc]e)", ("wtfpl", "do")),
+    ("mit", "the software is provided as is without warranty of any kind express or implied", ()),
+    ("gpl", "this program is free software you can redistribute it and or modify it", ()),
+    ("lgpl", "this library is free software you can redistribute it and or modify it", ()),
+    ("mpl", "this source code form is subject to the terms of the mozilla public licen[sc]e", ()),
+    ("apache-2.0", r"licen[sc]ed under the apache licen[sc]e version 2 0(?: the licen[sc]e)?", ("licensed", "licenced")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", ()),
+    ("boost-1.0", "distributed under the boost software licen[sc]e(?: version 1 0)?", ()),
+    ("zlib", "this software is provided as is without any express or implied warranty", ()),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ()),
+)
+
+#: Grants that name a licence by one word: "released under the MIT".
+GRANTED = ("licensed", "licenced", "released", "distributed", "available", "published", "provided", "offered")
+GRANTED_AS = (
+    ("bsd-0", "bsd (?:0|zero) clause"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"), ("bsd-4", "bsd 4 clause"),
+    ("apache-2.0", f"apache(?: software)?(?: {LICENCE})?(?: version)? v?2(?: 0)?"), ("mpl-2.0", "mpl(?: version)? v?2(?: 0)?"),
+    ("mpl-1.1", "mpl(?: version)? v?1 1"), ("epl-2.0", "epl(?: version)? v?2(?: 0)?"), ("epl-1.0", "epl(?: version)? v?1(?: 0)?"),
+    ("mit", "(?:mit|expat)"), ("bsd", "bsd"), ("isc", "isc"), ("zlib", "zlib"), ("wtfpl", "wtfpl"), ("apache", "apache"),
+    ("mpl", "mpl"), ("epl", "epl"), ("unlicense", "unlicense"),
+)
+
+
+def hand_rules() -> list[Rule]:
+    """The written forms, last in order, so that they add to the others and replace none."""
+    rules = [
+        Rule(anchor, pattern, label, 1, 0.65)
+        for label, pattern, anchors in HAND for anchor in (anchors or (pattern.split(" ")[0].split("(")[0],))
+    ]
+    own = {"licen[sc]ed": ("licensed", "licenced")}
+    rules = [Rule(a, r.pattern, r.label, r.priority, r.weight) for r in rules for a in own.get(r.anchor, (r.anchor,))]
+    return rules + [
+        Rule(verb, f"{verb} {GRANT}{name}(?: {LICENCE})?", label, 1, 0.65) for verb in GRANTED for label, name in GRANTED_AS
+    ]
+
+
 def family_rules() -> list[Rule]:
     """The forms of every family, most telling first: tag, grant, name with version, name."""
     rules = []
@@ -119,12 +202,17 @@ def family_rules() -> list[Rule]:
 
 
 #: All rules in the order in which they are tried.
-RULES = tuple(sorted((*SINGLE, *family_rules()), key=lambda r: -r.priority))
+RULES = tuple(sorted((*SINGLE, *family_rules(), *hand_rules()), key=lambda r: -r.priority))
 
 #: A text without any of these holds no rule and no base phrase.
 GATE = (
     rf"(?i)licen[sc]e|reserved|copyright|creative[{SEPARATOR}]+commons|public[{SEPARATOR}]+domain|redistribution|"
-    rf"cc[{SEPARATOR}]+by|cc0|gpl|gfdl|cddl|eupl|odbl|hereby"
+    rf"cc[{SEPARATOR}]+by|cc0|gpl|gfdl|cddl|eupl|odbl|hereby|0bsd|bsd[{SEPARATOR}]*[0234]|clause[{SEPARATOR}]+bsd|wtfpl|"
+    rf"bsd[{SEPARATOR}]+zero|mit[{SEPARATOR}]+(?:x11|expat)|cc[{SEPARATOR}]+zero|public[{SEPARATOR}]+licen|"
+    rf"(?:apache|asl|mpl|mozilla|epl|eclipse|boost|bsl|artistic|ofl)(?:[{SEPARATOR}]+(?:software|version))*[{SEPARATOR}]*v?[12]|"
+    rf"under[{SEPARATOR}]+(?:\w+[{SEPARATOR}]+){{0,7}}(?:mit|expat|bsd|isc|zlib|apache|mpl|epl)|"
+    rf"software[{SEPARATOR}]+is[{SEPARATOR}]+provided|is[{SEPARATOR}]+free[{SEPARATOR}]+software|"
+    rf"permission[{SEPARATOR}]+to[{SEPARATOR}]+use|unencumbered"
 )
 
 
