@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import bpe, graph_search, jaccard_join, licenses, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup
+from trackweave.llm import bpe, decontamination, graph_search, jaccard_join, licenses, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup
 from trackweave.llm.sql import SQL as ALL_SQL
 from trackweave.session import configure
 
@@ -128,3 +128,12 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= quality_classifier.GOOD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op12_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.scan(documents(spark, folder), table(spark, folder, "benchmark", "item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -158,3 +158,32 @@ WITH RECURSIVE docs AS (
 )
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM least LEFT JOIN sizes USING (doc_id)
 """
+
+SQL["op12_benchmark_decontamination"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(
+    translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(words[i + 1:i + size], ' ') AS gram FROM (
+    SELECT item, words, least(len(words), 10) AS size, unnest(range(greatest(len(words) - 9, 1))) AS i
+    FROM items WHERE len(words) > 0)
+), spots AS (
+  SELECT k, size, i, array_to_string(words[i + 1:i + size], ' ') AS gram
+  FROM (SELECT k, words, size, unnest(range(len(words) - size + 1)) AS i
+    FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)
+), hits AS (
+  SELECT k, i, size, item FROM spots JOIN windows USING (size, gram)
+), hit AS (
+  SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(i, i + size)) AS place FROM hits) GROUP BY k
+), listed AS (
+  SELECT k, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY k
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (k) LEFT JOIN listed USING (k)
+"""
