@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import bpe, decontamination, graph_search, jaccard_join, licenses, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup
+from trackweave.llm import alignment, bpe, decontamination, graph_search, jaccard_join, licenses, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, whitening
 from trackweave.llm.sql import SQL as ALL_SQL
 from trackweave.session import configure
 
@@ -130,6 +130,18 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_cross_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = alignment.align_documents(
+        documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    )
+    return aligned.select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best",
+        F.col("count_sum").try_cast("long").alias("count_sum"), "groups_sha256",
+    )
+
+
 @query
 def op12_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.scan(documents(spark, folder), table(spark, folder, "benchmark", "item_id", "text"))
@@ -137,3 +149,9 @@ def op12_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    done = whitening.whitened(table(spark, folder, "embeddings", "vec_id", "embedding"))
+    return done.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
