@@ -1,5 +1,6 @@
 """Substring dedup and the Jaccard join against plain Python, with hot groups, ties and awkward rows."""
 
+import os
 import random
 
 import pytest
@@ -67,6 +68,20 @@ def test_jaccard(spark, monkeypatch, longest, block):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("light", [0, 60, 118, 10**6])
+def test_jaccard_light_and_heavy(spark, monkeypatch, light):
+    """The boundary on either side of, and among, the sizes that link; nothing stays in the work folder but what the result reads."""
+    monkeypatch.setattr(jj, "LIST", 2)
+    rows = corpus() + [(2000 + i, " ".join(edited(words(60 + i, 77)[:60 + i], i % 3, 400 + i))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    joined = jj.join_documents(docs, light=light)
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert left == {"roots"}
+    assert {r.id: (r["size"], r.component) for r in joined.collect()} == brute_components(rows)
+
+
 def test_jaccard_repeated_null_and_empty(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (2, "x y"), (2, None), (None, None), (None, "q r s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trackweave.operators.keyed import join_hot
-from trackweave.session import materialize
+from trackweave.session import forget, materialize
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -29,15 +29,21 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (u long, v long) to (node, component), the smallest node of each component; only nodes with edges."""
+    """``edges`` (u long, v long) to (node, component), the smallest node of each component; only nodes with edges.
+
+    The result is stored; what the rounds stored is deleted as they go on.
+    """
     down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = materialize(down, "edges"), None
     while True:
-        edges = materialize(small_star(large_star(edges).distinct()).distinct(), "edges")
+        last, edges = edges, materialize(small_star(large_star(edges).distinct()).distinct(), "edges")
+        forget(last)
         # Stable once the edges are stars: compared by count and sums of hashes, one row.
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.hash("v", "u"))).first())
         if now == before:
             break
         before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    named = materialize(stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "stars")
+    forget(edges)
+    return named

@@ -12,7 +12,8 @@ quarters (``need``) of the other's shingles. The steps:
    the prefixes of ``size - need + 1`` shingles share one, of one more share two.
 3. Light sets (up to the boundary) enumerate the pairs of their prefix, heavy
    ones and those that may link with one are scanned by inverted lists. The
-   boundary is where the number of pairs and of list entries read is least.
+   boundary is where least is written: a row per pair of shingles on one side,
+   a row per shingle and the candidates of its list (``LIST`` at most) on the other.
 4. Lists of at most ``LIST`` classes give candidate pairs, whose sets are
    compared. Classes of longer lists form clusters, cut into blocks; a task
    compares two blocks in memory, never writes out pairs, and returns a
@@ -41,12 +42,14 @@ from trackweave.llm.sieve import flag_partners
 from trackweave.llm.substring_dedup import short, slices, unshort
 from trackweave.llm.words import cut, mix, windows
 from trackweave.operators.keyed import join_hot
-from trackweave.session import materialize
+from trackweave.session import forget, materialize
 
 #: Words of a shingle, and the percentage of the union that linked sets share.
 SHINGLE, PERCENT = 5, 75
 #: Longer lists are joined by blocks.
 LIST = 8
+#: Cost of a key, in candidates.
+KEY_COST = 3
 #: Shingles in a block.
 BLOCK = 100_000
 #: Shingles that a hash group of step 1 is sized for.
@@ -123,12 +126,11 @@ def send(k: int, buckets: int):
             for kind, some, docs in ((0, values[own], doc[own]), (2, loose, None)):
                 group = ((some >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
-                cuts = np.searchsorted(group[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    mine = order[cuts[b]:cuts[b + 1]]
-                    if len(mine) and docs is None:
+                present, cuts = np.unique(group[order], return_index=True)
+                for b, mine in zip(present.tolist(), np.split(order, cuts[1:]), strict=False):  # the groups this slice has; without any, split gives one empty piece
+                    if docs is None:
                         rows.append(row(b, np.zeros(0), None, np.zeros(0), some[mine], kind))
-                    elif len(mine):
+                    else:
                         which, count = np.unique(docs[mine], return_counts=True)
                         rows.append(row(b, classes[which], None, count, some[mine], kind))
             kinds = [pa.int32(), *[pa.binary()] * 4, pa.int32()]
@@ -246,7 +248,9 @@ def candidates(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     sets = flagged.join(chosen.select("id", "hash"), ["id", "hash"], "left_semi").select("text").mapInArrow(
         describe(k), "class long, size long, shingles array<long>"
     )
-    return members, materialize(sets, "sets")
+    sets = materialize(sets, "sets")
+    forget(chosen)
+    return members, sets
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -263,11 +267,17 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
 
 def boundary(cut_sets: DataFrame) -> int:
-    """The largest light size: least sum of pairs enumerated by light sets and list entries read for the others."""
+    """The largest light size: least sum of rows written for pairs of shingles, for list entries and for their candidates.
+
+    A key is written, shuffled and read again with its list (``KEY_COST``); a
+    list entry meets at most ``LIST`` others, since longer lists go to blocks.
+    """
     n = F.size("prefix")
     by_size = cut_sets.groupBy(F.ceil(F.log2("size") * 8).alias("step")).agg(  # at most some hundred rows
-        F.max("size").alias("size"), F.sum(n * (n - 1) / 2).alias("pairs"),
-        F.sum(F.aggregate(F.slice("prefix", 1, F.col("one")), F.lit(0.0), lambda a, x: a + x["df"])).alias("reads"),
+        F.max("size").alias("size"), F.sum(n * (n - 1) / 2 * KEY_COST).alias("pairs"),
+        F.sum(F.aggregate(
+            F.slice("prefix", 1, F.col("one")), F.lit(0.0), lambda a, x: a + KEY_COST + F.least(x["df"], F.lit(LIST))
+        )).alias("reads"),
     ).orderBy("step").collect()
     best, limit = sum(r.reads for r in by_size), 0
     for i, r in enumerate(by_size):
@@ -340,7 +350,7 @@ def block_links(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def block_edges(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among classes that share a list longer than ``LIST``."""
+    """Links among classes that share a list longer than ``LIST``; stored."""
     # A class is tied to the first class of each of its lists; most lists of a cluster have the same few firsts.
     ties = entries.filter(F.col("n") > LIST).select(F.col("class").alias("u"), F.col("first").alias("v")).distinct()
     cluster = components(ties)
@@ -348,6 +358,7 @@ def block_edges(entries: DataFrame, sets: DataFrame) -> DataFrame:
         cluster.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class"
     )
     members = materialize(members, "clusters")
+    forget(cluster)
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     # A unit is a pair of blocks; a set goes to the units of its own block.
@@ -355,24 +366,41 @@ def block_edges(entries: DataFrame, sets: DataFrame) -> DataFrame:
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    return units.select("cluster", low.alias("low"), high.alias("high"), "class", "size", "shingles").groupBy(
+    links = materialize(units.select("cluster", low.alias("low"), high.alias("high"), "class", "size", "shingles").groupBy(
         "cluster", "low", "high"
-    ).applyInPandas(block_links, "u long, v long")
+    ).applyInPandas(block_links, "u long, v long"), "block_links")
+    forget(members)
+    return links
 
 
-def join_documents(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """id, hash (of the text), size (of the set), root and component of every document; one row per row of ``docs``."""
-    members, sets = candidates(docs, k)
+def class_edges(sets: DataFrame, light: int | None = None) -> DataFrame:
+    """The links among the classes of ``sets``, enough of them to connect all that link; stored. ``light`` overrides the boundary."""
     cut_sets = materialize(prefixes(sets), "prefixes")
-    keys = materialize(keys_of(cut_sets, boundary(cut_sets)), "keys")
+    keys = materialize(keys_of(cut_sets, boundary(cut_sets) if light is None else light), "keys")
+    forget(cut_sets)
     lists = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("first")).filter("n > 1")
     entries = materialize(join_hot(keys, lists, ["key"], "inner"), "entries")
-    edges = linked(sets, listed_pairs(entries)).unionByName(block_edges(entries, sets))
+    forget(keys)
+    short = materialize(linked(sets, listed_pairs(entries)), "short_links")
+    long = block_edges(entries, sets)
+    forget(entries)
+    edges = materialize(short.unionByName(long), "links")
+    forget(short, long)
+    return edges
+
+
+def join_documents(docs: DataFrame, k: int = SHINGLE, light: int | None = None) -> DataFrame:
+    """id, hash (of the text), size (of the set), root and component of every document; one row per row of ``docs``."""
+    members, sets = candidates(docs, k)
+    edges = class_edges(sets, light)
+    forget(sets)
     roots = components(edges)
-    named = join_hot(
+    forget(edges)
+    joined = join_hot(
         members, roots.select(F.col("node").alias("class"), "component"), ["class"], "left"
     ).withColumn("root", F.coalesce("component", "class"))
-    named = materialize(named.select("id", "hash", "class", "size", "root"), "roots")
+    named = materialize(joined.select("id", "hash", "class", "size", "root"), "roots")
+    forget(members, roots)
     least = named.filter("size > 0").groupBy("root").agg(F.min("id").alias("least"))
     full = join_hot(named.filter("size > 0"), least, ["root"], "inner").select(
         "id", "hash", "size", "root", F.col("least").alias("component")
