@@ -1,13 +1,9 @@
-import os
-
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from trackweave.operators.keyed import assign_ids, first_n, latest_per_key, partial_update, replace_owned, upsert
-from trackweave.sources import store as store_module
-from trackweave.sources.store import TableStore
+from trackweave.sources.tables import KeyedTable
 
 ROW = "id int, name string, source string"
 
@@ -90,94 +86,83 @@ def test_ids_are_dense_and_repeatable(spark):
     assert assign_ids(new, ["key"], "id", after=empty).agg(F.max("id")).first()[0] == 5000
 
 
-def folders(store):
-    return {(r["bucket"], r["folder"]) for r in store._log()}
+def files(root):
+    return {str(f.relative_to(root)) for f in root.glob("parts-*/part=*/*.parquet")}
 
 
-def test_store_changes_only_touched_buckets(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "t"), ROW, ["id"], buckets=8)
-    assert store.read().count() == 0 and store.version == 0
+def test_table_rewrites_only_touched_parts(spark, tmp_path):
+    store = KeyedTable(spark, str(tmp_path / "t"), ROW, ["id"], parts=8, buckets=2)
+    assert store.read().count() == 0
     store.append(spark.range(100).selectExpr("cast(id as int) id", "'n' name", "'x' source"))
-    before, reader = folders(store), store.read()
-    assert store.version == 1 and len(before) == 8
+    before = files(tmp_path / "t")
+    assert len({f.split("/")[1] for f in before}) == 8
     change = spark.createDataFrame([(5, "new", "y"), (5, "newer", "y"), (500, "add", "y")], ROW)
     store.upsert(change, ["name"], order=[F.desc("name")])
-    after = folders(store)
-    assert store.version == 2 and 6 <= len(before & after) < 8
-    assert reader.count() == 100, "a reader keeps the version it opened"
+    rewritten = {f.split("/")[1] for f in before - files(tmp_path / "t")}
+    assert 1 <= len(rewritten) <= 2
     got = {r["id"]: (r["name"], r["source"]) for r in store.read().collect()}
     assert len(got) == 101 and got[5] == ("newer", "x") and got[500] == ("add", "y") and got[6] == ("n", "x")
     store.upsert(change, ["name"], order=[F.desc("name")])
     assert {r["id"]: (r["name"], r["source"]) for r in store.read().collect()} == got
+    again = KeyedTable(spark.newSession(), str(tmp_path / "t"), ROW, ["id"], parts=8, buckets=2)
+    assert again.read().count() == 101
+
+
+def test_old_rows_are_not_shuffled(spark, tmp_path, capsys):
+    store = KeyedTable(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], parts=2, buckets=4)
+    store.append(spark.range(1000).selectExpr("id k", "id v"))
+    changes = spark.range(500, 1500).selectExpr("id k", "-id v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = upsert(store.read_for(changes), changes, ["k"], ["v"])
+        merged.explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "PartitionFilters: [part" in plan
+    assert plan.index("Bucketed: true") < plan.index("Exchange hashpartitioning"), "the exchange is on the side of the changes"
+    assert merged.filter("v < 0").count() == 1000 and merged.count() == 1500
 
 
 def test_failed_write_is_never_seen(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "t"), ROW, ["id"], buckets=4)
+    store = KeyedTable(spark, str(tmp_path / "t"), ROW, ["id"], parts=2, buckets=2)
     store.append(spark.createDataFrame([(1, "a", "x")], ROW))
     broken = spark.range(10).selectExpr("cast(id as int) id", "cast(raise_error('lost') as string) name", "'y' source")
-    try:
-        store.append(broken)
-    except Exception as error:
-        assert "lost" in str(error)
-    else:
-        raise AssertionError("the write should fail")
-    assert store.version == 1 and rows(store.read()) == [(1, "a", "x")]
+    for change in (store.append, lambda rows: store.upsert(rows, ["name"])):
+        with pytest.raises(Exception, match="lost"):
+            change(broken)
+        assert rows(store.read()) == [(1, "a", "x")]
     store.append(spark.createDataFrame([(2, "b", "x")], ROW))
     assert rows(store.read()) == [(1, "a", "x"), (2, "b", "x")]
 
 
-def test_store_replace_compact_and_empty(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "t"), "k string, n int", ["k", "n"], ["k"], buckets=4)
+def test_replace_and_empty(spark, tmp_path):
+    store = KeyedTable(spark, str(tmp_path / "t"), "k string, n int", ["k", "n"], ["k"], parts=4, buckets=2)
     for n in range(3):
         store.append(spark.createDataFrame([("a", n), ("b", n)], "k string, n int"))
-    assert len(folders(store)) > 2
-    store.compact()
-    assert len(folders(store)) == len({b for b, _ in folders(store)})
     owners = spark.createDataFrame([("a",), ("zzz",)], "k string")
     store.replace(owners, spark.createDataFrame([("a", 9)], "k string, n int"))
     assert rows(store.read()) == [("a", 9), ("b", 0), ("b", 1), ("b", 2)]
     nothing = spark.createDataFrame([], "k string, n int")
     store.replace(spark.createDataFrame([("a",), ("b",)], "k string"), nothing)
+    assert store.read().count() == 0, "a part that loses all its rows"
+    store.append(nothing)
+    store.upsert(nothing, ["n"])
+    store.replace(nothing, nothing)
     assert store.read().count() == 0
-    version = store.version
-    assert store.append(nothing) == version and store.upsert(nothing, ["n"]) == version
-    assert sorted(os.listdir(tmp_path / "t" / "log")) == [f"version={v}" for v in range(1, version + 1)]
+    store.upsert(spark.createDataFrame([("b", 5)], "k string, n int"), ["n"])
+    assert rows(store.read()) == [("b", 5)]
 
 
-def test_hot_bucket_is_split_over_files(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "t"), "k string, n int, pad string", ["k", "n"], ["k"], buckets=4)
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
-    try:
-        store.append(spark.range(0, 40000, 1, 8).selectExpr("'hot' k", "cast(id as int) n", "sha2(cast(id as string), 512) pad"))
-    finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    (_, folder), = folders(store)
-    files = [f for f in os.listdir(tmp_path / "t" / "data" / folder) if f.endswith(".parquet")]
-    assert len(files) > 4 and store.read().count() == 40000
-
-
-def test_store_keeps_its_bucket_count(spark, tmp_path):
-    rows = spark.range(100).selectExpr("id k", "id v")
-    TableStore(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], buckets=8).append(rows)
-    other = TableStore(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], buckets=16)
-    with pytest.raises(ValueError, match="buckets"):
-        other.upsert(rows.limit(3), ["v"])
-
-
-def test_second_writer_fails(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], buckets=4)
-    store.append(spark.range(10).selectExpr("id k", "id v"))
-    base, live = store._state()
-    entries = [(r["bucket"], r["folder"]) for r in live]
-    assert store._commit(entries, base) == base + 1
-    with pytest.raises(AnalysisException):
-        store._commit(entries, base)
-    assert store.read().count() == 10
-
-
-def test_many_appends_keep_the_log_small(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(store_module, "FOLDERS", 3)
-    store = TableStore(spark, str(tmp_path / "t"), "k bigint, v bigint", ["k"], buckets=2)
-    for i in range(6):
-        store.append(spark.range(i * 10, i * 10 + 10).selectExpr("id k", "id v"))
-    assert store.read().count() == 60 and len(store._log()) <= 2 * 3
+def test_hot_owner_is_split_over_buckets(spark, tmp_path):
+    store = KeyedTable(spark, str(tmp_path / "t"), "k string, n int", ["k", "n"], ["k"], parts=4, buckets=8)
+    store.append(spark.range(0, 4000).selectExpr("'hot' k", "cast(id as int) n"))
+    assert len(files(tmp_path / "t")) == 8 and store.read().count() == 4000
+    sizes = [r["count"] for r in store.read().groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < 2 * min(sizes)
+
+
+def test_table_keeps_its_layout(spark, tmp_path):
+    KeyedTable(spark, str(tmp_path / "t"), "k bigint", ["k"], parts=2, buckets=8).append(spark.range(9).toDF("k"))
+    with pytest.raises(ValueError, match="buckets-8"):
+        KeyedTable(spark, str(tmp_path / "t"), "k bigint", ["k"], parts=2, buckets=16)

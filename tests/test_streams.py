@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from trackweave import schemas
 from trackweave.functions.models import hashing_embedder
 from trackweave.operators import tracking
-from trackweave.plans.ingest import embed_new, ingest_listings, store_chunks
+from trackweave.plans.ingest import EmbedCounts, embed_new, ingest_listings, store_chunks
 from trackweave.sources.listings import read_listings
-from trackweave.sources.store import TableStore
+from trackweave.sources.tables import KeyedTable
 from trackweave.streaming.streams import command_stream, embed_stream, ingest_stream, listing_stream, read_rejects
 
 START = dt.datetime(2024, 1, 1)
@@ -28,24 +28,24 @@ def row(id, text, date="2024-01-01T00:00:00", **more):
 
 
 def postings_store(spark, root):
-    return TableStore(spark, str(root), schemas.POSTINGS, ["job_id"], buckets=4)
+    return KeyedTable(spark, str(root), schemas.POSTINGS, ["job_id"], parts=4, buckets=2)
 
 
 def chunk_store(spark, root):
-    return TableStore(spark, str(root), schemas.CHUNKS, ["job_id", "chunk_index"], ["job_id"], buckets=4)
+    return KeyedTable(spark, str(root), schemas.CHUNKS, ["job_id", "chunk_index"], ["job_id"], parts=4, buckets=2)
 
 
 def test_ingest_counts_and_kept_source(spark, tmp_path):
     land(tmp_path / "in", "1.json", row("1", "one"), row("2", "two"), row("2", "newer", "2024-02-01T00:00:00"), row("3", ""), {"id": 4, "description": "untitled"})
     store = postings_store(spark, tmp_path / "postings")
     counts = ingest_listings(store, read_listings(spark, str(tmp_path / "in")), "feed", now())
-    assert (counts.fetched, counts.kept, counts.rejected, counts.version) == (5, 2, 1, 1)
+    assert (counts.fetched, counts.kept, counts.rejected) == (5, 2, 1)
     land(tmp_path / "more", "2.json", row("1", "changed"), row("9", "nine"))
     counts = ingest_listings(store, read_listings(spark, str(tmp_path / "more")), "second", now())
     got = {r["job_id"]: (r["source"], r["description"]) for r in store.read().collect()}
     assert got == {"1": ("feed", "changed"), "2": ("feed", "newer"), "9": ("second", "nine")}
     junk = ingest_listings(store, read_listings(spark, str(tmp_path / "more")), "second", now(), vocabulary=["sql"])
-    assert junk.kept == 0 and junk.version == counts.version
+    assert junk.kept == 0 and store.read().count() == 3
 
 
 def test_incremental_embedding(spark, tmp_path):
@@ -53,14 +53,14 @@ def test_incremental_embedding(spark, tmp_path):
     store = chunk_store(spark, tmp_path / "chunks")
     embed = hashing_embedder(dim=8)
     first = spark.createDataFrame([("a", "x" * 2000), ("b", "short"), ("c", " \t")], shape)
-    assert embed_new(first, store, now(), embed=embed) == 1
+    assert embed_new(first, store, now(), embed=embed) == EmbedCounts(2, 4)
     count = lambda: {r["job_id"]: r["n"] for r in store.read().groupBy("job_id").agg(F.count("*").alias("n")).collect()}
     assert count() == {"a": 3, "b": 1}
-    assert embed_new(first, store, now(), embed=embed) == 1, "nothing new, no new version"
+    assert embed_new(first, store, now(), embed=embed) == EmbedCounts(0, 0)
     edited = spark.createDataFrame([("a", "y" * 900), ("b", " short "), ("d", "new")], shape)
     embed_new(edited, store, now(), embed=embed)
     assert count() == {"a": 3, "b": 1, "d": 1}, "edited texts stay as they are by default"
-    embed_new(edited, store, now(), refresh=True, embed=embed)
+    assert embed_new(edited, store, now(), refresh=True, embed=embed) == EmbedCounts(1, 2)
     assert count() == {"a": 2, "b": 1, "d": 1}
     assert {r["chunk_text"][0] for r in store.read().filter("job_id = 'a'").collect()} == {"y"}
     embed_new(spark.createDataFrame([("a", " ")], shape), store, now(), refresh=True, embed=embed)
@@ -96,9 +96,9 @@ def test_streams_end_to_end(spark, tmp_path):
     got = {r["job_id"]: r["description"] for r in store.read().collect()}
     assert got == {"1": "one", "2": "u", "3": "three"}
     assert chunks.read().count() == 4, "known postings keep their chunks"
-    version = store.version, chunks.version
+    before = sorted(str(f) for f in tmp_path.glob("*/parts-*/part=*/*.parquet"))
     run()
-    assert (store.version, chunks.version) == version, "no new files, no new version"
+    assert before and sorted(str(f) for f in tmp_path.glob("*/parts-*/part=*/*.parquet")) == before, "no new files, nothing written"
 
 
 def test_empty_listing_then_full_one_is_stored(spark, tmp_path):
@@ -128,7 +128,7 @@ def test_command_stream_and_replay(spark, tmp_path):
         commands((1, "a", 1, "update", "applied"), (1, "a", 2, "save", None), (2, "b", 3, "save", "bogus")),
         commands((1, "a", 4, "update", "offer"), (2, "b", 5, "save", "applied"), (3, "c", 6, "update", "saved")),
     ]
-    store = TableStore(spark, str(tmp_path / "saved"), schemas.SAVED_JOBS, tracking.PAIR, buckets=4)
+    store = KeyedTable(spark, str(tmp_path / "saved"), schemas.SAVED_JOBS, tracking.PAIR, parts=4, buckets=2)
     for i, batch in enumerate(batches):
         batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schemas.COMMANDS).parquet(str(tmp_path / "in"))
