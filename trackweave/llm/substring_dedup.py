@@ -161,11 +161,10 @@ def send(window: int, split: list[np.ndarray], buckets: int):
                 rows.append((int(ids[known[0]] % buckets), *packed(ids, hashes, known, None, places), True))
             group = route([p[first] for p in prefixes], keys[first], split, buckets)
             order = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                mine = first[order[cuts[b]:cuts[b + 1]]]
-                if len(mine):
-                    rows.append((b, *packed(ids, hashes, doc[mine], keys[mine], start[mine]), False))
+            present, cuts = np.unique(group[order], return_index=True)
+            for b, at in zip(present.tolist(), np.split(order, cuts[1:]), strict=False):  # the groups this slice has
+                mine = first[at]
+                rows.append((b, *packed(ids, hashes, doc[mine], keys[mine], start[mine]), False))
             if rows:
                 kinds = [pa.int32(), *[pa.binary()] * 5, pa.bool_()]
                 names = [x.split()[0] for x in SENT.split(", ")]
