@@ -14,7 +14,7 @@ from trackweave.plans.ingest import chunk_rows, store_chunks
 from trackweave.plans.registry import Tables, query
 from trackweave.session import work_dir
 from trackweave.sources.listings import impose_schema, parse_listings, query_table, read_listings
-from trackweave.sources.store import TableStore
+from trackweave.sources.tables import KeyedTable
 from trackweave.streaming import streams
 
 SPACE = tx.UNICODE_SPACE
@@ -112,7 +112,7 @@ def parse_json_listings(t: Tables) -> DataFrame:
 def ingest_stream(t: Tables) -> DataFrame:
     """The same as a stream into a stored postings table, and once more as a replay."""
     folder = f"{work_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
-    store = TableStore(t.spark, f"{folder}/postings", schemas.POSTINGS, ["job_id"], buckets=8)
+    store = KeyedTable(t.spark, f"{folder}/postings", schemas.POSTINGS, ["job_id"], parts=4, buckets=8)
     at = F.lit("2024-01-01").cast("timestamp")
     for run in ("first", "replay"):
         arriving = impose_schema(cleaning.drop_notices(raw_documents(t.stream("documents"))))
@@ -263,8 +263,8 @@ FROM pieces
 """)
 def chunks_updated(t: Tables) -> DataFrame:
     """Stored chunks, then new texts under the keys of every second document: known keys keep their creation time."""
-    store = TableStore(
-        t.spark, f"{work_dir(t.spark)}/chunks-{uuid.uuid4().hex}", schemas.CHUNKS, ["job_id", "chunk_index"], ["job_id"], buckets=8
+    store = KeyedTable(
+        t.spark, f"{work_dir(t.spark)}/chunks-{uuid.uuid4().hex}", schemas.CHUNKS, ["job_id", "chunk_index"], ["job_id"], parts=4, buckets=8
     )
     docs = t("documents").select(F.col("doc_id").cast("string").alias("job_id"), F.col("text").alias("description"))
     embed = hashing_embedder(dim=MODEL_DIM)

@@ -20,6 +20,10 @@ ADAPTIVE = {
     # Hash instead of sort where every partition of one side turns out this
     # small: the large side is not sorted. 20 million commands: 19 s -> 11 s.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Whole texts go to Python tasks: 10,000 of them (the default) are tens of MB, held several times over.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # An overwrite replaces the partitions it has rows for, not the whole table.
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -58,8 +62,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return stored
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def forget(*stored: DataFrame) -> None:
     """Delete the folders of ``materialize`` results that nothing lazy reads any more."""
     for df in stored:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path, files = _file_system(df.sparkSession, df._stored_at)
+        files.delete(path, True)
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies directly in a folder of any file system; nothing where it is not there."""
+    path, files = _file_system(spark, folder)
+    return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []

@@ -17,7 +17,7 @@ from trackweave.plans.ingest import POSTING_UPDATE, embed_new, postings_from
 from trackweave.schemas import RAW_LISTING
 from trackweave.session import materialize
 from trackweave.sources.listings import impose_schema
-from trackweave.sources.store import TableStore
+from trackweave.sources.tables import KeyedTable
 
 
 def listing_stream(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
@@ -33,7 +33,7 @@ def _start(stream: DataFrame, apply, checkpoint: str, available_now: bool) -> St
 
 def ingest_stream(
     stream: DataFrame,
-    store: TableStore,
+    store: KeyedTable,
     source: str,
     checkpoint: str,
     as_of: Column | None = None,
@@ -52,7 +52,7 @@ def ingest_stream(
 
 def embed_stream(
     stream: DataFrame,
-    store: TableStore,
+    store: KeyedTable,
     checkpoint: str,
     as_of: Column | None = None,
     available_now: bool = True,
@@ -76,7 +76,7 @@ def embed_stream(
 
 
 def command_stream(
-    stream: DataFrame, store: TableStore, rejects: str, checkpoint: str, available_now: bool = True
+    stream: DataFrame, store: KeyedTable, rejects: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
     """Fold arriving save / update commands into the saved-jobs table.
 
