@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from trackweave.operators.keyed import assign_ids, first_n, latest_per_key, partial_update, replace_owned, upsert
+from trackweave.operators.keyed import assign_ids, first_n, latest_per_key, number_within, partial_update, replace_owned, upsert
 from trackweave.sources.tables import KeyedTable
 
 ROW = "id int, name string, source string"
@@ -166,3 +166,21 @@ def test_table_keeps_its_layout(spark, tmp_path):
     KeyedTable(spark, str(tmp_path / "t"), "k bigint", ["k"], parts=2, buckets=8).append(spark.range(9).toDF("k"))
     with pytest.raises(ValueError, match="buckets-8"):
         KeyedTable(spark, str(tmp_path / "t"), "k bigint", ["k"], parts=2, buckets=16)
+
+
+def test_places_of_a_hot_owner(spark, capsys):
+    """An owner of a third of all rows, one without id, ties broken by the id: cut over parts, numbered as by one sort."""
+    frame = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 500 == 1, F.lit(None)).otherwise(F.col("id") % 97).cast("int").alias("u"),
+        (F.col("id") % 11).alias("t"), "id",
+    )
+    numbered = number_within(frame, ["u"], [F.desc("t"), F.asc("id")], "place")
+    numbered.explain()
+    plan = capsys.readouterr().out
+    assert "SinglePartition" not in plan
+    want, seen = {}, {}
+    for r in sorted(frame.collect(), key=lambda r: (-r["t"], r["id"])):
+        seen[r["u"]] = seen.get(r["u"], 0) + 1
+        want[r["id"]] = seen[r["u"]]
+    assert {r["id"]: r["place"] for r in numbered.collect()} == want
+    assert number_within(frame.limit(0), ["u"], ["t", "id"], "place").count() == 0

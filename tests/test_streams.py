@@ -101,6 +101,26 @@ def test_streams_end_to_end(spark, tmp_path):
     assert before and sorted(str(f) for f in tmp_path.glob("*/parts-*/part=*/*.parquet")) == before, "no new files, nothing written"
 
 
+def test_repeats_in_flight(spark, tmp_path):
+    """Within the bound an equal listing is gone, also after a restart; a fuller copy and an old one that comes late stay."""
+    folder, store, seen = tmp_path / "in", postings_store(spark, tmp_path / "postings"), []
+
+    def run():
+        ingest_stream(
+            listing_stream(spark, str(folder)), store, "feed", str(tmp_path / "c"), now(), within="2 hours",
+            report=lambda batch, counts: seen.append(counts),
+        ).awaitTermination()
+
+    land(folder, "1.json", row("1", "one"), row("1", "one"), row("2", "two", "garbage"))
+    run()
+    assert sum(c.fetched for c in seen) == 2
+    land(folder, "2.json", row("1", "one"), row("2", "two", "garbage"), row("1", "one", url="/more"), row("3", "late", "1999-01-01T00:00:00"))
+    seen.clear()
+    run()
+    assert sum(c.fetched for c in seen) == 2 and sum(c.kept for c in seen) == 2
+    assert {r["job_id"]: r["url"] for r in store.read().collect()} == {"1": "/more", "2": None, "3": None}
+
+
 def test_empty_listing_then_full_one_is_stored(spark, tmp_path):
     folder, store = tmp_path / "in", postings_store(spark, tmp_path / "postings")
     for name, text in (("1.json", ""), ("2.json", "full")):

@@ -97,6 +97,16 @@ def json_fields(col: Column, schema: str) -> Column:
     return F.coalesce(parsed, F.from_json(F.lit("{}"), schema))
 
 
+def json_values(col: Column, **fields: tuple[str, str]) -> list[Column]:
+    """Typed values of a JSON text, as columns named like the arguments: each a path and a type.
+
+    The text is parsed once, as a variant. Malformed text, a missing path and a
+    value that is not of the type are NULL.
+    """
+    parsed = F.try_parse_json(col)
+    return [F.try_variant_get(parsed, path, kind).alias(name) for name, (path, kind) in fields.items()]
+
+
 def days_before(as_of: Column, days: int | Column) -> Column:
     """``as_of`` minus a number of days."""
     count = days if isinstance(days, Column) else F.lit(days)

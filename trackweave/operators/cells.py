@@ -29,6 +29,8 @@ from trackweave.session import materialize
 NO_CELL = -1  # vectors without direction: zero, non-finite, or of the wrong length
 # Chunks of a cell that one task ranks, and queries that it ranks them for.
 CHUNK_BLOCK, QUERY_BLOCK = 200_000, 4096
+# Slack for the rounding of angles, far above it.
+MARGIN = 1e-6
 # Where all chunks meet all queries: bytes of vectors in a block, chunks in the smallest, and tasks.
 BLOCK_BYTES, FINEST, MOST_TASKS = 64 << 20, 4096, 20_000
 
@@ -127,35 +129,53 @@ def search_cells(
     return search(index.chunks.filter(F.col("cell").isin(cells)), postings, query, k, **filters)
 
 
-def search_many_cells(index: CellIndex, queries: DataFrame, k: int = SEARCH_LIMIT, probes: int = 4) -> DataFrame:
-    """Like :func:`search_many` for any number of queries, each over its nearest cells only.
+def sample_centers(chunks: DataFrame, cells: int, dim: int) -> list[list[float]]:
+    """Centres without a fit: the vectors of ``cells`` chunks, chosen by a hash of their key. For exact searches any will do."""
+    key = F.xxhash64("job_id", "chunk_index")
+    rows = chunks.filter(directed(dim)).select(key.alias("_h"), "embedding").orderBy("_h", "embedding").limit(cells).collect()
+    return [r["embedding"] for r in rows]
 
-    Queries stay a table: each is copied to its cells and meets the chunks
-    there. Crowded cells and crowds of queries are cut into blocks of bounded
-    size; a task ranks one block of chunks for one block of queries and emits k
-    jobs per query.
-    """
-    per_query = {"remote_only", "min_salary"} <= set(queries.columns)
-    extra = ["remote_only", "min_salary"] if per_query else []
-    asked = materialize(queries.select("query_id", "embedding", *extra), "queries")
-    centers = index.centers
 
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            vectors = np.array(rows["embedding"].to_list(), dtype=np.float64).reshape(len(rows), centers.shape[1])
-            yield rows.assign(cell=nearest_cells(centers, vectors, probes)).explode("cell").astype({"cell": "int32"})
+def cell_radii(index: CellIndex) -> dict[int, float]:
+    """Of every cell with chunks, the largest angle between its centre and a chunk: one pass, a row per task and cell."""
+    units = _unit_rows(index.centers)
 
-    types = asked.withColumn("cell", F.lit(0)).schema
-    routed = asked.mapInPandas(to_cells, types)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, float] = {}
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            for c in np.unique(cell).tolist():
+                if c == NO_CELL:
+                    least[c] = -1.0
+                    continue
+                rows = _unit_rows(batch.column(1).filter(pa.array(cell == c)).to_pylist())
+                least[c] = min(least.get(c, 1.0), float((rows @ units[c]).min()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.float64())], names=["cell", "least"]
+        )
+
+    rows = index.chunks.select("cell", "embedding").mapInArrow(run, "cell int, least double").groupBy("cell").agg(
+        F.min("least").alias("least")
+    ).collect()
+    return {r["cell"]: float(np.arccos(np.clip(r["least"], -1.0, 1.0))) for r in rows}
+
+
+def _per_query(queries: DataFrame) -> list[str]:
+    return ["remote_only", "min_salary"] if {"remote_only", "min_salary"} <= set(queries.columns) else []
+
+
+def _meet_in_cells(index: CellIndex, routed: DataFrame, k: int) -> DataFrame:
+    """The k best jobs of every query among the chunks of the cells it is routed to (a row per query and ``cell``)."""
+    extra = _per_query(routed)
     # One row per cell: how many blocks of chunks and of queries it has.
     blocks = index.chunks.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK_BLOCK).cast("int").alias("parts")).join(
         routed.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("sets")), "cell"
     )
     blocks = materialize(blocks, "blocks")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    chunk_rows = join_hot(index.chunks.select("cell", *filter_columns(index.chunks, per_query)), blocks, ["cell"], "inner").select(
+    chunk_rows = join_hot(index.chunks.select("cell", *filter_columns(index.chunks, bool(extra))), blocks, ["cell"], "inner").select(
         "cell", F.pmod(F.xxhash64("job_id", "chunk_index"), F.col("parts")).cast("int").alias("part"), each("sets").alias("set"),
-        "job_id", "chunk_index", "embedding", *(["remote", "salary_max"] if per_query else []),
+        "job_id", "chunk_index", "embedding", *(["remote", "salary_max"] if extra else []),
     )
     query_rows = join_hot(routed, blocks, ["cell"], "inner").select(
         "cell", each("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("sets")).cast("int").alias("set"),
@@ -164,6 +184,83 @@ def search_many_cells(index: CellIndex, queries: DataFrame, k: int = SEARCH_LIMI
     return _ranked_blocks(chunk_rows, query_rows, ["cell", "part", "set"], k)
 
 
+def _route(asked: DataFrame, cells_of, columns: list[str]) -> DataFrame:
+    """A row per query and cell; ``cells_of`` gives the cells of a frame of queries, a list each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = rows.assign(cell=cells_of(rows)).explode("cell").dropna(subset="cell")
+            yield out.astype({"cell": "int32"})[[*columns, "cell"]]
+
+    return asked.mapInPandas(run, asked.select(*columns).withColumn("cell", F.lit(0)).schema)
+
+
+def _matrix(rows: pd.DataFrame, dim: int) -> np.ndarray:
+    return np.array(rows["embedding"].to_list(), dtype=np.float64).reshape(len(rows), dim)
+
+
+def search_many_cells(index: CellIndex, queries: DataFrame, k: int = SEARCH_LIMIT, probes: int = 4) -> DataFrame:
+    """Like :func:`search_many` for any number of queries, each over its nearest cells only.
+
+    Queries stay a table: each is copied to its cells and meets the chunks
+    there. Crowded cells and crowds of queries are cut into blocks of bounded
+    size; a task ranks one block of chunks for one block of queries and emits k
+    jobs per query.
+    """
+    columns = ["query_id", "embedding", *_per_query(queries)]
+    asked, centers = materialize(queries.select(*columns), "queries"), index.centers
+    routed = _route(asked, lambda rows: nearest_cells(centers, _matrix(rows, centers.shape[1]), probes), columns)
+    return _meet_in_cells(index, routed, k)
+
+
+def reachable_cells(
+    centers: np.ndarray, radii: dict[int, float], queries: np.ndarray, floor: np.ndarray, done: list[list[int]]
+) -> list[list[int]]:
+    """Per query the cells, not done yet, that may hold a chunk as near as ``floor`` (NaN: any chunk at all).
+
+    By the triangle inequality no chunk of a cell is nearer to a query, as an
+    angle, than the centre less the cell's radius.
+    """
+    units, to = _unit_rows(queries), _unit_rows(centers)
+    with np.errstate(invalid="ignore"):
+        angle = np.arccos(np.clip(units @ to.T, -1.0, 1.0))
+    known = sorted(radii)
+    out = []
+    for row, least, seen in zip(angle, floor, done, strict=True):
+        if np.isnan(least) or np.isnan(row).any():
+            out.append([c for c in known if c not in seen])
+            continue
+        out.append([
+            c for c in known
+            if c != NO_CELL and c not in seen and np.cos(max(0.0, row[c] - radii[c])) >= least - MARGIN
+        ])
+    return out
+
+
+def search_many_pruned(
+    index: CellIndex, queries: DataFrame, k: int = SEARCH_LIMIT, probes: int = 2, radii: dict[int, float] | None = None
+) -> DataFrame:
+    """Like :func:`search_many`, exact, for any number of queries, without most of the cells.
+
+    Every query first meets its nearest cells. The similarity of its k-th job
+    there is a floor: a cell whose bound (:func:`reachable_cells`) lies below
+    it cannot change the result and is not visited. A query with fewer than k
+    jobs so far visits all cells. ``radii`` may be kept with a stored index.
+    """
+    columns = ["query_id", "embedding", *_per_query(queries)]
+    asked, centers = materialize(queries.select(*columns), "queries"), index.centers
+    radii, dim = cell_radii(index) if radii is None else radii, centers.shape[1]
+    near = lambda rows: nearest_cells(centers, _matrix(rows, dim), probes)
+    first = materialize(_meet_in_cells(index, _route(asked, near, columns), k), "near")
+    floors = first.groupBy("query_id").agg(F.when(F.count("similarity") >= k, F.min("similarity")).alias("floor"))
+    rest = _route(
+        asked.join(floors, "query_id", "left"),
+        lambda rows: reachable_cells(centers, radii, _matrix(rows, dim), rows["floor"].to_numpy(np.float64), near(rows)), columns,
+    )
+    second = _meet_in_cells(index, materialize(rest, "reached"), k)
+    return best_ranked(first.drop("rank").unionByName(second.drop("rank")), k)
+
+
 def search_many_blocks(chunks: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT) -> DataFrame:
     """Like :func:`search_many`, exact, for any number of queries.
 

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trackweave.session import materialize
+
 Order = Sequence[str | Column]
 
 
@@ -204,3 +206,25 @@ def assign_ids(
         .withColumn(out, (base + F.col("_start") + F.col("_number")).cast("bigint"))
         .drop("_bucket", "_number", "_start")
     )
+
+
+def number_within(rows: DataFrame, owner: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
+    """Add the place (from 1) of every row among its owner's rows under ``order`` (total within an owner).
+
+    Rows are range-partitioned by owner and order, so that an owner of a third
+    of all rows is cut over many tasks; each part numbers its own rows, and the
+    owner's rows in the parts before (a row per part and owner) are added.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *owner, *order)
+    # Stored once: both passes then see the same rows in the same parts.
+    stored = materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = stored.groupBy(*owner, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*owner).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    number = F.row_number().over(Window.partitionBy(*owner, "_part").orderBy(*order))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in owner]
+    numbered = stored.withColumn("_number", number).alias("a").join(
+        offsets.alias("b"), [F.col("a._part") == F.col("b._part"), *same]
+    )
+    return numbered.select(*[F.col(f"a.`{c}`") for c in rows.columns], (F.col("_number") + F.col("_before")).cast("long").alias(out))

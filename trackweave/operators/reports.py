@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackweave.functions.text import days_before
-from trackweave.operators.keyed import first_n, join_hot, latest_per_key
+from trackweave.operators.keyed import first_n, join_hot, latest_per_key, number_within
 from trackweave.schemas import ACTIVE_STAGES, HISTORY_MESSAGES, STALE_DAYS
 
 
@@ -46,6 +46,17 @@ def stale_jobs(
     return joined.select(*columns).orderBy("updated_at", "saved_job_id")
 
 
+def tracked_places(saved: DataFrame, postings: DataFrame, stage: str | None = None) -> DataFrame:
+    """Every user's list with each job's ``place`` in it, newest change first (NULL last), ties by id."""
+    rows = tracked_jobs(saved, postings, stage=stage)
+    return number_within(rows, ["user_id"], [F.desc_nulls_last("updated_at"), F.asc("saved_job_id")], "place")
+
+
+def stale_places(saved: DataFrame, postings: DataFrame, as_of: Column, days: int = STALE_DAYS) -> DataFrame:
+    """Every user's stale jobs with their ``place``, oldest first, ties by id."""
+    return number_within(stale_jobs(saved, postings, as_of, days), ["user_id"], ["updated_at", "saved_job_id"], "place")
+
+
 def stale_banner(stale: DataFrame) -> DataFrame:
     """One row per stale job: its "title at company" label and how many its user has.
 

@@ -17,7 +17,7 @@ from trackweave.plans.matching import match_profiles, search_text
 from trackweave.plans.registry import Tables, query
 from trackweave.plans.text_queries import chunk_sql
 from trackweave.session import materialize, work_dir
-from trackweave.sources.store import TableStore
+from trackweave.sources.tables import KeyedTable
 from trackweave.streaming import streams
 
 K = 8
@@ -157,12 +157,21 @@ def _ranked(found: DataFrame) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""
+BATCH_SQL = f"""
 WITH {BASE_SQL}, {GROUPS_SQL}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, job_id, chunk_index, round(sim, 6) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, job_id) AS rank FROM by_query JOIN postings USING (job_id))
 WHERE rank <= {K}
-""")
+"""
+
+
+@query(BATCH_SQL)
+def search_batch_pruned(t: Tables) -> DataFrame:
+    """The same through cells, exact: cells out of a query's reach are not visited."""
+    return _ranked(cells.search_many_pruned(in_cells(_stored_chunks(t)), _group_queries(t), K))
+
+
+@query(BATCH_SQL)
 def search_batch(t: Tables) -> DataFrame:
     """Many queries in one pass over the chunks."""
     return _ranked(search_many(_stored_chunks(t), _group_queries(t), K))
@@ -325,6 +334,14 @@ def search_by_text(t: Tables) -> DataFrame:
     return _flat(found)
 
 
+def in_cells(chunks: DataFrame) -> cells.CellIndex:
+    """About as many cells as chunks in a cell, stored."""
+    n, dim = chunks.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    number = max(1, min(4096, int(n**0.5)))
+    index = cells.build_cells(chunks, number, dim, centers=cells.sample_centers(chunks, number, dim))
+    return cells.CellIndex(materialize(index.chunks, "in_cells"), index.centers)
+
+
 def speakers(t: Tables) -> DataFrame:
     """Every conversation as a profile: its first message is the summary."""
     return t("conversations").groupBy(F.col("conv_id").alias("user_id")).agg(
@@ -352,8 +369,9 @@ SELECT user_id, CAST(rank AS INTEGER) AS rank, job_id, chunk_index, round(sim, 6
 WHERE rank <= {K}
 """)
 def profile_matches(t: Tables) -> DataFrame:
-    """The best postings of every profile under its own filters, from texts alone."""
-    return _ranked(match_profiles(speakers(t), text_chunks(t), text_postings(t), word_counts, K))
+    """The best postings of every profile under its own filters, from texts alone; cells out of reach are not visited."""
+    chunks = materialize(with_filters(text_chunks(t), text_postings(t)), "chunks")
+    return _ranked(match_profiles(speakers(t), in_cells(chunks), embed=word_counts, k=K))
 
 
 @query(f"""
@@ -364,7 +382,7 @@ FROM (SELECT doc_id, trim(text, '{UNICODE_SPACE}') AS s FROM documents) WHERE le
 def embed_stream(t: Tables) -> DataFrame:
     """Documents streamed into a stored chunk table, then the same ones again."""
     folder = f"{work_dir(t.spark)}/embed-{uuid.uuid4().hex}"
-    store = TableStore(t.spark, f"{folder}/chunks", schemas.CHUNKS, ["job_id", "chunk_index"], ["job_id"], buckets=8)
+    store = KeyedTable(t.spark, f"{folder}/chunks", schemas.CHUNKS, ["job_id", "chunk_index"], ["job_id"], parts=4, buckets=8)
     arriving = t.stream("documents").select(
         F.col("doc_id").cast("string").alias("job_id"), F.col("text").alias("description")
     )

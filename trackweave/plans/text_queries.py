@@ -10,7 +10,7 @@ from trackweave import schemas
 from trackweave.functions import text as tx
 from trackweave.functions.models import complete, hashing_embedder
 from trackweave.operators import chunking, cleaning, keyed, prompts, reports
-from trackweave.plans.ingest import chunk_rows, store_chunks
+from trackweave.plans.ingest import chunk_rows, embed_new, ingest_listings, store_chunks
 from trackweave.plans.registry import Tables, query
 from trackweave.session import work_dir
 from trackweave.sources.listings import impose_schema, parse_listings, query_table, read_listings
@@ -335,6 +335,47 @@ def bound_parameters(t: Tables) -> DataFrame:
     )
 
 
+@query(f"""
+SELECT job_id, title, remote, salary_max, salary_max / 2 AS half, posted_at, string_split(tags, ',')[1] AS first_tag,
+  len(string_split(tags, ',')) AS n_tags, location, NULL::VARCHAR AS missing
+FROM ({CLEAN_SQL})
+""")
+def payload_read_back(t: Tables) -> DataFrame:
+    """Typed values read back out of the stored payload: texts, doubles, booleans, times, nested arrays."""
+    rows = cleaning.with_payload(cleaning.clean_listings(raw_documents(t("documents")), "feed"), F.lit("2024-01-01").cast("timestamp"))
+    read = rows.select(*tx.json_values(
+        F.col("payload"), job_id=("$.job_id", "string"), title=("$.title", "string"), remote=("$.remote", "boolean"),
+        salary_max=("$.salary_max", "double"), posted_at=("$.posted_at", "timestamp"), first_tag=("$.tags[0]", "string"),
+        tags=("$.tags", "array<string>"), location=("$.location", "string"), missing=("$.nowhere", "string"),
+    ))
+    return read.withColumns({
+        "half": F.col("salary_max") / 2, "posted_at": F.col("posted_at").cast("string"), "n_tags": F.size("tags").cast("long"),
+    }).drop("tags")
+
+
+@query(f"""
+WITH {RAW_SQL}, {chunk_sql()}, counts AS (
+  SELECT 'fetched' AS step, count(*) AS n FROM raw
+  UNION ALL SELECT 'kept', count(DISTINCT id) FROM raw WHERE length(description) > 0
+  UNION ALL SELECT 'rejected', 0
+  UNION ALL SELECT 'chunked', count(DISTINCT doc_id) FROM pieces
+  UNION ALL SELECT 'chunks', count(*) FROM pieces
+  UNION ALL SELECT 'chunks again', 0)
+SELECT step, n FROM counts
+""")
+def run_counts(t: Tables) -> DataFrame:
+    """Counts that an ingest, an embed run and its repetition report, observed while they write stored tables."""
+    folder, at = f"{work_dir(t.spark)}/counts-{uuid.uuid4().hex}", F.lit("2024-01-01").cast("timestamp")
+    postings = KeyedTable(t.spark, f"{folder}/postings", schemas.POSTINGS, ["job_id"], parts=4, buckets=8)
+    chunks = KeyedTable(t.spark, f"{folder}/chunks", schemas.CHUNKS, ["job_id", "chunk_index"], ["job_id"], parts=4, buckets=8)
+    ingested = ingest_listings(postings, raw_documents(t("documents")), "feed", at)
+    runs = [embed_new(postings.read(), chunks, at, embed=hashing_embedder(dim=MODEL_DIM)) for _ in range(2)]
+    return t.spark.createDataFrame([
+        ("fetched", ingested.fetched), ("kept", ingested.kept), ("rejected", ingested.rejected),
+        ("chunked", runs[0].postings), ("chunks", runs[0].chunks), ("chunks again", runs[1].chunks),
+    ], "step string, n long")
+
+
 @query(f"""
 WITH {RAW_SQL}, {chunk_sql()}
 SELECT (SELECT count(*) FROM raw) AS fetched,

@@ -10,7 +10,7 @@ from trackweave import schemas
 from trackweave.operators import integrity, keyed, reports, tracking
 from trackweave.plans.registry import Tables, query
 from trackweave.session import work_dir
-from trackweave.sources.store import TableStore
+from trackweave.sources.tables import KeyedTable
 from trackweave.streaming import streams
 
 # --- commands: events as save / update commands on (user, tens of k) ------------------
@@ -118,7 +118,7 @@ def stage_fold_stream(t: Tables) -> DataFrame:
     """The same commands as a stream into a keyed table."""
     folder = f"{work_dir(t.spark)}/fold-{uuid.uuid4().hex}"
     schema = schemas.SAVED_JOBS.replace("timestamp", "timestamp_ntz")
-    store = TableStore(t.spark, f"{folder}/saved", schema, tracking.PAIR, buckets=8)
+    store = KeyedTable(t.spark, f"{folder}/saved", schema, tracking.PAIR, parts=4, buckets=8)
     store.append(saved_from_orders(t))
     streams.command_stream(
         commands_from(t.stream("events")), store, f"{folder}/rejects", f"{folder}/progress"
@@ -292,7 +292,7 @@ FROM customer FULL JOIN (
 def upsert_stored(t: Tables) -> DataFrame:
     """Latest order of each customer upserted into a stored, bucketed customer table."""
     folder = f"{work_dir(t.spark)}/accounts-{uuid.uuid4().hex}"
-    store = TableStore(t.spark, folder, "id bigint, segment string, balance double", ["id"], buckets=8)
+    store = KeyedTable(t.spark, folder, "id bigint, segment string, balance double", ["id"], parts=4, buckets=8)
     store.append(t("customer").select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")
     ))
@@ -473,31 +473,26 @@ def stage_counts_by_user(t: Tables) -> DataFrame:
     return reports.stage_counts(saved.join(postings.select("job_id"), "job_id"), owner="user_id")
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """One user's rows in the order in which they come."""
-    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
-
-
 @query(f"""
-WITH {TRACKED_SQL} SELECT saved_job_id, updated_at, stage, row_number() OVER (ORDER BY o_orderdate DESC, saved_job_id) AS place
-FROM tracked WHERE user_id = 7
+WITH {TRACKED_SQL} SELECT user_id, saved_job_id, updated_at, stage,
+  row_number() OVER (PARTITION BY user_id ORDER BY o_orderdate DESC, saved_job_id) AS place
+FROM tracked
 """)
 def tracked_of_user(t: Tables) -> DataFrame:
-    """One user's list, newest change first."""
-    saved, postings = _order_tracking(t)
-    rows = _numbered(reports.tracked_jobs(saved, postings, user_id=7))
-    return rows.select("saved_job_id", F.col("updated_at").cast("string"), "stage", "place")
+    """Every user's list, newest change first."""
+    rows = reports.tracked_places(*_order_tracking(t))
+    return rows.select("user_id", "saved_job_id", F.col("updated_at").cast("string"), "stage", "place")
 
 
 @query(f"""
-WITH {TRACKED_SQL} SELECT saved_job_id, updated_at, row_number() OVER (ORDER BY o_orderdate, saved_job_id) AS place
-FROM tracked WHERE user_id = 7 AND {STALE_WHERE}
+WITH {TRACKED_SQL} SELECT user_id, saved_job_id, updated_at,
+  row_number() OVER (PARTITION BY user_id ORDER BY o_orderdate, saved_job_id) AS place
+FROM tracked WHERE {STALE_WHERE}
 """)
 def stale_of_user(t: Tables) -> DataFrame:
-    """One user's stale jobs, oldest first."""
-    saved, postings = _order_tracking(t)
-    rows = _numbered(reports.stale_jobs(saved, postings, F.lit("1998-08-02").cast("timestamp_ntz"), user_id=7))
-    return rows.select("saved_job_id", F.col("updated_at").cast("string"), "place")
+    """Every user's stale jobs, oldest first."""
+    rows = reports.stale_places(*_order_tracking(t), F.lit("1998-08-02").cast("timestamp_ntz"))
+    return rows.select("user_id", "saved_job_id", F.col("updated_at").cast("string"), "place")
 
 
 @query("""
