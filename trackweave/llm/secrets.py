@@ -11,8 +11,8 @@ into the scan as a constant. The scan is one projection without a shuffle.
 Labelled samples: ordinary identifiers are one to three words of a document,
 joined as in code; random strings are digests of the same documents' texts in
 hexadecimal, Base64 and letters-and-digits form. They come from about
-``SAMPLE`` documents picked by a hash of the text; the bound is a parameter of
-the fit only, every text is scanned whole.
+``SAMPLE`` distinct texts picked by their hash, however many rows hold one; the
+bound is a parameter of the fit only, every text is scanned whole.
 
 Defined cases: a NULL text is an empty one; without samples (an empty table)
 all ratios are 0 and only the fixed patterns report. Spans are code points,
@@ -25,7 +25,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trackweave.llm.expressions import let, matches
+from trackweave.llm.expressions import covers, let, matches, replaced
 
 # The base patterns, in the order of kinds; assign has a second group of 12 or more characters.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -51,7 +51,7 @@ NUMBERS = (
 PLAIN = r"(?:[A-Z]?[a-z]*+|[A-Z]*+)"
 #: Mean log-likelihood ratio per character pair from which a string counts as random.
 THRESHOLD = 1.0
-#: Documents that the samples are taken from, about.
+#: Distinct texts that the samples are taken from, about.
 SAMPLE = 5_000
 #: What each pair of classes is counted with before any sample.
 PRIOR = 0.5
@@ -78,10 +78,10 @@ def pairs_of(string: Column) -> Column:
 
 
 def samples(docs: DataFrame, limit: int = SAMPLE, text: str = "text") -> DataFrame:
-    """(string, random): labelled strings from about ``limit`` documents."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    share = max(1, round(docs.count() / limit))
-    some = docs.select(body.alias("body")).filter(F.pmod(F.xxhash64("body"), F.lit(share)) == 0)
+    """(string, random): labelled strings from about ``limit`` distinct texts."""
+    bodies = docs.select(F.coalesce(F.col(text), F.lit("")).alias("body"))
+    share = max(1, round(bodies.agg(F.approx_count_distinct(F.xxhash64("body"))).first()[0] / limit))
+    some = bodies.filter(F.pmod(F.xxhash64("body"), F.lit(share)) == 0).distinct()  # a text of many rows counts once
     phrases = F.regexp_extract_all("body", F.lit(r"[A-Za-z]{2,}(?: [A-Za-z]{2,}){0,2}"), F.lit(0))
     joint = F.get(F.array(F.lit("_"), F.lit("-"), F.lit(""), F.lit("/")), F.pmod(F.hash("phrase"), F.lit(4)))
     ordinary = some.select(F.explode(phrases).alias("phrase")).select(
@@ -215,46 +215,34 @@ def stretches(piece: Column, model: list[float], threshold: float) -> Column:
     ).otherwise(windows(piece, model, threshold))
 
 
-def gaps(run: Column, base: Column) -> Column:
-    """What base spans leave of a run, as array<struct<start, end, match>>."""
-    def between(near: Column) -> Column:
-        starts = F.filter(
-            F.array_distinct(F.concat(F.array(run["start"]), F.transform(near, lambda b: b["end"]))),
-            lambda x: (x < run["end"]) & ~F.exists(near, lambda b: (b["start"] <= x) & (b["end"] > x)),
-        )
-        return F.transform(F.array_sort(starts), lambda x: let(
-            F.coalesce(F.array_min(F.transform(F.filter(near, lambda b: b["start"] > x), lambda b: b["start"])), run["end"]),
-            lambda end: F.struct(x.alias("start"), end.alias("end"), F.substring(
-                run["match"], (x - run["start"] + 1).cast("int"), (end - x).cast("int")
-            ).alias("match")),
-        ))
-
-    return let(F.filter(base, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"])), between)
-
-
-def random_spans(body: Column, base: Column, model: list[float], threshold: float) -> Column:
-    """Spans of candidate strings, outside the base spans, that the models call random."""
-    runs = F.filter(matches(body, CANDIDATE), lambda s: mixed(s["match"]))
-    found = F.flatten(F.transform(F.flatten(F.transform(runs, lambda r: gaps(r, base))), lambda g: F.transform(
-        let(g["match"], lambda m: stretches(m, model, threshold)),
-        lambda s: F.struct((g["start"] + s["start"]).alias("start"), (g["start"] + s["end"]).alias("end")),
+def random_spans(runs: Column, model: list[float], threshold: float) -> Column:
+    """Spans of those candidate strings, or of the stretches of them, that the models call random."""
+    found = F.flatten(F.transform(runs, lambda r: F.transform(
+        let(r["match"], lambda m: stretches(m, model, threshold)),
+        lambda s: F.struct((r["start"] + s["start"]).alias("start"), (r["start"] + s["end"]).alias("end")),
     )))
-    return F.when(body.rlike(CANDIDATE), kind_spans(found, "random")).otherwise(F.array().cast(SPANS))
+    return kind_spans(found, "random")
 
 
 def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Add ``base`` and ``spans`` (all), arrays of (start, order, end, kind) sorted by start, then kind.
 
-    Candidates are cut at base spans, and what is left is judged on its own.
+    Candidates are cut at base spans, and what is left is judged on its own:
+    base spans become blanks of their length, so that all positions stay.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-
-    def beside(base: Column) -> Column:
-        more = random_spans(body, base, model, threshold)
-        return F.struct(base.alias("base"), F.sort_array(F.concat(base, more)).alias("spans"))
-
-    found = docs.withColumn("_found", let(base_spans(body), beside))
-    return found.withColumns({"base": F.col("_found.base"), "spans": F.col("_found.spans")}).drop("_found")
+    some = body.rlike(CANDIDATE)
+    blanks = lambda s: F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int"))
+    # One column after the other: as a single expression the lambdas nest deeper than the analyzer goes.
+    found = docs.withColumn("_base", base_spans(body))
+    found = found.withColumn("_cover", F.when(some, covers(F.col("_base"))))
+    found = found.withColumn("_rest", F.when(some, replaced(body, F.col("_cover"), blanks)))
+    found = found.withColumn("_runs", let(F.col("_rest"), lambda t: F.filter(matches(t, CANDIDATE), lambda s: mixed(s["match"]))))
+    more = F.coalesce(random_spans(F.col("_runs"), model, threshold), F.array().cast(SPANS))
+    found = found.withColumn("_random", more)
+    return found.withColumns({
+        "base": F.col("_base"), "spans": F.sort_array(F.concat("_base", "_random")),
+    }).drop("_base", "_cover", "_rest", "_runs", "_random")
 
 
 def as_text(spans: Column) -> Column:
@@ -263,35 +251,17 @@ def as_text(spans: Column) -> Column:
     )), ",")
 
 
-def masked(body: Column, spans: Column, mask: str) -> Column:
-    """The text with every maximal run of overlapping spans replaced by ``mask``."""
-    # A span opens a run if it begins after all ends before it; ends so far as a running maximum.
-    def runs(s: Column) -> Column:
-        ends = F.transform(s, lambda x, i: F.array_max(F.transform(F.slice(s, 1, i + 1), lambda y: y["end"])))
-        return let(ends, lambda e: F.filter(
-            F.transform(s, lambda x, i: F.struct(
-                x["start"].alias("start"), F.get(e, i).alias("end"),
-                ((i == 0) | (x["start"] >= F.get(e, i - 1))).alias("opens"), i.alias("i"),
-                F.coalesce(F.get(e, i - 1), F.lit(0)).alias("before"),
-            )), lambda x: x["opens"]
-        ))
-
-    def joined(r: Column) -> Column:
-        pieces = F.transform(r, lambda x: F.substring(body, (x["before"] + 1).cast("int"), (x["start"] - x["before"]).cast("int")))
-        last = F.array_max(F.transform(F.col("_spans"), lambda y: y["end"]))
-        tail = F.substring(body, (last + 1).cast("int"), F.length(body))
-        return F.concat(F.array_join(pieces, mask), F.lit(mask), tail)
-
-    return F.when(F.size(spans) > 0, let(runs(spans), joined)).otherwise(body)
+def masked(found: DataFrame, mask: str, text: str = "text", spans: str = "spans") -> DataFrame:
+    """Add ``masked``, the text with every maximal run of overlapping spans replaced by ``mask``."""
+    over = found.withColumn("_cover", covers(F.col(spans)))
+    return over.withColumn("masked", replaced(F.col(text), F.col("_cover"), lambda s: F.lit(mask))).drop("_cover")
 
 
 def secrets_stage(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """Documents with every secret masked; texts without one stay as they are."""
     model = train(samples(docs))
-    found = scan(docs.select(F.struct("*").alias("_row"), "text"), model).withColumn("_spans", F.col("spans"))
-    text = F.when(F.size("_spans") > 0, masked(F.col("text"), F.col("_spans"), mask)).otherwise(F.col("text"))
-    done = found.withColumn("_new", text)
-    own = {"text": F.col("_new")}
+    done = masked(scan(docs.select(F.struct("*").alias("_row"), "text"), model), mask)
+    own = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(F.size("_spans") > 0, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars"))
+        own["n_chars"] = F.when(F.size("spans") > 0, F.length("masked").cast("long")).otherwise(F.col("_row.n_chars"))
     return done.select(*[own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
