@@ -129,3 +129,94 @@ def test_classifier_query(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7) for r in rows)
     pairs = [(a > b) + 0.5 * (a == b) for a, x in held if x == 1 for b, y in held if y == 0]
     assert sum(pairs) / len(pairs) > 0.9
+
+
+def test_classifier_sample(spark):
+    """One text per id, chosen by hash, whatever the order of rows; the longest go where there are too many characters."""
+    rows = [(i, "good words " * (i + 1)) for i in range(60)]
+    hot = [(8, f"another text {i} " * 3) for i in range(120)]
+    schema = "doc_id long, text string"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once, again = (spark.createDataFrame(x, schema).repartition(n) for x, n in ((rows + hot, 3), (hot[::-1] + rows, 7)))
+    first, second = (qc.training_rows(d, labels, 1000, 10**9).orderBy("doc_id").collect() for d in (once, again))
+    fit = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert first == second and [r.doc_id for r in first] == fit
+    assert len(qc.training_rows(once, labels, 10, 10**9).collect()) == 10
+    assert np.array_equal(qc.train(once, labels).table, qc.train(again, labels).table)
+    short = qc.training_rows(spark.createDataFrame(rows, schema), labels, 1000, 2000).collect()
+    assert sum(len(r.text) for r in short) <= 2000
+    assert max(len(r.text) for r in short) < min(len(t) for i, t in rows if i in fit and i not in {r.doc_id for r in short})
+    nothing = spark.createDataFrame([(i, None) for i in range(60)], schema)
+    assert len(qc.training_rows(nothing, labels, 1000, 0).collect()) == len(fit)
+
+
+def features_by_hand(text):
+    """Words, word pairs, characters' n-grams and repeats at a distance, one after the other."""
+    word_mask, inverse = (1 << 64) - 1, qc.INVERSE
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & word_mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & word_mask
+        return x ^ (x >> 31)
+
+    padded, out = f" {text} ", []
+    value = lambda c: mix(32 if c in " \t\n\x0b\x0c\r" else ord(c))
+    white = lambda c: c in " \t\n\x0b\x0c\r"
+    for n in qc.GRAMS:
+        for i in range(len(padded) - n + 1):
+            gram = padded[i:i + n]
+            if not any(map(white, gram[1:-1])) and not (white(gram[0]) and white(gram[-1])):
+                total = n
+                for c in gram:
+                    total = (total * qc.BASE + value(c)) & word_mask
+                out.append(mix(total))
+    words = []
+    for word in text.split():
+        total = 0
+        for i, c in enumerate(word):
+            total += value(c) * pow(qc.BASE, i, 1 << 64)
+        words.append(mix(total & word_mask))
+    out += words + [mix((a * 3 + b) & word_mask) for a, b in zip(words, words[1:])]
+    for n in range(1, qc.REPEATS + 1):
+        out += [mix(n)] * sum(a == b for a, b in zip(words, words[n:]))
+    return sorted(x % qc.BUCKETS for x in out)
+
+
+def test_fit_by_hand():
+    """Features and gradient steps against loops over plain numbers."""
+    texts = ["the cat and the dog", "spam spam spam spam", "", "ünï 漢字 🙂 words\tof a\nline", "spam of the spam"] * 4
+    labels = np.array([1, 0, 0, 1, 0] * 4)
+    for text in texts[:5]:
+        assert sorted(qc.features([text])[0].tolist()) == features_by_hand(text)
+    rng = np.random.default_rng(1)
+    vectors = rng.uniform(-1 / qc.WIDTH, 1 / qc.WIDTH, (qc.BUCKETS, qc.WIDTH)).astype(np.float32)
+    layer, bias = rng.normal(0, 0.1, (2, qc.WIDTH)).astype(np.float32).tolist(), [0.0, 0.0]
+    learned, step = {}, 0
+    for _ in range(qc.EPOCHS):
+        for i in rng.permutation(len(texts)):
+            now = qc.RATE * (1 - step / (qc.EPOCHS * len(texts)))
+            step += 1
+            ids = features_by_hand(texts[i])
+            share = {x: ids.count(x) / len(ids) for x in ids}
+            for x in share:
+                learned.setdefault(x, vectors[x].tolist())
+            mean = [sum(s * learned[x][d] for x, s in share.items()) for d in range(qc.WIDTH)]
+            logits = [sum(w * m for w, m in zip(line, mean)) + b for line, b in zip(layer, bias)]
+            parts = [np.exp(z - max(logits)) for z in logits]
+            error = [p / sum(parts) - (k == labels[i]) for k, p in enumerate(parts)]
+            back = [layer[0][d] * error[0] + layer[1][d] * error[1] for d in range(qc.WIDTH)]
+            for k in range(2):
+                bias[k] -= now * 0.1 * error[k]
+                layer[k] = [w - now * error[k] * m for w, m in zip(layer[k], mean)]
+            scale = min(200.0, 1 / max(1e-12, sum(s * s for s in share.values())))
+            for x, s in share.items():
+                learned[x] = [v - now * scale * s * g for v, g in zip(learned[x], back)]
+    difference = [b - a for a, b in zip(*layer)]
+    model = qc.fit(texts, labels)
+    assert abs(model.bias - (bias[1] - bias[0])) < 1e-3
+    for x, v in learned.items():
+        assert abs(model.table[x] - sum(a * b for a, b in zip(v, difference))) < 1e-2
+    for text, got in zip(texts[:5], model.scores(texts[:5])):
+        ids = features_by_hand(text)
+        logit = sum(sum(a * b for a, b in zip(learned[x], difference)) for x in ids) / max(1, len(ids)) + bias[1] - bias[0]
+        assert abs(got - 1 / (1 + np.exp(-logit))) < 1e-3

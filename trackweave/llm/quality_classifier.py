@@ -3,7 +3,9 @@
 A document's vector is the mean of the vectors of its features; a softmax layer
 turns it into a probability. Vectors and layer are learned together by
 stochastic gradient descent in numpy, in one task, on at most ``TRAIN_ROWS``
-labelled rows (picked by a hash of the id; the only bound, and of the fit only).
+labelled rows (picked by a hash of the id) of at most ``TRAIN_CHARS`` characters
+in all; both bounds are of the fit only. Spark takes one text per id, the one
+of the smallest hash, before anything goes to that task.
 
 For scoring the layer is folded into the vectors: each feature has one number,
 and a document's logit is the mean of its features' numbers plus a constant.
@@ -23,12 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trackweave.llm.words import BASE, INVERSE, mix, powers
+from trackweave.session import materialize
 
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 4000
+#: Characters that it is fitted on, at most; where the chosen rows hold more, the longest texts are left out.
+TRAIN_CHARS = 200_000_000
 #: Hash buckets of features, length of vectors, character n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 18, 16, (3, 4)
 EPOCHS, RATE = 6, 0.8
@@ -146,14 +151,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents outside the held-out part."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> DataFrame:
+    """doc_id, quality, text: at most ``rows`` labelled ids outside the held-out part, one text of each."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id")).limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # so many rows at most
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # so many ids, each in any number of rows
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text")))  # reduced before the shuffle
+    sample = materialize(texts.groupBy("doc_id", "quality").agg(first["text"].alias("text")), "sample")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    so_far = Window.orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # ids and sizes of the chosen rows
+    sizes = sample.select("doc_id", size.cast("long").alias("size")).withColumn("total", F.sum("size").over(so_far))
+    return sample.join(F.broadcast(sizes.filter(F.col("total") <= chars).select("doc_id")), "doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+    """Fit on the training rows, in the order of their ids."""
+    sample = training_rows(docs, labels, rows, chars)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id").sort_values("doc_id")
+        group = group.sort_values("doc_id")
         model = fit(group["text"].tolist(), group["quality"].to_numpy())
         return pd.DataFrame({"table": [model.table.astype(np.float32).tobytes()], "bias": [model.bias]})
 
