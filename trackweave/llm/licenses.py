@@ -5,8 +5,8 @@ Stages, all inside one projection without a shuffle:
 1. ``GATE``, one expression with the rarest keyword of every rule, is tried on
    each text. Only texts that pass are cut into words.
 2. Words that can begin a rule (``anchors``) are looked up. At each of them the
-   rules of that word are tried in order on the next ``SPAN`` words; the first
-   that matches gives one detection.
+   rules of that word, alternatives of one constant expression, are tried in
+   order on the next ``SPAN`` words; the first that matches gives one detection.
 3. A detection inside a longer or equal one of no lower priority is dropped.
    Detections are at most ``SPAN`` words long and begin at distinct words, so
    only the ``SPAN - 1`` before it have to be compared: the work is linear.
@@ -86,7 +86,7 @@ FAMILIES = (
     ("zlib", ("zlib license",), ()),
     ("unlicense", ("unlicense",), ()),
     ("public-domain", ("public domain",), ()),
-    ("proprietary", ("proprietary license", "commercial license"), ()),
+    ("proprietary", ("proprietary license",), ()),
 )
 
 #: Rules outside the families.
@@ -96,6 +96,7 @@ SINGLE = (
     Rule("no", "no rights reserved", "public-domain", 3, 0.8),
     Rule("copyright", r"copyright(?: c| ©)?(?: by)? (?:19|20)\d\d", "copyright-notice", 2, 0.6),
     Rule("copyright", r"copyright (?:c|©)", "copyright-notice", 2, 0.5),
+    Rule("©", r"© (?:copyright )?(?:19|20)\d\d", "copyright-notice", 2, 0.6),
     Rule("permission", "permission is hereby granted free of charge", "mit", 4, 1.0),
     Rule("redistribution", "redistribution and use in source and binary forms", "bsd", 4, 1.0),
 )
@@ -158,6 +159,59 @@ HAND = (
     ("boost-1.0", "distributed under the boost software licen[sc]e(?: version 1 0)?", ()),
     ("zlib", "this software is provided as is without any express or implied warranty", ()),
     ("unlicense", "this is free and unencumbered software released into the public domain", ()),
+    ("proprietary", f"under (?:a |the )?commercial {LICENCE}", ()),
+    ("proprietary", f"commercial {LICENCE} (?:agreement|terms|key|(?:is )?required)", ()),
+    # Addresses, as words.
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa", ()), ("cc-by-nc-nd", "creativecommons org licenses by nc nd", ()),
+    ("cc-by-nc", "creativecommons org licenses by nc", ()), ("cc-by-sa", "creativecommons org licenses by sa", ()),
+    ("cc-by-nd", "creativecommons org licenses by nd", ()), ("cc-by", "creativecommons org licenses by", ()),
+    ("cc0-1.0", "creativecommons org publicdomain zero 1 0", ()), ("public-domain", "creativecommons org publicdomain mark", ()),
+    ("apache-2.0", "apache org licenses license 2 0", ()), ("mpl-2.0", "mozilla org (?:en us )?mpl 2 0", ()),
+    ("agpl-3", "gnu org licenses agpl(?: 3 0)?", ()), ("lgpl-2.1", "gnu org licenses (?:old licenses )?lgpl 2 1", ()),
+    ("lgpl", "gnu org licenses lgpl", ()), ("gpl-2", "gnu org licenses (?:old licenses )?gpl 2 0", ()),
+    ("gpl-3", "gnu org licenses gpl 3 0", ()), ("gpl", "gnu org licenses gpl", ()), ("gfdl", "gnu org licenses fdl", ()),
+    ("mit", "opensource org licenses? mit", ()), ("isc", "opensource org licenses? isc", ()),
+    ("bsd-2", "opensource org licenses? bsd 2 clause", ()), ("bsd-3", "opensource org licenses? bsd 3 clause", ()),
+    ("apache-2.0", "opensource org licenses? apache 2 0", ()), ("mpl-2.0", "opensource org licenses? mpl 2 0", ()),
+    ("gpl-3", "opensource org licenses? gpl 3 0", ()), ("lgpl-3", "opensource org licenses? lgpl 3 0", ()),
+    # Sentences of licence texts.
+    ("bsd", "redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice", ()),
+    ("bsd", "redistributions of source code must retain", ()),
+    ("mit", "the software is provided as is without warranty", ()),
+    ("bsd", "this software is provided by the (?:copyright holders and contributors|authors?|regents and contributors) as is", ()),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies", ()),
+    ("zlib", "the origin of this software must not be misrepresented", ()),
+    ("gpl", "you should have received a copy of the gnu general public licen[sc]e", ()),
+    ("lgpl", "you should have received a copy of the gnu lesser general public licen[sc]e", ()),
+    ("agpl", "you should have received a copy of the gnu affero general public licen[sc]e", ()),
+    ("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining", ()),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", ()),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation", ()),
+    # Licences without a family.
+    ("postgresql", f"postgresql {LICENCE}", ()), ("openssl", f"openssl {LICENCE}", ()), ("curl", f"curl {LICENCE}", ()),
+    ("ms-pl", f"(?:ms pl|microsoft public {LICENCE})", ("ms", "microsoft")),
+    ("ms-rl", f"(?:ms rl|microsoft reciprocal {LICENCE})", ("ms", "microsoft")),
+    ("busl-1.1", f"(?:busl|business source {LICENCE})(?: version)? v?1 1", ("busl", "business")),
+    ("busl", f"(?:busl|business source {LICENCE})", ("busl", "business")),
+    ("sspl", f"(?:sspl|server side public {LICENCE})(?: version)?(?: v?1(?: 0)?)?", ("sspl", "server")),
+    ("elastic-2.0", f"elastic {LICENCE}(?: version)? v?2(?: 0)?", ()), ("elastic", f"elastic {LICENCE}", ()),
+    ("ncsa", f"(?:university of illinois )?ncsa(?: open source)? {LICENCE}", ("university", "ncsa")),
+    ("php-3.01", f"php {LICENCE}(?: version)? v?3 01", ()), ("php", f"php {LICENCE}", ()),
+    ("w3c", f"w3c(?: software)?(?: notice and| and document notice and)? {LICENCE}", ()),
+    ("unicode", f"unicode(?: data files and software)? {LICENCE}", ()),
+    ("cecill-b", "cecill b", ()), ("cecill-c", "cecill c", ()), ("cecill", f"cecill(?: v?2(?: [01])?)?(?: {LICENCE})?", ()),
+    ("zpl", f"(?:zpl 2 [01]|zope public {LICENCE})", ("zpl", "zope")), ("vim", f"vim {LICENCE}", ()),
+    ("ruby", f"ruby {LICENCE}", ()), ("json", f"json {LICENCE}", ()), ("libpng", f"libpng {LICENCE}", ()),
+    ("ibm", f"ibm public {LICENCE}", ()), ("cpl", f"common public {LICENCE}", ()), ("cpal", f"common public attribution {LICENCE}", ()),
+    ("sleepycat", f"sleepycat {LICENCE}", ()), ("qpl", f"q public {LICENCE}", ()), ("npl", f"netscape public {LICENCE}", ()),
+    ("spl", f"sun public {LICENCE}", ()), ("apsl", f"apple public source {LICENCE}", ()), ("rpl", f"reciprocal public {LICENCE}", ()),
+    ("opl", f"open publication {LICENCE}", ()), ("lppl", f"latex project public {LICENCE}", ()), ("openldap", f"openldap public {LICENCE}", ()),
+    ("upl", f"universal permissive {LICENCE}", ()), ("mulan", f"mulan permissive software {LICENCE}", ()), ("zend", f"zend {LICENCE}", ()),
+    ("blue-oak", f"blue oak model {LICENCE}", ()), ("hippocratic", f"hippocratic {LICENCE}", ()), ("polyform", "polyform [a-z]+ licen[sc]e", ()),
+    ("ogl", f"open government {LICENCE}", ()), ("free-art", f"free art {LICENCE}", ()), ("afpl", f"aladdin free public {LICENCE}", ()),
+    ("pddl", f"public domain dedication and {LICENCE}", ()), ("odc-by", f"open data commons attribution {LICENCE}", ()),
+    ("mit-0", f"mit no attribution(?: {LICENCE})?", ()), ("beerware", f"(?:beerware|beer ware) {LICENCE}", ("beerware", "beer")),
+    ("xfree86", f"xfree86 {LICENCE}", ()), ("tcl", f"tcl(?: tk)? {LICENCE}", ()), ("commons-clause", f"commons clause {LICENCE}", ()),
 )
 
 #: Grants that name a licence by one word: "released under the MIT".
@@ -212,41 +266,61 @@ GATE = (
     rf"(?:apache|asl|mpl|mozilla|epl|eclipse|boost|bsl|artistic|ofl)(?:[{SEPARATOR}]+(?:software|version))*[{SEPARATOR}]*v?[12]|"
     rf"under[{SEPARATOR}]+(?:\w+[{SEPARATOR}]+){{0,7}}(?:mit|expat|bsd|isc|zlib|apache|mpl|epl)|"
     rf"software[{SEPARATOR}]+is[{SEPARATOR}]+provided|is[{SEPARATOR}]+free[{SEPARATOR}]+software|"
-    rf"permission[{SEPARATOR}]+to[{SEPARATOR}]+use|unencumbered"
+    rf"permission[{SEPARATOR}]+(?:to[{SEPARATOR}]+use|notice[{SEPARATOR}]+shall)|unencumbered|©|creativecommons|busl|sspl|cecill|"
+    rf"ms[{SEPARATOR}]+[pr]l|zpl[{SEPARATOR}]+2|must[{SEPARATOR}]+not[{SEPARATOR}]+be[{SEPARATOR}]+misrepresented|"
+    rf"mozilla[{SEPARATOR}]+org|anyone[{SEPARATOR}]+is[{SEPARATOR}]+free|mit[{SEPARATOR}]+no[{SEPARATOR}]+attribution"
 )
 
 
-def rule_map(rules: tuple[Rule, ...]) -> Column:
-    """anchor to its rules, in order: a constant, grouped so that rules with one label are one entry."""
-    by_anchor: dict[str, list[Rule]] = {}
+def by_anchor(rules: tuple[Rule, ...]) -> dict[str, list[Rule]]:
+    """The rules of every anchor, in order."""
+    groups: dict[str, list[Rule]] = {}
     for rule in rules:
-        by_anchor.setdefault(rule.anchor, []).append(rule)
-    entries = [
-        (F.lit(anchor), F.array(*[
-            F.struct(
-                F.lit(f"^(?:{r.pattern})(?= |$)").alias("pattern"), F.lit(r.label).alias("label"),
-                F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"),
-            ) for r in of
-        ])) for anchor, of in by_anchor.items()
-    ]
-    return F.create_map(*[x for pair in entries for x in pair])
+        groups.setdefault(rule.anchor, []).append(rule)
+    return groups
+
+
+def tried(word: Column, window: Column, groups: dict[str, list[Rule]]) -> Column:
+    """What the rules of a word make of the window that begins with it; without a match the window itself.
+
+    The rules of an anchor are one constant expression with a group per rule,
+    compiled once, that stops at the first alternative that matches. The
+    result is the number of the anchor's first rule and, each behind a tilde
+    (which no word holds), what each group matched: nothing but for one.
+    """
+    chain, first = F, 0
+    for anchor, of in groups.items():
+        one = "|".join(f"({r.pattern})" for r in of)
+        parts = "".join(f"~${n}" for n in range(1, len(of) + 1))
+        chain = chain.when(word == anchor, F.regexp_replace(window, f"(?s)^(?:{one})(?= |$).*", f"{first}{parts}"))
+        first += len(of)
+    return chain.otherwise("")
 
 
 def detections(words: Column, anchors: Column, rules: tuple[Rule, ...]) -> Column:
     """array<struct<start, end, label, priority, weight>>, ends exclusive, in order of start."""
-    table = rule_map(rules)
+    groups = by_anchor(rules)
+    ordered = [r for of in groups.values() for r in of]
+    # Constants of one string each, not of a node per rule.
+    listed = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    labels, priorities, weights = (
+        listed([getattr(r, name) for r in ordered], kind)
+        for name, kind in (("label", "string"), ("priority", "int"), ("weight", "double"))
+    )
+
+    def report(i: Column, found: Column) -> Column:
+        number = F.substring_index(found, "~", 1)
+        rest = F.substring(found, F.length(number) + 1, F.length(found))
+        rule = number.cast("int") + F.length(rest) - F.length(F.ltrim(rest, F.lit("~"))) - 1
+        size = F.size(F.split(F.replace(rest, F.lit("~"), F.lit("")), " "))
+        return let(rule, lambda r: F.struct(
+            i.cast("long").alias("start"), (i + size).cast("long").alias("end"), F.get(labels, r).alias("label"),
+            F.get(priorities, r).alias("priority"), F.get(weights, r).alias("weight"),
+        ))
 
     def first_rule(i: Column) -> Column:
-        def tried(window: Column) -> Column:
-            hits = F.transform(F.element_at(table, F.get(words, i)), lambda r: F.struct(
-                i.cast("long").alias("start"),
-                (i + F.size(F.split(F.regexp_substr(window, r["pattern"]), " "))).cast("long").alias("end"),
-                r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"),
-                F.regexp_substr(window, r["pattern"]).isNotNull().alias("hit"),
-            ))
-            return F.get(F.filter(hits, lambda h: h["hit"]), 0)
-
-        return let(F.array_join(F.slice(words, i + 1, SPAN), " "), tried)
+        window = F.array_join(F.slice(words, i + 1, SPAN), " ")
+        return let(let(window, lambda w: tried(F.get(words, i), w, groups)), lambda f: F.when(F.contains(f, F.lit("~")), report(i, f)))
 
     return F.filter(F.transform(anchors, first_rule), lambda h: h.isNotNull())
 
