@@ -73,3 +73,28 @@ def test_every_node_is_reached():
         front = [int(x) for n in front for x in graph.edges[n] if x >= 0 and int(x) not in seen]
         seen |= set(front)
     assert len(seen) == len(points)
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_double_vectors_stay_double(spark, far):
+    """Scores of vectors that float cannot hold: large ones beside small ones, and products beyond a double."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=6) * (1e140 if i % 3 else 1e-3)).tolist()) for i in range(40 if far else 300)]
+    rows += [(2000, [1e300] * 6), (2001, [-1e300, 1e300] * 3)] if far else []
+    got = by_query(g.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=10).collect())
+    vectors, hit = {i: np.array(v) for i, v in rows}, 0
+    assert set(got) == {i for i in vectors if i % 20 == 0}
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q, found in got.items():
+            scores = {i: float(np.dot(vectors[q], v)) for i, v in vectors.items() if i != q}
+            ranked = sorted((-(s if s == s else -np.inf), i) for i, s in scores.items())[:10]
+            hit += len({i for _, i in ranked} & {i for _, i, _ in found})
+            for _, i, s in found:
+                assert s == pytest.approx(scores[i], rel=1e-9) or (scores[i] != scores[i] and s == -np.inf)
+    assert far or hit >= 0.9 * 10 * len(got)  # beside 1e300, what is left is nothing in single precision
+
+
+def test_differences_below_float(spark):
+    rows = [(1001 + i, [1.0 + i * 1e-12, 1.0]) for i in range(5)] + [(20, [1e3, 0.0])]
+    got = by_query(g.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=5).collect())
+    assert [i for _, i, _ in got[20]] == [1005, 1004, 1003, 1002, 1001]

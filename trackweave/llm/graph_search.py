@@ -19,7 +19,13 @@ precision on the original vectors, and the shards' answers are merged.
 Defined cases: vectors that are NULL, zero, or hold NULL or non-finite
 components, and rows without an id, take no part; vectors of different length
 are not compared; equal scores go to the smaller id; fewer candidates than k
-give fewer rows; an empty table gives none. Other columns are not read.
+give fewer rows; an empty table gives none. Repeated rows (id and vector) are
+one, and rows of a query's own id are no candidates. Vectors keep the
+precision they come in, scores are of those; an inner product beyond a double
+is infinite, and one that adds both infinities ranks last. Graphs hold points
+in single precision, scaled by the longest vector of their shard, so that
+vectors over a million times shorter are found less surely. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -183,23 +189,33 @@ class Graph:
             front = np.array(front)
 
 
-def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+def kept(vectors: DataFrame) -> Column:
+    """The vectors as they are, where of float or double, else as double."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+
+
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Lengths in extended precision, in which no square of a double overflows."""
+    return np.sqrt((vectors.astype(np.longdouble) ** 2).sum(axis=1))
+
+
+def lifted(vectors: np.ndarray, longest: np.longdouble) -> np.ndarray:
     """Points of length 1 in one more dimension, ordered by distance as the vectors are by inner product."""
-    scaled = vectors.astype(np.float32) / np.float32(longest)
+    scaled = (vectors / longest).astype(np.float32)
     rest = np.sqrt(np.maximum(0, 1 - (scaled.astype(np.float64) ** 2).sum(axis=1)))
     return np.concatenate((scaled, rest[:, None].astype(np.float32)), axis=1)
 
 
-def stacked(column: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(v, np.float32) for v in column])
+def stacked(column: pd.Series, dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64) for v in column])
 
 
 def build_shard(group: pd.DataFrame) -> pd.DataFrame:
     """One shard's nodes with their edges."""
     group = group.iloc[np.argsort([ids[0] for ids in group["ids"]], kind="stable")].reset_index(drop=True)
-    vectors = np.stack(group["embedding"].to_list()).astype(np.float32)
-    longest = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1)).max()
-    graph = Graph(lifted(vectors, longest)).build()
+    vectors = np.stack(group["embedding"].to_list())
+    graph = Graph(lifted(vectors, lengths(vectors).max())).build()
     return pd.DataFrame({
         "dim": group["dim"], "shard": group["shard"], "node": np.arange(len(group), dtype=np.int32), "ids": group["ids"],
         "vector": [v.tobytes() for v in vectors], "edges": [e.tobytes() for e in graph.edges],
@@ -214,22 +230,22 @@ def search_shard(k: int, beam: int):
         parts = []
         if len(graph) and len(asked):
             graph = graph.sort_values("node")
-            vectors, ids = stacked(graph["vector"]), graph["ids"].to_list()
-            longest = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1)).max()
-            index = Graph(lifted(vectors, longest))
+            vectors, ids = stacked(graph["vector"], int(graph["dim"].iloc[0])), graph["ids"].to_list()
+            index = Graph(lifted(vectors, lengths(vectors).max()))
             index.edges = np.stack([np.frombuffer(e, np.int32) for e in graph["edges"]])
             index.entries = np.flatnonzero(graph["entry"].to_numpy())
             counts = np.array([len(x) for x in ids])
             starts = np.concatenate(([0], np.cumsum(counts)))
             flat = np.concatenate(ids)
             queries = np.stack(asked["embedding"].to_list()).astype(np.float64)
-            lengths = np.sqrt((queries ** 2).sum(axis=1))
-            points = np.concatenate((queries / lengths[:, None], np.zeros((len(queries), 1))), axis=1).astype(np.float32)
+            units = queries / lengths(queries)[:, None]
+            points = np.concatenate((units, np.zeros((len(queries), 1))), axis=1).astype(np.float32)
             keys = asked["query"].to_numpy()
             for a in range(0, len(queries), BATCH):
                 found, _, _ = index.search(points[a:a + BATCH], beam)
-                scores = np.einsum("qbd,qd->qb", vectors[found].astype(np.float64), queries[a:a + BATCH])
-                scores[found < 0] = -np.inf
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = np.einsum("qbd,qd->qb", vectors[found].astype(np.float64), queries[a:a + BATCH])
+                scores[(found < 0) | np.isnan(scores)] = -np.inf
                 row, column = np.nonzero(found >= 0)
                 node = found[row, column]
                 n = counts[node]
@@ -251,7 +267,7 @@ def search_shard(k: int, beam: int):
 def build_graphs(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The stored graphs of all shards. ``vectors`` has vec_id and embedding (usable ones)."""
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    firsts = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).distinct().withColumn(
+    firsts = vectors.select(F.col("vec_id").cast("long"), kept(vectors).alias("embedding")).distinct().withColumn(
         "place", F.row_number().over(same)
     ).filter(F.col("place") <= k + 1)  # a limit per group goes before the shuffle: a hot vector is k + 1 rows per task
     nodes = firsts.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -265,7 +281,7 @@ def build_graphs(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Da
 
 def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every query (vec_id, embedding) but itself."""
-    queries = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>")).distinct()
+    queries = queries.select(F.col("vec_id").cast("long").alias("query_id"), kept(queries).alias("embedding")).distinct()
     queries = materialize(queries.withColumn("query", F.xxhash64("embedding")), "queries")
     # One search per distinct vector.
     asked = queries.groupBy("query", "embedding").agg(F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
