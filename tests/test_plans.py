@@ -25,7 +25,7 @@ def final_plan(df):
 
 __spark_entry__.queries()  # registers all
 MODEL_OR_VECTOR = {"batch_completion"} | {n for n in QUERIES if n.startswith(("search", "best_chunk"))}
-WRITES = {"profile_matches", "ingest_stream", "stage_fold_stream", "embed_stream", "upsert_stored", "draft_upsert"}
+WRITES = {"profile_matches", "ingest_stream", "stage_fold_stream", "embed_stream", "upsert_stored", "draft_upsert", "stage_fold_state", "stage_rejects_state"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - MODEL_OR_VECTOR - WRITES))
@@ -176,3 +176,41 @@ def test_repeated_keys_do_not_multiply_in_anti_joins(spark):
 
 def test_chunking_needs_no_shuffle(spark, table):
     assert "Exchange" not in plan(chunking.chunk(table("documents"), ["doc_id"], "text"))
+
+
+@pytest.fixture()
+def known_and_new(spark, tmp_path):
+    """Postings of which every 50th has no chunks, two of them twice, one blank, one without an id."""
+    rows = spark.range(0, 20000, 1, 4).selectExpr("cast(id as string) job_id", "repeat(concat('text ', id, ' '), 20) description")
+    odd = spark.createDataFrame([("50", "text again"), ("100", "once more"), ("x", "  "), (None, "no id"), (None, " ")], "job_id string, description string")
+    rows.union(odd).write.parquet(f"{tmp_path}/postings")
+    spark.range(20000).filter("id % 50 > 0").selectExpr("cast(id as string) job_id", "0 chunk_index").write.parquet(f"{tmp_path}/chunks")
+    return spark.read.parquet(f"{tmp_path}/postings"), spark.read.parquet(f"{tmp_path}/chunks")
+
+
+def test_texts_of_known_postings_are_not_shuffled(spark, known_and_new):
+    postings, chunks = known_and_new
+    want = sorted(map(str, chunking.without_chunks(postings, chunks).collect()))
+    found = chunking.fetch_without_chunks(postings, chunks)
+    assert sorted(map(str, found.collect())) == want and len(want) == 403
+    assert "BroadcastHashJoin" in plan(found) and "hashpartitioning" not in plan(found)
+    nothing = chunking.fetch_without_chunks(postings.limit(0), chunks)
+    assert nothing.count() == 0 and nothing.columns == postings.columns
+    assert chunking.fetch_without_chunks(postings, chunks.limit(0)).count() == 20003
+
+
+def test_many_new_ids_thin_out_the_texts(spark, known_and_new):
+    postings, chunks = known_and_new
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
+    }
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        found = chunking.fetch_without_chunks(postings, chunks)
+        assert "might_contain" in plan(found) and "SortMergeJoin" in plan(found)
+        assert found.count() == 403
+    finally:
+        for name in small:
+            spark.conf.unset(name)

@@ -9,6 +9,7 @@ from trackweave.operators import tracking
 from trackweave.plans.ingest import EmbedCounts, embed_new, ingest_listings, store_chunks
 from trackweave.sources.listings import read_listings
 from trackweave.sources.tables import KeyedTable
+from trackweave.streaming.state import fold_stream, folded_rejects, folded_table
 from trackweave.streaming.streams import command_stream, embed_stream, ingest_stream, listing_stream, read_rejects
 
 START = dt.datetime(2024, 1, 1)
@@ -168,3 +169,34 @@ def test_command_stream_and_replay(spark, tmp_path):
     assert state() == want
     again = {(r["batch"], r["seq"], r["reason"]) for r in read_rejects(spark, str(tmp_path / "rejects")).collect()}
     assert again == lost
+
+
+def test_keyed_state_in_two_runs(spark, tmp_path):
+    """Two runs with a restart between give the batch fold; every reject is there once; order within a batch is free."""
+    def commands(*rows):
+        return spark.createDataFrame(
+            [(u, j, s, START + dt.timedelta(minutes=s), op, stage, score) for u, j, s, op, stage, score in rows], schemas.COMMANDS
+        )
+
+    saved = spark.createDataFrame(
+        [(1, 9, "z", "saved", 0.5, START, START), (2, 8, "y", "offer", None, START, None)], schemas.SAVED_JOBS
+    )
+    batches = [
+        commands((1, "a", 4, "update", "offer", None), (1, "a", 2, "save", None, 0.25), (1, "a", 3, "save", "saved", 0.75),
+                 (1, "a", 1, "update", "applied", None), (2, "b", 5, "save", "bogus", None), (9, "z", 6, "update", "applied", None),
+                 (3, "c", 7, "update", "saved", None), (3, "c", 8, None, "saved", None)),
+        commands((1, "a", 12, "update", "rejected", None), (2, "b", 10, "save", "applied", None), (3, "c", 11, "update", "saved", None),
+                 (8, "y", 13, "update", "nowhere", None)),
+    ]
+    root, want, rejects = str(tmp_path), saved, []
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schemas.COMMANDS).parquet(f"{root}/in")
+        fold_stream(stream, saved, f"{root}/events", f"{root}/progress").awaitTermination()
+        rejects += tracking.rejected_commands(want, batch).select("user_id", "job_id", "seq", "op", "stage", "reason").collect()
+        want = tracking.fold_commands(want, batch)
+    got = folded_table(saved, f"{root}/events")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert sorted(map(str, folded_rejects(spark, f"{root}/events").collect())) == sorted(map(str, rejects))
+    fold_stream(stream, saved, f"{root}/events", f"{root}/progress").awaitTermination()  # nothing new: nothing changes
+    assert folded_rejects(spark, f"{root}/events").count() == len(rejects) == 6

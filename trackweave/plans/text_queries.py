@@ -224,14 +224,24 @@ def _unlabelled(t: Tables) -> DataFrame:
     return chunking.without_chunks(t("documents"), t("labels"), key="doc_id", text="text")
 
 
-@query(f"""
+UNEMBEDDED_SQL = f"""
 SELECT doc_id, lang, source FROM documents d
 WHERE length(trim(text, '{SPACE}')) > 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
-""")
+"""
+
+
+@query(UNEMBEDDED_SQL)
 def unembedded(t: Tables) -> DataFrame:
     return _unlabelled(t).select("doc_id", "lang", "source")
 
 
+@query(UNEMBEDDED_SQL)
+def unembedded_by_ids(t: Tables) -> DataFrame:
+    """The same, with the ids found before any text is fetched."""
+    found = chunking.fetch_without_chunks(t("documents"), t("labels"), key="doc_id", text="text")
+    return found.select("doc_id", "lang", "source")
+
+
 @query(f"""
 WITH todo AS (SELECT * FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
 {chunk_sql("todo")}

@@ -11,7 +11,7 @@ from trackweave.operators import integrity, keyed, reports, tracking
 from trackweave.plans.registry import Tables, query
 from trackweave.session import work_dir
 from trackweave.sources.tables import KeyedTable
-from trackweave.streaming import streams
+from trackweave.streaming import state, streams
 
 # --- commands: events as save / update commands on (user, tens of k) ------------------
 
@@ -126,6 +126,25 @@ def stage_fold_stream(t: Tables) -> DataFrame:
     return _shown(store.read())
 
 
+def _folded(t: Tables) -> tuple[DataFrame, str]:
+    """The table that the commands start from, and what their stream gave, held as keyed state."""
+    saved, folder = saved_from_orders(t), f"{work_dir(t.spark)}/state-{uuid.uuid4().hex}"
+    state.fold_stream(commands_from(t.stream("events")), saved, f"{folder}/events", f"{folder}/progress").awaitTermination()
+    return saved, f"{folder}/events"
+
+
+@query(FOLD_SQL)
+def stage_fold_state(t: Tables) -> DataFrame:
+    """The same commands as a stream into Spark's state store."""
+    return _shown(state.folded_table(*_folded(t)))
+
+
+@query(f"WITH {COMMANDS_SQL} SELECT user_id, job_id, seq, op, stage, reason FROM judged WHERE reason IS NOT NULL")
+def stage_rejects_state(t: Tables) -> DataFrame:
+    """The rejects of that stream."""
+    return state.folded_rejects(t.spark, _folded(t)[1])
+
+
 @query(f"WITH {COMMANDS_SQL} SELECT user_id, job_id, seq, op, stage, reason FROM judged WHERE reason IS NOT NULL")
 def stage_rejects(t: Tables) -> DataFrame:
     rejects = tracking.rejected_commands(saved_from_orders(t), commands_from(t("events")))
