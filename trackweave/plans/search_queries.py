@@ -10,7 +10,7 @@ from trackweave import schemas
 from trackweave.functions.models import hashing_embedder
 from trackweave.functions.text import UNICODE_SPACE
 from trackweave.functions.vectors import cosine_similarity, mean_vectors
-from trackweave.operators import cells
+from trackweave.operators import cells, hyperplanes
 from trackweave.operators.search import best_per_job, search, search_many, with_filters
 from trackweave.plans.ingest import chunk_rows
 from trackweave.plans.matching import match_profiles, search_text
@@ -281,6 +281,44 @@ def search_ann_all_cells(t: Tables) -> DataFrame:
     return _flat(cells.search_cells(index, postings_from(t), query_vector(t), K, probes=10))
 
 
+# Hyperplanes by the same rule: 4 tables of 8, normals of +1 and -1 by the first digit of md5.
+HASHED_SQL = f"""
+WITH {BASE_SQL},
+planes AS (
+  SELECT p, list(CASE WHEN substr(md5(p || '-' || d), 1, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS normal
+  FROM range(32) a(p) CROSS JOIN range(64) b(d) GROUP BY p),
+sides AS (
+  SELECT vec_id, p // 8 AS tab, p % 8 AS bit, list_dot_product(v, normal) / sqrt(list_dot_product(v, v)) AS x
+  FROM chunks CROSS JOIN planes),
+coded AS (SELECT vec_id, tab, sum(CASE WHEN x >= 0 THEN 1 << bit ELSE 0 END) AS code FROM sides GROUP BY ALL),
+costs AS (
+  SELECT vec_id AS query_id, tab, code, round(sum(CASE WHEN (x >= 0) <> ((code >> bit) & 1 = 1) THEN x * x ELSE 0 END), 9) AS cost
+  FROM sides CROSS JOIN (SELECT CAST(c AS INTEGER) AS code FROM range(256) r(c)) WHERE vec_id % 50 = 0 GROUP BY ALL),
+probed AS (
+  SELECT query_id, tab, code FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, tab ORDER BY cost, code) AS place FROM costs) WHERE place <= 48),
+met AS (SELECT DISTINCT query_id, vec_id FROM probed JOIN coded USING (tab, code)),
+near AS (
+  SELECT query_id, job_id, chunk_index, round(list_cosine_similarity(c.v, q.v), 12) AS sim
+  FROM met JOIN chunks c USING (vec_id) JOIN (SELECT vec_id AS query_id, v FROM chunks) q USING (query_id)),
+per_job AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, job_id ORDER BY sim DESC, chunk_index) AS rn FROM near) WHERE rn = 1)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, job_id, chunk_index, round(sim, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, job_id) AS rank FROM per_job)
+WHERE rank <= {K}
+"""
+
+
+@query(HASHED_SQL)
+def search_hashed(t: Tables) -> DataFrame:
+    """Every fiftieth vector as a query, over its cheapest hash buckets in four tables of eight hyperplanes."""
+    planes = hyperplanes.sign_planes(64, 4, 8)
+    hashed = materialize(hyperplanes.hash_chunks(chunks_from(t), planes), "hashed")
+    asked = t("embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return _ranked(hyperplanes.search_many_hashed(hashed, planes, asked, K))
+
+
 TEXT_DIM = 64
 
 
