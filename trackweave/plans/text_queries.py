@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from trackweave import schemas
@@ -13,6 +14,7 @@ from trackweave.operators import chunking, cleaning, keyed, prompts, reports
 from trackweave.plans.ingest import chunk_rows, embed_new, ingest_listings, store_chunks
 from trackweave.plans.registry import Tables, query
 from trackweave.session import work_dir
+from trackweave.sources.arrays import read_array_listings
 from trackweave.sources.listings import impose_schema, parse_listings, query_table, read_listings
 from trackweave.sources.tables import KeyedTable
 from trackweave.streaming import streams
@@ -108,6 +110,23 @@ def parse_json_listings(t: Tables) -> DataFrame:
     return _flat(cleaning.clean_listings(parse_listings(bodies, "body"), "feed"))
 
 
+@query(CLEAN_SQL)
+def array_feeds(t: Tables) -> DataFrame:
+    """Feeds as array files, split at byte ranges; every file has a broken object, which becomes a reject."""
+    raw = raw_documents(t("documents"))
+
+    def lines(batches):
+        yield pd.DataFrame({"value": ['[{"id": broken}']})
+        for batch in batches:
+            yield pd.DataFrame({"value": ", " + batch["value"]})
+        yield pd.DataFrame({"value": ["]"]})
+
+    folder = f"{work_dir(t.spark)}/arrays-{uuid.uuid4().hex}"
+    raw.select(F.to_json(F.struct(*raw.columns)).alias("value")).mapInPandas(lines, "value string").write.text(folder)
+    listings, _ = read_array_listings(t.spark, folder)
+    return _flat(cleaning.clean_listings(listings, "feed"))
+
+
 @query(CLEAN_SQL)
 def ingest_stream(t: Tables) -> DataFrame:
     """The same as a stream into a stored postings table, and once more as a replay."""

@@ -18,8 +18,8 @@ def impose_schema(raw: DataFrame) -> DataFrame:
 def read_listings(spark: SparkSession, paths: str | Sequence[str], lines: bool = False) -> DataFrame:
     """Read feed files (one JSON array each, or JSON lines) with the fixed schema.
 
-    Several paths are several feeds. Array files are read by one task each, so
-    land feeds as many files; JSON lines files are split.
+    Several paths are several feeds. Array files are read by one task each
+    (``arrays.read_array_listings`` splits them); JSON lines files are split.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = spark.read.schema(RAW_LISTING).json(paths, multiLine=not lines)
