@@ -118,6 +118,59 @@ def test_substrings(spark, monkeypatch, group, report, size):
     assert got == brute_repeats(rows)
 
 
+def brute_maximal(rows, window, depth):
+    """Every string of window..depth words with two places, not extended alike by all of them; cut at depth."""
+    cut = {i: (t or "").split() for i, t in rows}
+    places = {}
+    for i, ws in cut.items():
+        for j in range(len(ws)):
+            for n in range(window, min(depth, len(ws) - j) + 1):
+                places.setdefault(tuple(ws[j:j + n]), []).append((i, j))
+    out = set()
+    for key, at in places.items():
+        if len(at) < 2:
+            continue
+        before = {cut[i][j - 1] if j else (i, j) for i, j in at}
+        behind = {cut[i][j + len(key)] if j + len(key) < len(cut[i]) else (i, j) for i, j in at}
+        if len(before) > 1 and (len(behind) > 1 or len(key) == depth):
+            out.add((*min(at), len(key)))
+    return out
+
+
+@pytest.mark.parametrize(("group", "size"), [(1_000_000, 3 << 20), (10, 700)])
+def test_maximal_repeats(spark, monkeypatch, group, size):
+    monkeypatch.setattr(sd, "REPORT", 1)
+    monkeypatch.setattr(sd, "PIECE", 1500)
+    monkeypatch.setattr(sd.slices, "__defaults__", (size,))
+    rng, base = random.Random(6), words(60, 1)
+    rows = [(i, " ".join(edited(base, rng.randrange(4), i)[rng.randrange(9):rng.randrange(40, 61)])) for i in range(40)]
+    rows += [(50, " ".join(base)), (51, " ".join(base)), (52, " ".join(["same"] * 25)), (53, None), (54, "a b c")]
+    rows += [(60 + i, "x " * (i % 2) + " ".join(words(24, 3)) + " y" * i) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in sd.maximal_repeats(docs.unionAll(docs), 20, 30, group=group, per_partition=400).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_maximal(rows, 20, 30)
+    assert sd.maximal_repeats(docs.limit(0)).count() == 0
+
+
+def test_tree_nodes_are_sorted_intervals():
+    """Inner nodes of a tree against all pairs of its suffixes."""
+    rng = random.Random(2)
+    text = " ".join(rng.choice("ab") for _ in range(60))
+    words_, n = text.split(), 60 - 3 + 1
+    row = {"doc_ids": (1).to_bytes(8, "little"), "hashes": bytes(4), "counts": sd.short(sd.np.array([1])), "starts": sd.short(sd.np.array([0])),
+           "sizes": sd.short(sd.np.array([n])), "lefts": b"\x00", "lengths": sd.short(sd.np.array([len(text)])),
+           "text": sd.pa.compress(text.encode(), "zstd", asbytes=True), "bytes": len(text)}
+    tree = sd.Tree(sd.pd.DataFrame([row]), 3, 10)
+    got = sorted((d, tuple(sorted(tree.starts[a:b].tolist()))) for d, a, b in tree.nodes())
+    want = set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            d = next((k for k in range(10) if j + k >= 60 or words_[i + k] != words_[j + k]), 10)
+            if d >= 3:
+                want.add((d, tuple(x for x in range(n) if words_[x:x + d] == words_[i:i + d] and x + d <= 60)))
+    assert got == sorted(want)
+
+
 def test_substrings_repeated_and_null(spark):
     text = " ".join(words(30, 9))
     rows = [(3, text), (3, text), (None, text), (None, None), (7, text)]
