@@ -74,3 +74,26 @@ def test_pruned_search_is_exact_and_skips_cells(spark, monkeypatch):
         assert got.keys() == want.keys() and all(close(got[q], want[q]) for q in got)
         assert sum(sent) < 13 * len(asked) / 2 if k == 4 else sum(sent) == 13 * len(asked)
     assert cells.search_many_pruned(index, queries.limit(0), 4).count() == 0
+
+
+def test_vectors_go_to_blocks_not_to_cells(spark, monkeypatch):
+    """A query that visits every cell is sent once per block of chunks; cells that span blocks are ranked whole."""
+    rng = np.random.default_rng(5)
+    rows = [(i // 2, i % 2, rng.normal(size=6).tolist(), True, None) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "job_id long, chunk_index int, embedding array<double>, remote boolean, salary_max double")
+    queries = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(30)], "query_id long, embedding array<double>")
+    index = cells.build_cells(chunks, 40, 6, centers=cells.sample_centers(chunks, 40, 6))
+    sent, ranked = [], cells._ranked_blocks
+
+    def watched(chunk_rows, query_rows, key, k):
+        sent.append((chunk_rows.count(), query_rows.count(), query_rows.select("part", "set").distinct().count()))
+        return ranked(chunk_rows, query_rows, key, k)
+
+    monkeypatch.setattr(cells, "_ranked_blocks", watched)
+    want = many(engine.search_many(chunks, queries, 5))
+    assert many(cells.search_many_cells(index, queries, 5, probes=40)) == want
+    assert sent == [(400, 30, 1)]  # not 40 cells x 30 queries
+    monkeypatch.setattr(cells, "CHUNK_BLOCK", 150)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 10)
+    assert many(cells.search_many_cells(index, queries, 5, probes=40)) == want
+    assert sent[1:] == [(1200, 90, 9)]
