@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trackweave import schemas
@@ -9,7 +10,7 @@ from trackweave.operators import tracking
 from trackweave.plans.ingest import EmbedCounts, embed_new, ingest_listings, store_chunks
 from trackweave.sources.listings import read_listings
 from trackweave.sources.tables import KeyedTable
-from trackweave.streaming.state import fold_stream, folded_rejects, folded_table
+from trackweave.streaming.state import PairFold, fold_stream, folded_rejects, folded_table
 from trackweave.streaming.streams import command_stream, embed_stream, ingest_stream, listing_stream, read_rejects
 
 START = dt.datetime(2024, 1, 1)
@@ -200,3 +201,50 @@ def test_keyed_state_in_two_runs(spark, tmp_path):
     assert sorted(map(str, folded_rejects(spark, f"{root}/events").collect())) == sorted(map(str, rejects))
     fold_stream(stream, saved, f"{root}/events", f"{root}/progress").awaitTermination()  # nothing new: nothing changes
     assert folded_rejects(spark, f"{root}/events").count() == len(rejects) == 6
+
+
+class Listed:
+    """A list state in memory that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {"exists": lambda: bool(self.rows), "get": lambda: iter(self.rows[:]), "put": lambda rows: self.rows.__init__(rows),
+                "appendList": self.rows.extend, "clear": self.rows.clear}[name]
+
+
+def test_state_is_called_per_group_not_per_pair():
+    """1,500 pairs of one group: a few state calls; a missing job, place or score, repeated pairs and pieces in any order."""
+    states = {}
+    handle = type("Handle", (), {"getListState": lambda self, name, schema: states.setdefault(name, Listed())})()
+    fold = PairFold(["bigint", "string"])
+    fold.init(handle)
+    pairs = [(i, f"j{i % 7}" if i % 50 else None) for i in range(1500)]
+    first = pd.DataFrame([(u, j, "saved", None if u % 3 else 0.5, u, u) for u, j in pairs[:1000]],
+                         columns=["user_id", "job_id", "stage", "match_score", "saved_at", "updated_at"])
+    again = first[:1].assign(stage="offer")  # repeated: the first counts
+    for piece in (first, again):
+        fold.handleInitialState((0,), piece, None)
+    names = ["user_id", "job_id", "seq", "op", "stage", "match_score", "ts", "code", "is_save"]
+    # Pairs from 1000: an update before the save, the save, an update after it; from 1400 no save at all. Pair 1: no place.
+    rows = [(u, j, 10 * u + 1, "update", "applied", None, u + 1, 2, False) for u, j in pairs[1000:]]
+    rows += [(u, j, 10 * u + 2, "save", "saved", 0.25, u + 2, 1, True) for u, j in pairs[1000:1400]]
+    rows += [(u, j, 10 * u + 3, "update", "offer", None, u + 3, 5, False) for u, j in pairs[500:1400]]
+    rows += [(*pairs[1], None, "update", "applied", None, 7, 2, False), (*pairs[2], 5, "update", "bogus", None, 7, 0, False)]
+    rows += [(*pairs[1499], None, "save", "saved", None, 7, 1, True)]
+    batch = pd.DataFrame(rows[::-1], columns=names)
+    out = pd.concat(fold.handleInputRows((0,), iter([batch[:900], batch[900:]]), None))
+    lost = {(r.user_id, r.seq, r.reason) for r in out[out["reason"].notna()].itertuples()}
+    assert lost == {(u, 10 * u + 1, "not saved") for u in range(1000, 1500)} | {(2, 5, "invalid stage"), (1499, None, "not saved")}
+    got = {(r.user_id, r.job_id): (r.stage, r.match_score, r.saved_at, r.updated_at, r.version) for r in out[out["reason"].isna()].itertuples()}
+    want = {(u, j): ("offer", None if u % 3 else 0.5, u, u + 3, 1) for u, j in pairs[500:1000]}
+    want |= {(u, j): ("offer", 0.25, u + 2, u + 3, 1) for u, j in pairs[1000:1400]}
+    assert got == want
+    later = pd.DataFrame([(*pairs[0], 9, "update", "applied", None, 9, 2, False), (*pairs[1399], 1, "update", "applied", None, 9, 2, False)], columns=names)
+    out = pd.concat(fold.handleInputRows((0,), iter([later]), None))
+    assert [tuple(r) for r in out[["user_id", "stage", "match_score", "saved_at", "version"]].itertuples(index=False)] == [
+        (0, "applied", 0.5, 0, 1), (1399, "applied", 0.25, 1401, 2)
+    ]
+    assert sum(s.calls for s in states.values()) < 25

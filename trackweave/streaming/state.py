@@ -1,18 +1,16 @@
-"""The command fold as keyed state: one state per (user, job) pair, no stored table to read or rewrite.
+"""The command fold as keyed state: the pairs (user, job) in groups by a hash, no stored table to read or rewrite.
 
 ``streams.command_stream`` folds each batch into a stored table, which suits
 tables that others read at once and pairs with very many commands, as it
-aggregates before the shuffle. Here Spark's state store holds the pairs:
-a batch costs what it brings, a restart goes on from the checkpoint, and
-every reject is written exactly once.
+aggregates before the shuffle. Here Spark's state store holds the pairs: a
+batch reads and writes the groups that its pairs fall into, a restart goes on
+from the checkpoint, and every reject is written exactly once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -22,88 +20,109 @@ from trackweave.operators.tracking import PAIR, coded_commands
 from trackweave.schemas import STAGES
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A pair's row, its times in microseconds; ``version`` counts the batches that changed it.
-ROW = "stage string, match_score double, saved_at bigint, updated_at bigint, version bigint"
+#: Pairs of a group, as columns: their rows, times in microseconds; ``version`` counts the batches that changed one.
+ROWS = ("stage", "match_score", "saved_at", "updated_at", "version")
+ROW_TYPES = ("string", "double", "bigint", "bigint", "bigint")
 #: A valid update of a pair that was not saved when it came.
 WAITING = "seq bigint, op string, stage string"
 #: What a batch gives: changed rows (no reason) and rejected commands.
 EVENTS = "seq bigint, op string, stage string, reason string, match_score double, saved_at bigint, updated_at bigint, version bigint"
 
-#: Waiting commands that are written at a time.
+#: Rows that are written at a time.
 PIECE = 10_000
+#: Groups of pairs. A call of Python and of the state store costs as much for a group as for a pair.
+GROUPS = 1024
 
 
-def _plain(value):
-    """A Python value, None for a missing one."""
-    if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
-        return None
-    return value.item() if isinstance(value, np.generic) else value
+def _lists(rows: pd.DataFrame, *names: str) -> list[list]:
+    """Columns as lists of Python values, None for a missing one."""
+    return [rows[n].astype(object).where(rows[n].notna(), None).tolist() for n in names]
 
 
 class PairFold(StatefulProcessor):
-    """Folds the commands of one pair, in any order within a batch, as ``fold_commands`` does.
+    """Folds the commands of a group of pairs, in any order within a batch, as ``fold_commands`` does.
 
     Rows come in pieces of bounded size. What must wait until the first save of
-    the batch is known goes to a list in the state store, not to memory.
+    its pair in the batch is known goes to a list in the state store, not to
+    memory, which holds the pairs of one group at a time.
     """
 
+    def __init__(self, pair_types: list[str]):
+        self.pair_types = pair_types
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", ROW)
-        self.waiting = handle.getListState("waiting", WAITING)
+        kept = zip([*PAIR, *ROWS], [*self.pair_types, *ROW_TYPES], strict=True)
+        self.pairs = handle.getListState("pairs", ", ".join(f"{n} array<{t}>" for n, t in kept))
+        key = ", ".join(f"{n} {t}" for n, t in zip(PAIR, self.pair_types, strict=True))
+        self.waiting = handle.getListState("waiting", f"{key}, {WAITING}")
 
     def close(self) -> None:
         pass
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        first = initialState.iloc[0]
-        self.row.update((*[_plain(first[c]) for c in ("stage", "match_score", "saved_at", "updated_at")], 0))
+        columns = _lists(initialState, *PAIR, *ROWS[:-1])
+        self.pairs.appendList([(*columns, [0] * len(initialState))])
+
+    def _known(self) -> dict[tuple, tuple]:
+        """The group's pairs and their rows; of repeated pairs of the first table the first counts."""
+        known: dict[tuple, tuple] = {}
+        if self.pairs.exists():
+            for columns in self.pairs.get():
+                for user, job, *row in zip(*columns, strict=True):
+                    known.setdefault((user, job), tuple(row))
+        return known
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known, save, last = self.row.exists(), None, None
+        known, saves, lasts, out = self._known(), {}, {}, []
         for piece in rows:
-            valid = piece["code"] > 0
-            yield from self._events(key, piece[~valid], "invalid stage")
-            good = piece[valid]
-            if good.empty:
-                continue
-            top = good.loc[good["seq"].idxmax()]
-            last = top if last is None or top["seq"] > last["seq"] else last
-            if not known:
-                saves = good[good["is_save"]]
-                if not saves.empty:
-                    one = saves.loc[saves["seq"].idxmin()]
-                    save = one if save is None or one["seq"] < save["seq"] else save
-                others = good[~good["is_save"]]
-                if not others.empty:
-                    self.waiting.appendList([tuple(map(_plain, x)) for x in others[["seq", "op", "stage"]].itertuples(index=False)])
-        if not known and self.waiting.exists():
-            since = np.inf if save is None else save["seq"]
-            early = (x for x in self.waiting.get() if x[0] < since)
-            while some := list(islice(early, PIECE)):
-                yield from self._events(key, pd.DataFrame(some, columns=["seq", "op", "stage"]), "not saved")
+            held = []
+            columns = _lists(piece, *PAIR, "seq", "op", "stage", "match_score", "ts", "code", "is_save")
+            for user, job, seq, op, stage, score, ts, code, is_save in zip(*columns, strict=True):
+                pair = (user, job)
+                if code <= 0:
+                    out.append((*pair, seq, op, stage, "invalid stage", None, None, None, None))
+                    continue
+                if seq is not None and (pair not in lasts or seq > lasts[pair][0]):
+                    lasts[pair] = (seq, code, ts)
+                if pair in known:
+                    continue
+                if not is_save or seq is None:
+                    held.append((*pair, seq, op, stage))
+                elif pair not in saves or seq < saves[pair][0]:
+                    saves[pair] = (seq, score, ts)
+            if held:
+                self.waiting.appendList(held)
+            if len(out) >= PIECE:
+                yield self._frame(out)
+                out = []
+        if self.waiting.exists():
+            for user, job, seq, op, stage in self.waiting.get():
+                save = saves.get((user, job))
+                if save is None or (seq is not None and seq < save[0]):
+                    out.append((user, job, seq, op, stage, "not saved", None, None, None, None))
+                if len(out) >= PIECE:
+                    yield self._frame(out)
+                    out = []
             self.waiting.clear()
-        if last is None or (not known and save is None):
-            return
-        if known:
-            _, score, saved_at, _, version = self.row.get()
-        else:
-            score, saved_at, version = _plain(save["match_score"]), _plain(save["ts"]), 0
-        new = (STAGES[int(last["code"]) - 1], score, saved_at, _plain(last["ts"]), version + 1)
-        self.row.update(new)
-        stage, score, saved_at, updated_at, version = new
-        yield self._frame(key, [(None, None, stage, None, score, saved_at, updated_at, version)])
-
-    def _events(self, key, rejected: pd.DataFrame, reason: str) -> Iterator[pd.DataFrame]:
-        if len(rejected):
-            yield self._frame(key, [
-                (_plain(seq), _plain(op), _plain(stage), reason, None, None, None, None)
-                for seq, op, stage in rejected[["seq", "op", "stage"]].itertuples(index=False)
-            ])
-
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        names = [x.split()[0] for x in EVENTS.split(", ")]
-        whole = pd.DataFrame([(*map(_plain, key), *r) for r in rows], columns=[*PAIR, *names])
-        return whole.astype({"seq": "Int64", "saved_at": "Int64", "updated_at": "Int64", "version": "Int64", "match_score": "float64"})
+        changed = False
+        for pair, (_, code, ts) in lasts.items():
+            if pair in known:
+                _, score, saved_at, _, version = known[pair]
+            elif pair in saves:
+                (_, score, saved_at), version = saves[pair], 0
+            else:
+                continue
+            known[pair], changed = (STAGES[code - 1], score, saved_at, ts, version + 1), True
+            stage, score, saved_at, ts, version = known[pair]
+            out.append((*pair, None, None, stage, None, score, saved_at, ts, version))
+        if changed:
+            self.pairs.put([tuple(map(list, zip(*[(*pair, *row) for pair, row in known.items()], strict=True)))])
+        for at in range(0, len(out), PIECE):
+            yield self._frame(out[at:at + PIECE])
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        names = [*PAIR, *[x.split()[0] for x in EVENTS.split(", ")]]
+        return pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
 
 
 def _micros(df: DataFrame, *names: str) -> DataFrame:
@@ -120,11 +139,16 @@ def fold_stream(
     """
     spark = commands.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    coded = _micros(coded_commands(commands), "ts").select(*PAIR, "seq", "op", "stage", "match_score", "ts", "code", "is_save")
-    start = _micros(saved, "saved_at", "updated_at").select(*PAIR, "stage", "match_score", "saved_at", "updated_at")
-    types = ", ".join(f"{c} {commands.schema[c].dataType.simpleString()}" for c in PAIR)
-    folded = coded.groupBy(*PAIR).transformWithStateInPandas(
-        PairFold(), f"{types}, {EVENTS}", "Append", "None", start.groupBy(*PAIR)
+    pair_types = {c: commands.schema[c].dataType.simpleString() for c in PAIR}
+    group = F.pmod(F.xxhash64(*PAIR), F.lit(GROUPS)).cast("int").alias("pairs_of")
+    coded = _micros(coded_commands(commands), "ts").select(
+        group, *PAIR, "seq", "op", "stage", "match_score", "ts", "code", "is_save"
+    )
+    typed = _micros(saved, "saved_at", "updated_at").withColumns({c: F.col(c).cast(t) for c, t in pair_types.items()})
+    start = typed.select(group, *PAIR, *ROWS[:-1])
+    types = ", ".join(f"{c} {t}" for c, t in pair_types.items())
+    folded = coded.groupBy("pairs_of").transformWithStateInPandas(
+        PairFold(list(pair_types.values())), f"{types}, {EVENTS}", "Append", "None", start.groupBy("pairs_of")
     )
     writer = folded.writeStream.format("parquet").option("path", events).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
