@@ -219,14 +219,23 @@ def test_state_is_called_per_group_not_per_pair():
     """1,500 pairs of one group: a few state calls; a missing job, place or score, repeated pairs and pieces in any order."""
     states = {}
     handle = type("Handle", (), {"getListState": lambda self, name, schema: states.setdefault(name, Listed())})()
-    fold = PairFold(["bigint", "string"])
+    fold = PairFold()
     fold.init(handle)
+
+    def told(frame):
+        """As Spark sends it: pairs, places and times as text."""
+        whole = [c for c in ("user_id", "seq", "ts", "saved_at", "updated_at") if c in frame]
+        return frame.assign(**{c: pd.Series([None if x is None or x != x else str(int(x)) for x in frame[c]], dtype=object, index=frame.index) for c in whole})
+
+    def shown(frames):
+        out = pd.concat(frames)
+        return out.assign(user_id=out["user_id"].astype(int))
     pairs = [(i, f"j{i % 7}" if i % 50 else None) for i in range(1500)]
     first = pd.DataFrame([(u, j, "saved", None if u % 3 else 0.5, u, u) for u, j in pairs[:1000]],
                          columns=["user_id", "job_id", "stage", "match_score", "saved_at", "updated_at"])
     again = first[:1].assign(stage="offer")  # repeated: the first counts
     for piece in (first, again):
-        fold.handleInitialState((0,), piece, None)
+        fold.handleInitialState((0,), told(piece), None)
     names = ["user_id", "job_id", "seq", "op", "stage", "match_score", "ts", "code", "is_save"]
     # Pairs from 1000: an update before the save, the save, an update after it; from 1400 no save at all. Pair 1: no place.
     rows = [(u, j, 10 * u + 1, "update", "applied", None, u + 1, 2, False) for u, j in pairs[1000:]]
@@ -234,8 +243,8 @@ def test_state_is_called_per_group_not_per_pair():
     rows += [(u, j, 10 * u + 3, "update", "offer", None, u + 3, 5, False) for u, j in pairs[500:1400]]
     rows += [(*pairs[1], None, "update", "applied", None, 7, 2, False), (*pairs[2], 5, "update", "bogus", None, 7, 0, False)]
     rows += [(*pairs[1499], None, "save", "saved", None, 7, 1, True)]
-    batch = pd.DataFrame(rows[::-1], columns=names)
-    out = pd.concat(fold.handleInputRows((0,), iter([batch[:900], batch[900:]]), None))
+    batch = told(pd.DataFrame(rows[::-1], columns=names))
+    out = shown(fold.handleInputRows((0,), iter([batch[:900], batch[900:]]), None))
     lost = {(r.user_id, r.seq, r.reason) for r in out[out["reason"].notna()].itertuples()}
     assert lost == {(u, 10 * u + 1, "not saved") for u in range(1000, 1500)} | {(2, 5, "invalid stage"), (1499, None, "not saved")}
     got = {(r.user_id, r.job_id): (r.stage, r.match_score, r.saved_at, r.updated_at, r.version) for r in out[out["reason"].isna()].itertuples()}
@@ -243,8 +252,28 @@ def test_state_is_called_per_group_not_per_pair():
     want |= {(u, j): ("offer", 0.25, u + 2, u + 3, 1) for u, j in pairs[1000:1400]}
     assert got == want
     later = pd.DataFrame([(*pairs[0], 9, "update", "applied", None, 9, 2, False), (*pairs[1399], 1, "update", "applied", None, 9, 2, False)], columns=names)
-    out = pd.concat(fold.handleInputRows((0,), iter([later]), None))
+    out = shown(fold.handleInputRows((0,), iter([told(later)]), None))
     assert [tuple(r) for r in out[["user_id", "stage", "match_score", "saved_at", "version"]].itertuples(index=False)] == [
         (0, "applied", 0.5, 0, 1), (1399, "applied", 0.25, 1401, 2)
     ]
     assert sum(s.calls for s in states.values()) < 25
+
+
+def test_keyed_state_with_missing_values(spark, tmp_path, monkeypatch):
+    """Missing users, jobs, ops and times beside others in a group: as a plain fold has them; large numbers keep their digits."""
+    monkeypatch.setattr("trackweave.streaming.state.GROUPS", 1)
+    big = 2**60 + 1
+    at = lambda n: START + dt.timedelta(minutes=n)
+    saved = spark.createDataFrame([(1, None, "x", "saved", 0.5, START, None), (2, 7, "x", "saved", None, None, START)], schemas.SAVED_JOBS)
+    commands = [(None, "x", 3, at(3), "update", "offer", None), (None, "y", 4, at(4), "update", "offer", None), (8, None, 5, at(5), "save", "saved", 1.0),
+                (big, "z", big + 1, at(6), "update", "applied", None), (big, "z", big + 2, None, "save", "saved", None),
+                (7, "x", 9, at(9), None, "offer", None), (7, "x", 10, None, "update", "applied", None)]
+    spark.createDataFrame(commands, schemas.COMMANDS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schemas.COMMANDS).parquet(f"{tmp_path}/in")
+    fold_stream(stream, saved, f"{tmp_path}/events", f"{tmp_path}/progress").awaitTermination()
+    lost = {(r["user_id"], r["job_id"], r["seq"], r["reason"]) for r in folded_rejects(spark, f"{tmp_path}/events").collect()}
+    assert lost == {(None, "y", 4, "not saved"), (big, "z", big + 1, "not saved"), (7, "x", 9, "invalid stage")}
+    changed = spark.read.parquet(f"{tmp_path}/events").filter("reason IS NULL").collect()
+    assert {(r["user_id"], r["job_id"], r["stage"], r["match_score"], r["updated_at"] is None) for r in changed} == {
+        (None, "x", "offer", 0.5, False), (8, None, "saved", 1.0, False), (big, "z", "saved", None, True), (7, "x", "applied", None, True)
+    }

@@ -25,6 +25,7 @@ ROWS = ("stage", "match_score", "saved_at", "updated_at", "version")
 ROW_TYPES = ("string", "double", "bigint", "bigint", "bigint")
 #: A valid update of a pair that was not saved when it came.
 WAITING = "seq bigint, op string, stage string"
+PAIR_TEXT = ", ".join(f"{c} string" for c in PAIR)
 #: What a batch gives: changed rows (no reason) and rejected commands.
 EVENTS = "seq bigint, op string, stage string, reason string, match_score double, saved_at bigint, updated_at bigint, version bigint"
 
@@ -34,9 +35,19 @@ PIECE = 10_000
 GROUPS = 1024
 
 
+#: Whole numbers that may be missing. They come as text, and so do the pairs: pandas would make them floats, which lose digits.
+WHOLE = ("seq", "ts", "saved_at", "updated_at")
+
+
 def _lists(rows: pd.DataFrame, *names: str) -> list[list]:
     """Columns as lists of Python values, None for a missing one."""
-    return [rows[n].astype(object).where(rows[n].notna(), None).tolist() for n in names]
+    lists = {n: rows[n].astype(object).where(rows[n].notna(), None).tolist() for n in names}
+    return [[None if x is None else int(x) for x in v] if n in WHOLE else v for n, v in lists.items()]
+
+
+def _as_text(df: DataFrame) -> DataFrame:
+    whole = {c: F.col(c).cast("bigint").cast("string") for c in WHOLE if c in df.columns}
+    return df.withColumns({**{c: F.col(c).cast("string") for c in PAIR}, **whole})
 
 
 class PairFold(StatefulProcessor):
@@ -47,14 +58,10 @@ class PairFold(StatefulProcessor):
     memory, which holds the pairs of one group at a time.
     """
 
-    def __init__(self, pair_types: list[str]):
-        self.pair_types = pair_types
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        kept = zip([*PAIR, *ROWS], [*self.pair_types, *ROW_TYPES], strict=True)
+        kept = [*[(c, "string") for c in PAIR], *zip(ROWS, ROW_TYPES, strict=True)]
         self.pairs = handle.getListState("pairs", ", ".join(f"{n} array<{t}>" for n, t in kept))
-        key = ", ".join(f"{n} {t}" for n, t in zip(PAIR, self.pair_types, strict=True))
-        self.waiting = handle.getListState("waiting", f"{key}, {WAITING}")
+        self.waiting = handle.getListState("waiting", f"{PAIR_TEXT}, {WAITING}")
 
     def close(self) -> None:
         pass
@@ -141,15 +148,14 @@ def fold_stream(
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     pair_types = {c: commands.schema[c].dataType.simpleString() for c in PAIR}
     group = F.pmod(F.xxhash64(*PAIR), F.lit(GROUPS)).cast("int").alias("pairs_of")
-    coded = _micros(coded_commands(commands), "ts").select(
+    coded = _as_text(_micros(coded_commands(commands), "ts").select(
         group, *PAIR, "seq", "op", "stage", "match_score", "ts", "code", "is_save"
-    )
+    ))
     typed = _micros(saved, "saved_at", "updated_at").withColumns({c: F.col(c).cast(t) for c, t in pair_types.items()})
-    start = typed.select(group, *PAIR, *ROWS[:-1])
-    types = ", ".join(f"{c} {t}" for c, t in pair_types.items())
+    start = _as_text(typed.select(group, *PAIR, *ROWS[:-1]))
     folded = coded.groupBy("pairs_of").transformWithStateInPandas(
-        PairFold(list(pair_types.values())), f"{types}, {EVENTS}", "Append", "None", start.groupBy("pairs_of")
-    )
+        PairFold(), f"{PAIR_TEXT}, {EVENTS}", "Append", "None", start.groupBy("pairs_of")
+    ).withColumns({c: F.col(c).cast(t) for c, t in pair_types.items()})
     writer = folded.writeStream.format("parquet").option("path", events).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
