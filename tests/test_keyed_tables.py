@@ -184,3 +184,21 @@ def test_places_of_a_hot_owner(spark, capsys):
         want[r["id"]] = seen[r["u"]]
     assert {r["id"]: r["place"] for r in numbered.collect()} == want
     assert number_within(frame.limit(0), ["u"], ["t", "id"], "place").count() == 0
+
+
+def test_crowded_bucket_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The rows that a task sorts and writes are bounded, not a bucket's share of the table; changes give what ``upsert`` gives."""
+    monkeypatch.setattr("trackweave.sources.tables.WRITE_BYTES", 1 << 20)
+    store = KeyedTable(spark, str(tmp_path / "t"), "k string, n int, wide string, born int, kept string", ["k", "n"], ["k"], parts=1, buckets=1)
+    made = spark.range(60_000).selectExpr("cast(id % 7 as string) k", "cast(id as int) n", "concat(sha2(cast(id as string), 512), '-') wide", "1 born", "'a' kept")
+    store.append(made)
+    assert store.read().count() == 60_000 and len(files(tmp_path / "t")) >= 4
+    changes = made.filter("n % 2 = 0").unionByName(made.filter("n < 9").selectExpr("k", "n + 60000 n", "wide", "born", "kept")).selectExpr(
+        "k", "n", "'new' wide", "2 born", "'b' kept")
+    for update in (["wide", "kept"], ["born"]):
+        want = upsert(store.read(), changes, ["k", "n"], update).select(F.xxhash64("k", "n", "wide", "born", "kept").alias("h"))
+        want = sorted(r["h"] for r in want.collect())
+        store.upsert(changes, update)
+        got = sorted(r["h"] for r in store.read().select(F.xxhash64("k", "n", "wide", "born", "kept").alias("h")).collect())
+        assert got == want and len(got) == 60_009 and len(files(tmp_path / "t")) >= 2
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("64MB", "67108864b", "67108864")
