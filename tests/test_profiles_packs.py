@@ -115,6 +115,28 @@ def test_a_given_floor_only_spares_work():
     assert not list(engine._PartitionTopK(units, None, None, 6, higher)([batch]))
 
 
+def test_single_precision_only_screens():
+    """Scores closer than single precision tells apart are still ordered and cut by all their digits."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base, away = rng.normal(size=8), rng.normal(size=8)
+    vectors = np.array([base + away * 1e-5 * rng.random() for _ in range(3000)])
+    units = np.array([base, away, -base]) / np.linalg.norm([base, away, -base], axis=1, keepdims=True)
+    names = ["job_id", "chunk_index", "embedding"]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(range(i, i + 500)), pa.array([0] * 500, pa.int32()), pa.array(vectors[i : i + 500].tolist())], names=names)
+        for i in range(0, 3000, 500)
+    ]
+    found = next(engine._PartitionTopK(units, None, None, 5)(batches))
+    scores = np.round(units @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T, 12)
+    for query in range(3):
+        best = np.lexsort((np.arange(3000), -scores[query]))[:5]
+        got = found[found["q"] == query]
+        assert got["job_id"].tolist() == best.tolist()
+        assert np.allclose(got["similarity"], scores[query][best], rtol=0, atol=2e-12)
+
+
 def test_texts_are_not_moved_with_the_vectors(spark, monkeypatch):
     kept, dropped, write, drop = {}, [], q.materialize, q.forget
 
